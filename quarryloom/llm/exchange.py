@@ -10,8 +10,11 @@ a few entries for each chunk.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,25 @@ def dealt(docs: DataFrame, n: int, *by: str) -> DataFrame:
     return docs.withColumn("chunk", chunk_of(n, *by)).repartition(n, "chunk")
 
 
-def bytes_of(column: pa.ChunkedArray) -> list[bytes]:
+def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece's texts have about size bytes, or are one text."""
+    for batch in batches:
+        i, total = 0, 0
+        lens = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
+        for j, x in enumerate(lens):
+            if total + x > size and j > i:
+                yield batch.slice(i, j - i)
+                i, total = j, 0
+            total += x
+        if batch.num_rows > i:
+            yield batch.slice(i)
+
+
 def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     """Ids as int64; null as the largest one."""
     return np.asarray(column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(), np.int64)
