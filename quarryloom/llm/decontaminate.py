@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
@@ -30,7 +31,9 @@ from quarryloom.llm.storage import importable
 #: A broadcast block of the benchmark has at most about so many bytes of text.
 BLOCK_BYTES = 16 << 20
 
-COLUMNS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_PART = "row string, n_words long, hit binary, items array<string>, base boolean"
 
 
 class Fingerprints:
@@ -106,14 +109,15 @@ def _digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, keep: tuple = ("doc_id",)) -> DataFrame:
     """Where documents hold windows of benchmark items.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. A
     window is that many consecutive words of an item; an item of fewer, but not
     none, is one window. A document word inside any occurrence is hit.
 
-    Returns a row for each row of docs: doc_id, n_words, n_hit, n_items (items
+    Returns a row for each row of docs: the columns named in keep (whose names
+    must differ from those that follow), n_words, n_hit, n_items (items
     with a window here), items_sha256 (of their ids, sorted as strings and
     joined by commas) and contaminated (n_hit > 0).
 
@@ -123,26 +127,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """
     spark = docs.sparkSession
     importable(spark)
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), docs["text"].cast("string").alias("text"))
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
     blocks = 1 + int(size) // block_bytes
     if blocks == 1:
         known = spark.sparkContext.broadcast(_fingerprints(items, window))
-        return docs.mapInArrow(_scan(known), COLUMNS)
+        schema = S.StructType([docs.schema["kept"], *S._parse_datatype_string(COLUMNS).fields])
+        return docs.mapInArrow(_scan(known), schema).select("kept.*", *FOUND)
 
     blocks *= 2  # the hash deals items out unevenly
-    rows = docs.withColumn("row", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")), F.col("text").isNull().cast("string")), 256))
-    parts = rows.mapInArrow(_scan_block(None), "row string, doc_id long, n_words long, hit binary, items array<string>, base boolean")
+    texts = docs.select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = texts.mapInArrow(_scan_block(None), _PART)
     for b in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         known = spark.sparkContext.broadcast(_fingerprints(some, window))
-        parts = parts.union(rows.mapInArrow(_scan_block(known), "row string, doc_id long, n_words long, hit binary, items array<string>, base boolean"))
-    hits = parts.filter("not base").groupBy("row").applyInArrow(_together, "row string, n_hit long, n_items long, items_sha256 string")
-    base = parts.filter("base").select("row", "doc_id", "n_words")
+        parts = parts.union(texts.mapInArrow(_scan_block(known), _PART))
+    # Equal texts are hit alike: one row of each text and block goes on.
+    hits = parts.filter("not base").groupBy("row", "items", "hit").agg(F.lit(1)).groupBy("row").applyInArrow(_together, "row string, n_hit long, n_items long, items_sha256 string")
+    base = parts.filter("base").groupBy("row").agg(F.first("n_words").alias("n_words")).join(hits, "row", "left")
     none = _digest([])
-    return base.join(hits, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+    keyed = docs.select("kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("row"))
+    return keyed.join(base, "row").select(
+        "kept.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
@@ -163,12 +170,12 @@ def _scan(known):
             names = _names(marks, pairs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"], pa.array(np.diff(off), pa.int64()), pa.array(n_hit, pa.int64()),
+                    batch["kept"], pa.array(np.diff(off), pa.int64()), pa.array(n_hit, pa.int64()),
                     pa.array([len(names.get(d, ())) for d in range(batch.num_rows)], pa.int64()),
                     pa.array([_digest(names[d]) if d in names else none for d in range(batch.num_rows)], pa.string()),
                     pa.array(n_hit > 0, pa.bool_()),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                ["kept", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     return scan
@@ -195,18 +202,18 @@ def _scan_block(known):
                 rows = sorted(names)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["row"].take(pa.array(rows, pa.int64())), batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array([int(off[d + 1] - off[d]) for d in rows], pa.int64()),
+                    batch["row"].take(pa.array(rows, pa.int64())), pa.array([int(off[d + 1] - off[d]) for d in rows], pa.int64()),
                     pa.array([None if hit is None else np.packbits(hit[off[d] : off[d + 1]]).tobytes() for d in rows], pa.binary()),
                     pa.array([sorted(names.get(d, ())) for d in rows], pa.list_(pa.string())), pa.array([known is None] * len(rows), pa.bool_()),
                 ],
-                ["row", "doc_id", "n_words", "hit", "items", "base"],
+                ["row", "n_words", "hit", "items", "base"],
             )
 
     return scan
 
 
 def _together(table: pa.Table) -> pa.Table:
-    """One document's hits in all blocks; equal rows repeat them, which changes nothing."""
+    """One text's hits in all blocks."""
     bits = [np.frombuffer(x, np.uint8) for x in table["hit"].to_pylist()]
     names = {x for some in table["items"].to_pylist() for x in some}
     n_hit = int(np.unpackbits(np.bitwise_or.reduce(bits)).sum())

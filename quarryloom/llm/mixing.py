@@ -65,7 +65,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPE
     size = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     # A key that SQL can make too: the first hex digits of an md5.
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(*[docs[c] for c in keep], docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), digest.alias("key"))
+    kept = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(None))
+    sized = docs.select(kept.alias("kept"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), digest.alias("key"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sources, weights, most).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("long")).withColumnRenamed("source", "of")
     unit = F.conv(F.substring("key", 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
@@ -80,4 +81,4 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPE
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - rounds * F.col("source_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - before))
-    return placed.withColumn("taken", taken.cast("long")).select(*keep, "doc_id", "size", "source_size", "target", "taken")
+    return placed.withColumn("taken", taken.cast("long")).select(*[F.col("kept").getField(c).alias(c) for c in keep], "doc_id", "size", "source_size", "target", "taken")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryloom.llm.decontaminate import decontaminate
 from quarryloom.llm.jaccard_join import jaccard_components
+from quarryloom.llm.line_dedup import line_dedup
 from quarryloom.llm.mixing import mix_sources
 from quarryloom.llm.substring_dedup import substring_dedup
+from quarryloom.llm.toxicity import held_out, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_sentence", "worst_score", "n_sentences")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -32,8 +45,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op9_jaccard_join, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op7_line_dedup, op8_toxicity, op9_jaccard_join, op10_substring_dedup, pipeline)}
 
 
 OP1_SQL = r"""
@@ -65,6 +84,18 @@ SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT
 FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text, coalesce('=' || source, '?') AS site FROM documents),
+t AS (SELECT text, min(site) AS site FROM d WHERE text IS NOT NULL GROUP BY text),
+l AS (SELECT DISTINCT text, site, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT text, site, unnest(string_split(text, chr(10))) AS line FROM t)),
+b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+x AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+k AS (SELECT text, count(*) AS n, count(*) FILTER (WHERE b.line IS NOT NULL) AS gone, coalesce(string_agg(x.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS kept
+      FROM x LEFT JOIN b ON trim(x.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = b.line GROUP BY text)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.gone, 0)::BIGINT AS n_removed, sha256(k.kept) AS kept_sha256
+FROM d LEFT JOIN k ON d.text = k.text
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS t
@@ -95,4 +126,4 @@ FROM w LEFT JOIN gl ON w.doc_id = gl.doc_id LEFT JOIN kept ON w.doc_id = kept.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_decontaminate": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
