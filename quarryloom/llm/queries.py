@@ -12,9 +12,11 @@ from quarryloom.llm.jaccard_join import jaccard_components
 from quarryloom.llm.license_scan import license_scan
 from quarryloom.llm.line_dedup import line_dedup
 from quarryloom.llm.mixing import mix_sources
+from quarryloom.llm.quality_classifier import quality_classifier
 from quarryloom.llm.quality_rules import quality_rules
 from quarryloom.llm.substring_dedup import substring_dedup
 from quarryloom.llm.toxicity import held_out, toxicity
+from quarryloom.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +43,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -62,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_decontaminate, op5_license_scan, op7_line_dedup, op8_toxicity, op9_jaccard_join, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_quality_rules, op4_decontaminate, op5_license_scan, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_jaccard_join, op10_substring_dedup, pipeline)}
 
 
 OP1_SQL = r"""
