@@ -73,7 +73,7 @@ def read_tree(spark: SparkSession, root: str, purpose: str | None = "symbols", i
     if ignore:
         rows = rows.filter(~gitignored(F.col("path"), ignore))
     rows = rows.filter(F.position(F.lit(b"\x00"), F.col("content")) == 0)
-    return rows.select(F.lit(repo_root or root).alias("repo_root"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.lit(repo_root or root).alias("repo_root"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def changed_files(files: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def parse_match_events(lines: DataFrame, root: str = "", column: str = "value")
     text = "struct<text:string,bytes:string>"
     e = F.from_json(F.col(column), f"type string, data struct<path:{text},lines:{text},line_number:int>")
     rows = lines.select(e.alias("e")).filter("e.type = 'match'")
-    read = lambda c: F.coalesce(F.col(f"e.data.{c}.text"), F.decode(F.unbase64(f"e.data.{c}.bytes"), F.lit("UTF-8")))
+    read = lambda c: F.coalesce(F.col(f"e.data.{c}.text"), F.make_valid_utf8(F.unbase64(f"e.data.{c}.bytes").cast("string")))
     prefix = root.rstrip("/") + "/"
     path = F.when(read("path").startswith(prefix), F.substring(read("path"), len(prefix) + 1, 1 << 30)).otherwise(read("path")) if root else read("path")
     return rows.select(path.alias("path"), F.col("e.data.line_number").alias("line"), F.regexp_replace(read("lines"), r"\r?\n$", "").alias("text"))
