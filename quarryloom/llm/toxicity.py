@@ -27,13 +27,14 @@ from quarryloom.llm.exchange import bytes_of, pieces
 from quarryloom.llm.storage import importable
 
 #: At most so many labelled documents of each label are used, none longer than so many bytes.
-SAMPLE = 4000
+SAMPLE = 2000
 SAMPLE_BYTES = 64 << 10
 #: Features need this likelihood ratio (chi-square, one degree of freedom) and so many toxic documents; the strongest MOST stay.
 LEAST_RATIO, LEAST_DOCS, MOST = 10.0, 3, 4096
 PREFIXES = (4, 5)
 STEPS, RATE, DECAY = 300, 0.3, 1e-3
 FOLDS = 5
+PARTS = 8
 
 _SALTS = np.array([0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 _BREAK = np.zeros(256, bool)
@@ -173,23 +174,28 @@ def _chosen(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
         if len(x):
             owner = np.repeat(doc[sentence] + i, x.shape[1])
             pairs = np.unique(np.stack([x.ravel(), owner.astype(np.uint64)], 1), axis=0)
-            found.append(pairs[:, 0])
-            owners.append(pairs[:, 1].astype(np.int64))
-    if not found:
-        return np.empty(0, np.uint64)
-    keys, at = np.unique(np.concatenate(found), return_inverse=True)
-    bad = toxic[np.concatenate(owners)]
-    a, c = np.bincount(at[bad], minlength=len(keys)), np.bincount(at[~bad], minlength=len(keys))
+            found.append(pairs[:, 0].copy())
+            owners.append(pairs[:, 1].astype(np.int32))
     n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    p, q, r = a / n_bad, c / n_good, (a + c) / (n_bad + n_good)
-
-    def likely(k, n, x):
-        x = np.clip(x, 1e-12, 1 - 1e-12)
-        return k * np.log(x) + (n - k) * np.log1p(-x)
-
-    ratio = 2 * (likely(a, n_bad, p) + likely(c, n_good, q) - likely(a, n_bad, r) - likely(c, n_good, r))
-    good = np.flatnonzero((ratio >= LEAST_RATIO) & (a >= LEAST_DOCS) & (p > 4 * q))
-    return keys[good[np.argsort(-ratio[good], kind="stable")][:MOST]]
+    best: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in range(PARTS):  # one part of the hashes at a time, for the driver's memory
+        mine = [(k % np.uint64(PARTS)) == part for k in found]
+        keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[k[m] for k, m in zip(found, mine, strict=True)]]), return_inverse=True)
+        bad = toxic[np.concatenate([np.empty(0, np.int32), *[o[m] for o, m in zip(owners, mine, strict=True)]])]
+        a, c = np.bincount(at[bad], minlength=len(keys)), np.bincount(at[~bad], minlength=len(keys))
+        likely = a >= LEAST_DOCS
+        keys, a, c = keys[likely], a[likely], c[likely]
+        p, q, r = a / n_bad, c / n_good, (a + c) / (n_bad + n_good)
+        ratio = 2 * (_log_likelihood(a, n_bad, p) + _log_likelihood(c, n_good, q) - _log_likelihood(a, n_bad, r) - _log_likelihood(c, n_good, r))
+        good = (ratio >= LEAST_RATIO) & (p > 4 * q)
+        best.append((keys[good], ratio[good]))
+    keys, ratio = np.concatenate([k for k, _ in best]), np.concatenate([r for _, r in best])
+    return keys[np.lexsort((keys, -ratio))][:MOST]
+
+
+def _log_likelihood(k: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, 1e-12, 1 - 1e-12)
+    return k * np.log(x) + (n - k) * np.log1p(-x)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
