@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.config import SearchConfig
-from quarryloom.functions import formats
+from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
-from quarryloom.operators import chunking, embed, evals, fusion, merkle, rerank, search, stats, store, symbols, vector_search
+from quarryloom.operators import chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, vector_search
 from quarryloom.plans import hybrid as plans
 from quarryloom.sources.files import documents_as_files, gitignored, project_of
 from quarryloom.streaming import watch
@@ -668,6 +668,63 @@ def eval_summary(spark, d):
     return out.select("mode", "runs", F.round("success_rate", 6).alias("success_rate"), F.round("avg_duration_ns", 3).alias("avg_duration_ns"), F.round("avg_tokens_used", 6).alias("avg_tokens_used"), F.round("total_cost_usd", 6).alias("total_cost_usd"), "total_tool_calls", F.round("ref_accuracy", 6).alias("ref_accuracy"), F.round("accuracy", 6).alias("accuracy"))
 
 
+# Lookups
+
+
+@query(f"WITH {HASHES} SELECT repo_root, path, content_hash FROM h WHERE content_hash IN (SELECT content_hash FROM h WHERE path::BIGINT % 50 = 0) AND repo_root IN ('src0', 'src1', 'src2')")
+def hash_lookup(spark, d):
+    rows = locations(spark, d)
+    return lookup.by_hashes(rows, rows.filter(F.col("path").cast("long") % 50 == 0), ["src0", "src1", "src2"]).select("repo_root", "path", "content_hash")
+
+
+@query("SELECT doc_id::VARCHAR AS path, lang AS language FROM documents WHERE source = 'src3' AND lang = 'en'")
+def attribute_filter(spark, d):
+    return lookup.by_attribute(lookup.by_repo(locations(spark, d), "src3"), language="en", node_type="block").select("path", "language")
+
+
+@query(f"WITH {HASHES}, {CACHE} SELECT path, content_hash IN (SELECT content_hash FROM cache) AS exists FROM h")
+def existing_hashes(spark, d):
+    return lookup.existing(locations(spark, d), half_cache(spark, d), ("content_hash",)).select("path", "exists")
+
+
+@query(f"WITH {HASHES}, l AS (SELECT content_hash, max(path) AS path FROM h GROUP BY 1) SELECT h.path AS hit, l.path FROM h JOIN l USING (content_hash)")
+def attach_records(spark, d):
+    rows = locations(spark, d)
+    return lookup.attach_locations(rows.select("content_hash", F.col("path").alias("hit")), rows).select("hit", "path")
+
+
+@query("SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY o_custkey")
+def counts_by_key(spark, d):
+    return lookup.count_rows(table(spark, d, "orders"), ("o_custkey",))
+
+
+@query("SELECT vec_id, true AS blob_ok, true AS json_ok FROM embeddings")
+def vector_codecs(spark, d):
+    e = F.col("embedding")
+    near = lambda x: F.forall(F.zip_with(x, e, lambda a, b: F.abs(a - b)), lambda t: t < 1e-6) & (F.size(x) == F.size(e))
+    return table(spark, d, "embeddings").select("vec_id", near(blobs.from_blob(blobs.to_blob(e))).alias("blob_ok"), near(V.from_json(V.to_json(e))).alias("json_ok"))
+
+
+@query("SELECT count(*)::BIGINT AS projects, count(*) FILTER (WHERE n_nationkey % 2 = 0)::BIGINT AS watched, sum(n_nationkey)::BIGINT AS symbols, sum(n_regionkey)::BIGINT AS embeddings, 0::BIGINT AS db_bytes FROM nation")
+def registry_totals(spark, d):
+    rows = table(spark, d, "nation").select((F.col("n_nationkey") % 2 == 0).alias("watch_enabled"), F.col("n_nationkey").cast("long").alias("symbols"), F.col("n_regionkey").cast("long").alias("embeddings"), F.lit(0).cast("long").alias("db_bytes"))
+    return stats.registry_stats(rows)
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS total FROM orders) WHERE n % greatest(1, total // 100) = 1 % greatest(1, total // 100) AND n <= greatest(1, total // 100) * 100")
+def sample_every_nth(spark, d):
+    return store.every_nth(table(spark, d, "orders"), ("o_orderkey",), 100).select("o_orderkey")
+
+
+@query(f"""WITH {FILES}, {GAPS.replace("WHERE NOT regexp_matches(line, '^(\w+) (?:the|of) ')", "")}, b AS (SELECT repo_root, path, 'c' || st AS id, st, least(st + 9, n) AS en FROM (SELECT repo_root, path, unnest(range(1, n + 1, 10)) AS st, n FROM (SELECT repo_root, path, max(n) AS n FROM l GROUP BY ALL))),
+m AS (SELECT repo_root, path, n FROM l WHERE regexp_matches(line, '(?i)license')) SELECT DISTINCT m.path || ':' || m.n AS hit, m.path || ':' || st || ':' || en AS id FROM m JOIN b ON m.repo_root = b.repo_root AND m.path = b.path AND m.n BETWEEN st AND en""")
+def lines_into_chunks(spark, d):
+    hits = search.matching_lines(files(spark, d), "(?i)license").select(X.keyword_id("path", "line").alias("id"), "path", "line", X.keyword_id("path", "line").alias("hit"))
+    n = F.size(X.lines_of("text"))
+    chunks = files(spark, d).select("path", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(10))).alias("start_line")).select("path", "start_line", F.least(F.col("start_line") + 9, F.col("n")).alias("end_line"))
+    return search.into_chunks(hits, chunks).select("hit", "id")
+
+
 # Generic queries
 
 
