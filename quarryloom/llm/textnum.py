@@ -42,6 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def long_word_powers(longest: int) -> np.ndarray:
+    """By how much the values of a word's 64-byte parts are multiplied: 1 for the first, whatever else is in the slice."""
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(longest // 64, _LONG, np.uint64))))
+
+
 def _hash_slice(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     blob = (b" " + b" ".join(texts) + b" ").translate(table)
     b = np.frombuffer(blob, np.uint8)
@@ -59,8 +64,7 @@ def _hash_slice(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
     values = _CHARS.take(((pos & 63) << 8) | b[inside])
     longest = int(lens.max())
     if longest > 64:
-        powers = np.cumprod(np.full(1 + longest // 64, _LONG, np.uint64))
-        values *= powers[pos >> 6]
+        values *= long_word_powers(longest)[pos >> 6]
     return mix(np.add.reduceat(values, first)), off
 
 

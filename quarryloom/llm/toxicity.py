@@ -68,7 +68,7 @@ def sentence_features(texts: list[bytes]):
     pos = np.arange(int(lens.sum())) - np.repeat(first, lens)
     values = T._CHARS.take(((pos & 63) << 8) | b[inside])
     if lens.max() > 64:
-        values *= np.cumprod(np.full(1 + int(lens.max()) // 64, T._LONG, np.uint64))[pos >> 6]
+        values *= T.long_word_powers(int(lens.max()))[pos >> 6]
     kinds = [T.mix(np.add.reduceat(values, first) * _SALTS[0])]
     for p, salt in zip(PREFIXES, _SALTS[1:], strict=True):
         kinds.append(T.mix(np.add.reduceat(np.where(pos < p, values, np.uint64(0)), first) * salt))
