@@ -215,7 +215,8 @@ def line_chunks(spark, d):
     return chunking.line_chunks(files(spark, d))
 
 
-GAPS = r"""l AS (SELECT repo_root, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM files),
+EVERY_LINE = "l AS (SELECT repo_root, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM files)"
+GAPS = EVERY_LINE + r""",
 u AS (SELECT repo_root, path, n, n - row_number() OVER (PARTITION BY repo_root, path ORDER BY n) AS island FROM l WHERE NOT regexp_matches(line, '^(\w+) (?:the|of) '))"""
 
 
@@ -524,7 +525,16 @@ def flagship(spark, d) -> DataFrame:
     return rerank.rerank(fused.limit(40), contents, rerank.overlap_scores("released under the license"), 20).orderBy("position").limit(20)
 
 
-@query()
+HYBRID = f"""WITH {KW_CTE.replace('i <= 40', 'i <= 80')}, {SEMANTIC.replace('LIMIT 40)', 'LIMIT 80)')},
+al AS (SELECT path || ':' || n AS id, path, 0.3 / (60 + rank) AS part, (101 - rank)::DOUBLE AS score FROM r WHERE rank <= 40 UNION ALL SELECT path || ':' || start_line || ':' || end_line, path, 0.5 / (60 + row_number() OVER (ORDER BY round(score, 12) DESC, path || ':' || start_line || ':' || end_line)), score FROM sem WHERE rank <= 40),
+f AS (SELECT id, min(path) AS path, sum(part) AS rrf, max(score) AS score, count(*) AS k FROM al GROUP BY id), p AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, score DESC, k DESC, id) AS old FROM f),
+ct AS (SELECT doc_id::VARCHAR AS path, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')), ['released', 'under', 'the', 'license'])) / 4.0 AS s FROM documents),
+j AS (SELECT p.id, rrf, old, CASE WHEN old <= 20 THEN ct.s::DOUBLE END AS s, old <= 20 AS head FROM p LEFT JOIN ct ON p.path = ct.path WHERE old <= 40),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN s IS NOT NULL THEN 0 WHEN head THEN 1 ELSE 2 END, s DESC NULLS LAST, old) AS position FROM j)
+SELECT id, position::INT AS position, round(rrf, 9) AS rrf_score, round(s, 6) AS rerank_score, s IS NOT NULL AS reranked FROM o WHERE position <= 20"""
+
+
+@query(HYBRID)
 def hybrid_v2_rerank(spark, d):
     return flagship(spark, d).select("id", "position", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "reranked")
 
@@ -716,7 +726,7 @@ def sample_every_nth(spark, d):
     return store.every_nth(table(spark, d, "orders"), ("o_orderkey",), 100).select("o_orderkey")
 
 
-@query(f"""WITH {FILES}, {GAPS.replace("WHERE NOT regexp_matches(line, '^(\w+) (?:the|of) ')", "")}, b AS (SELECT repo_root, path, 'c' || st AS id, st, least(st + 9, n) AS en FROM (SELECT repo_root, path, unnest(range(1, n + 1, 10)) AS st, n FROM (SELECT repo_root, path, max(n) AS n FROM l GROUP BY ALL))),
+@query(f"""WITH {FILES}, {EVERY_LINE}, b AS (SELECT repo_root, path, 'c' || st AS id, st, least(st + 9, n) AS en FROM (SELECT repo_root, path, unnest(range(1, n + 1, 10)) AS st, n FROM (SELECT repo_root, path, max(n) AS n FROM l GROUP BY ALL))),
 m AS (SELECT repo_root, path, n FROM l WHERE regexp_matches(line, '(?i)license')) SELECT DISTINCT m.path || ':' || m.n AS hit, m.path || ':' || st || ':' || en AS id FROM m JOIN b ON m.repo_root = b.repo_root AND m.path = b.path AND m.n BETWEEN st AND en""")
 def lines_into_chunks(spark, d):
     hits = search.matching_lines(files(spark, d), "(?i)license").select(X.keyword_id("path", "line").alias("id"), "path", "line", X.keyword_id("path", "line").alias("hit"))
