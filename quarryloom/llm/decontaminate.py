@@ -26,7 +26,7 @@ from pyspark.sql import types as S
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import importable
+from quarryloom.llm.storage import prepare_workers
 
 #: A broadcast block of the benchmark has at most about so many bytes of text.
 BLOCK_BYTES = 16 << 20
@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     benchmark hits nothing. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
-    importable(spark)
+    prepare_workers(spark)
     docs = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), docs["text"].cast("string").alias("text"))
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]

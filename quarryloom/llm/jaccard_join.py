@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import CHUNK_BYTES, SENT, Shared, bytes_of, chunk_of, dealt, ids_of, pieces, send, shared_keys
 from quarryloom.llm.graph import connected_components
-from quarryloom.llm.storage import importable, parts_for, settle
+from quarryloom.llm.storage import prepare_workers, parts_for, settle
 
 BANDS, ROWS = 6, 2
 #: A block of a group has about so many documents and tokens at most; so many queries meet it at a time.
@@ -97,7 +97,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     text has an id; its component_id is then that one's, else null. Other
     columns of docs are neither read nor returned.
     """
-    importable(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n = parts_for(docs, CHUNK_BYTES)
     rows = settle(jaccard_classes(docs, shingle, n), "sets")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import importable
+from quarryloom.llm.storage import prepare_workers
 
 # The phrases that every scan counts, with their labels.
 BASE = {
@@ -195,7 +195,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     be parsed are passed over. Repeated rows are scanned alike; other columns
     are neither read nor returned.
     """
-    importable(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_())
     names = [c.split()[0] for c in OUT.split(", ")]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import importable, settle
+from quarryloom.llm.storage import prepare_workers, settle
 
 SAMPLE, POOL = 6000, 6000
 ROUNDS, SHARE = 5, 0.05
@@ -161,7 +161,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     both labels occur all documents get the share of label 1 (1.0 without any label).
     """
     spark = docs.sparkSession
-    importable(spark)
+    prepare_workers(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), docs["n_chars"].cast("long").alias("n_chars"))
     marks = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("int").alias("quality")).filter("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
     total = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}

@@ -7,24 +7,33 @@ by as many tasks as it needs.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import math
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-LOCAL_FALLBACK = "quarryloom-scratch"
+LOCAL_FALLBACK = "quarryloom-"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where it is unset."""
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     said = said or spark.conf.get("spark.checkpoint.dir", None)
-    if not said:
-        said = "file://" + os.path.join(tempfile.gettempdir(), LOCAL_FALLBACK)
-        spark.conf.set("spark.checkpoint.dir", said)
-    return said.rstrip("/")
+    return (said or _own_dir()).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    """A folder of this process, deleted at its end: for tests and single machines."""
+    path = tempfile.mkdtemp(prefix=LOCAL_FALLBACK)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -44,23 +53,37 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What Catalyst knows of the size of df, without running anything."""
+#: Estimates up to this size are taken as they are; beyond it the texts are measured.
+TRUSTED_BYTES = 64 << 30
+
+
+def text_bytes(df: DataFrame) -> int:
+    """About how many bytes df's texts have: what Catalyst knows of its files, or a sum where that knows nothing or sees very much."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    return size if size <= TRUSTED_BYTES else int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
 def parts_for(df: DataFrame, target_bytes: int) -> int:
-    """Partitions of about target_bytes each, at least the session's shuffle partitions."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, least, math.ceil(estimated_bytes(df) / target_bytes))
+    """Partitions of about target_bytes of text each, at least the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1, least, math.ceil(text_bytes(df) / target_bytes)), (1 << 31) - 1)
+
+
+#: Arrow batches of more bytes than this are made smaller.
+BATCH_BYTES = 16 << 20
+
 
+def prepare_workers(spark: SparkSession) -> None:
+    """Lets Python workers find this package when it isn't installed, and keeps them small.
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers find this package when it isn't installed."""
+    Batches of long texts are bounded in bytes, and the workers' allocator gives
+    large arrays back to the system instead of holding them for later.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import CHUNK_BYTES, SENT, Shared, bytes_of, cut, dealt, ids_of, send, shared_keys
-from quarryloom.llm.storage import importable, parts_for
+from quarryloom.llm.storage import prepare_workers, parts_for
 
 _RUNS = "bucket int, chunk int, runs binary, least binary"
 _FIRST = "chunk int, runs binary, least binary"
@@ -73,7 +73,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, with_text: bool = Fals
     other's words. A text of fewer than min_words words stays whole. Columns
     other than doc_id and text are neither read nor returned.
     """
-    importable(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     gram = max(1, min_words // 2)
     width = min_words - gram + 1
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

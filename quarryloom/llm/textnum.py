@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SEED = 0x51EE5
 
 _rng = np.random.Generator(np.random.PCG64(SEED))

@@ -24,7 +24,7 @@ from pyspark.sql import types as S
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import importable
+from quarryloom.llm.storage import prepare_workers
 
 #: At most so many labelled documents of each label are used, none longer than so many bytes.
 SAMPLE = 2000
@@ -233,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     that. Without toxic or without clean labels all sentences score alike,
     by the share of toxic labels. Repeated rows score alike.
     """
-    importable(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # MOST weights at most
     names = [c for c in docs.columns if c not in {n for n, *_ in OUT}]
     docs = docs.select(*[docs[c] for c in names])
