@@ -42,8 +42,7 @@ def rerank(candidates: DataFrame, contents: DataFrame, provider: Provider | None
     content follow in their old order, then the tail. Without a provider, or
     if none has a content, the old order stays and reranked is false. contents: id, content.
     """
-    w = Window.orderBy(*fused_order())
-    # The head is cut first, so that the window goes over top_k rows.
+    w = Window.orderBy(*fused_order())  # over a fused list, which its limits keep short
     placed = candidates.withColumn("old", F.row_number().over(w))
     if provider is None:
         return placed.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("reranked", F.lit(False)).withColumnRenamed("old", "position")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom import schemas
-from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.operators.evals import CASE, RUN
 from quarryloom.operators.merkle import not_ignored
