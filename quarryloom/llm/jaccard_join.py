@@ -12,12 +12,13 @@ whose bound reaches the threshold are opened and their members compared.
    first few of this order; a document whose first few are all its own is
    similar to none and leaves here.
 3. Groups: documents that agree on min-hashes are linked to the most central
-   of them if they are similar enough; linked documents make a group, which
-   is split into blocks of bounded size.
-4. The matrix, stored sparsely as (token, group), names for each query the
-   groups of other components that it could have a partner in. Blocks whose
-   token union is too far from the query stay shut; the rest are opened, and
-   one link to a block's component is enough.
+   of them if they are similar enough. Linked documents make a group; others
+   that met in the same buckets make one as well, though they aren't linked.
+   Groups are split into blocks of bounded size.
+4. The matrix, stored sparsely as (token, block), names for each query the
+   blocks that could hold a partner of another component. Blocks whose token
+   union is too far from the query stay shut; the rest are opened, and the
+   query is compared with all members at once.
 
 The result is exact: step 3 only saves work, step 4 misses no link between
 documents of different groups.
@@ -160,7 +161,7 @@ def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: in
 
 
 def _groups(active: DataFrame, num: int, den: int) -> DataFrame:
-    """(rep, n, grp, blk): groups of similar documents, by verified links to the most central document of each min-hash bucket."""
+    """(rep, n, grp, linked, clu, part): grp is the component by verified links to the most central document of each min-hash bucket; clu and part name the block."""
     buckets = active.select("rep", "n", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
     met = buckets.join(sizes, "band")
@@ -180,50 +181,56 @@ def _groups(active: DataFrame, num: int, den: int) -> DataFrame:
 
     links = pairs.join(a, "rep").join(b, "leader").select("rep", "leader", "a", "b").mapInArrow(similar, "rep long, leader long")
     near = connected_components(links, "rep", "leader")
-    members = active.select("rep", "n").join(near, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "rep").alias("grp"))
-    size = members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    return members.join(size, "grp").select("rep", "n", "grp", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk"))
+    # Those without a link go with others of their kind, by the most central leader of their buckets.
+    kind = met.select("rep", "band").join(central.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"))).alias("l")), "band").groupBy("rep").agg((-F.max("l").getField("col2")).alias("kind"))
+    members = active.select("rep", "n").join(near, F.col("rep") == F.col("node"), "left").join(kind, "rep", "left")
+    members = members.select("rep", "n", F.coalesce("label", "rep").alias("grp"), F.col("label").isNotNull().alias("linked"), F.coalesce("label", "kind", "rep").alias("clu"))
+    size = members.groupBy("linked", "clu").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    return members.join(size, ["linked", "clu"]).select("rep", "n", "grp", "linked", "clu", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"))
+
+
+BLOCK = ("linked", "clu", "part")
 
 
 def _open(active: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between groups, one at least for each query and block that has any."""
+    """(a, b): links between components, one at least for each two that have any."""
     prefix = active.select("rep", "indexed", F.posexplode("prefix").alias("pos", "token")).join(groups, "rep")
-    matrix = prefix.filter("pos < indexed").groupBy("token", "grp", "blk").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"))
-    queries = prefix.select("token", "rep", "n", "grp")
-    reached = matrix.select("token", F.col("grp").alias("to")).distinct().join(queries.select("token", "grp").distinct(), "token").filter("grp <> to")
-    found = queries.join(reached, ["token", "grp"]).join(matrix.withColumnRenamed("grp", "to"), ["token", "to"])
-    found = found.filter(f"n >= min_n and {num} * n <= {den} * max_n").select(F.col("rep").alias("q"), "to", "blk").distinct()
-    found = settle(found, "candidates")
-
-    turns = found.groupBy("to", "blk").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
-    asked = found.join(turns, ["to", "blk"]).withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int"))
-    asked = asked.join(groups.select(F.col("rep").alias("q"), F.col("grp").alias("q_grp")), "q").join(active.select(F.col("rep").alias("q"), "tokens"), "q").select("to", "blk", "turn", "q_grp", "tokens")
-    shown = groups.withColumnRenamed("grp", "to").join(turns, ["to", "blk"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).join(active.select("rep", "tokens"), "rep").select("to", "blk", "turn", "tokens")
+    matrix = prefix.filter("pos < indexed").groupBy("token", *BLOCK).agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("rep").alias("first"), F.max("rep").alias("last"))
+    queries = prefix.select("token", F.col("rep").alias("q"), "n", "grp")
+    size = f"n >= min_n and {num} * n <= {den} * max_n"
+    # Blocks of linked documents hold one component: for these a token first joins components, so that none meets itself.
+    whole = matrix.filter("linked").withColumn("to", F.col("clu"))
+    reached = whole.select("token", "to").distinct().join(queries.select("token", "grp").distinct(), "token").filter("grp <> to")
+    found = queries.join(reached, ["token", "grp"]).join(whole, ["token", "to"]).filter(size).select("q", *BLOCK)
+    mixed = queries.join(matrix.filter("not linked"), "token").filter(size).filter("first <> q or last <> q").select("q", *BLOCK)
+    found = settle(found.unionByName(mixed).distinct(), "candidates")
+
+    turns = found.groupBy(*BLOCK).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
+    asked = found.join(turns, list(BLOCK)).withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int"))
+    asked = asked.join(groups.select(F.col("rep").alias("q"), "grp"), "q").join(active.select(F.col("rep").alias("q"), "tokens"), "q")
+    shown = groups.join(turns, list(BLOCK)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).join(active.select("rep", "tokens"), "rep")
+    keys = (*BLOCK, "turn")
+    asked, shown = (df.select(*[F.col(c).alias(c) for c in (*keys, "grp", "tokens")]) for df in (asked, shown))  # both come from active: columns of their own
 
     def opened(key: tuple, asked: pa.Table, shown: pa.Table) -> pa.Table:
+        if not asked.num_rows or not shown.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         members = [np.frombuffer(x, np.uint64) for x in shown["tokens"].to_pylist()]
-        union = np.unique(np.concatenate(members)) if members else np.empty(0, np.uint64)
-        least = min(map(len, members), default=0)
-        linked = set()
-        for grp, x in zip(asked["q_grp"].to_pylist(), asked["tokens"].to_pylist(), strict=True):
+        grps, sizes = shown["grp"].to_numpy(), np.array([len(m) for m in members])
+        union = np.unique(np.concatenate(members))
+        holds = np.zeros((len(members), len(union)), bool)
+        for i, m in enumerate(members):
+            holds[i, np.searchsorted(union, m)] = True
+        linked: set[tuple[int, int]] = set()
+        for grp, x in zip(asked["grp"].to_pylist(), asked["tokens"].to_pylist(), strict=True):
             q = np.frombuffer(x, np.uint64)
-            floor = max(least, -(-num * len(q) // den))
-            if grp in linked or (num + den) * _overlap(q, union) < num * (len(q) + floor):
+            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+            at = at[union[at] == q]
+            floor = max(int(sizes.min()), -(-num * len(q) // den))
+            if (num + den) * len(at) < num * (len(q) + floor):
                 continue
-            for m in members:
-                if den * min(len(q), len(m)) >= num * max(len(q), len(m)) and (num + den) * _overlap(q, m) >= num * (len(q) + len(m)):
-                    linked.add(grp)
-                    break
-        to = [key[0].as_py()] * len(linked)
-        return pa.table({"a": pa.array(list(linked), pa.int64()), "b": pa.array(to, pa.int64())})
-
-    keys = ("to", "blk", "turn")
-    asked, shown = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asked, shown))  # both come from active: columns of their own
-    return asked.groupBy(*keys).cogroup(shown.groupBy(*keys)).applyInArrow(opened, "a long, b long")
+            enough = (num + den) * holds[:, at].sum(1) >= num * (len(q) + sizes)
+            linked.update((grp, int(g)) for g in grps[enough] if g != grp)
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
-
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    if not len(y):
-        return 0
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int((y[at] == x).sum())
+    return asked.groupBy(*keys).cogroup(shown.groupBy(*keys)).applyInArrow(opened, "a long, b long")
