@@ -41,7 +41,7 @@ from quarryloom.llm.storage import prepare_workers, parts_for, settle
 
 BANDS, ROWS = 6, 2
 #: A block of a group has about so many documents and tokens at most; so many queries meet it at a time.
-BLOCK_DOCS, BLOCK_TOKENS, BLOCK_QUERIES = 64, 1 << 18, 256
+BLOCK_DOCS, BLOCK_TOKENS, BLOCK_QUERIES = 128, 1 << 17, 256
 
 _MINHASH = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,7 +115,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
 
 
 def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int, n: int) -> DataFrame:
-    """Of each class that may have a partner: rep, n, tokens, the shared tokens of its prefix and how many of them it is indexed by, min-hash bands."""
+    """Of each class that may have a partner: rep, n, tokens, how many of them it has alone, the shared tokens of its prefix and how many of them it is indexed by, min-hash bands."""
     chunks = dealt(docs, n, "doc_id", "text")
 
     def own(table: pa.Table, reps: dict):
@@ -135,7 +135,7 @@ def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: in
         is_rep = told["sig"].is_valid()
         reps = told.filter(is_rep)
         shared = Shared(told.filter(told["keys"].is_valid()), n)
-        out = {k: [] for k in ("rep", "n", "tokens", "prefix", "indexed", "bands")}
+        out = {k: [] for k in ("rep", "n", "tokens", "alone", "prefix", "indexed", "bands")}
         for d, tokens in own(table, dict.fromkeys(zip(reps["rep"].to_pylist(), reps["sig"].to_pylist(), strict=True), True)):
             size = len(tokens)
             probe = size + (-num * size // den) + 1
@@ -149,15 +149,16 @@ def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: in
             out["rep"].append(d)
             out["n"].append(size)
             out["tokens"].append(tokens.tobytes())
+            out["alone"].append(alone)
             out["prefix"].append(tokens[some].view(np.int64))
             out["indexed"].append(max(0, index - alone))
             out["bands"].append(_bands(tokens))
-        kinds = {"rep": pa.int64(), "n": pa.int64(), "tokens": pa.binary(), "prefix": pa.list_(pa.int64()), "indexed": pa.int32(), "bands": pa.list_(pa.int64())}
+        kinds = {"rep": pa.int64(), "n": pa.int64(), "tokens": pa.binary(), "alone": pa.int32(), "prefix": pa.list_(pa.int64()), "indexed": pa.int32(), "bands": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     sent = chunks.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(tokens_out, SENT)
     told = shared_keys(sent).unionByName(classes, allowMissingColumns=True)
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(prefixes, "rep long, n long, tokens binary, prefix array<long>, indexed int, bands array<long>")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(prefixes, "rep long, n long, tokens binary, alone int, prefix array<long>, indexed int, bands array<long>")
 
 
 def _groups(active: DataFrame, num: int, den: int) -> DataFrame:
@@ -194,10 +195,12 @@ BLOCK = ("linked", "clu", "part")
 
 def _open(active: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links between components, one at least for each two that have any."""
-    prefix = active.select("rep", "indexed", F.posexplode("prefix").alias("pos", "token")).join(groups, "rep")
-    matrix = prefix.filter("pos < indexed").groupBy("token", *BLOCK).agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("rep").alias("first"), F.max("rep").alias("last"))
-    queries = prefix.select("token", F.col("rep").alias("q"), "n", "grp")
-    size = f"n >= min_n and {num} * n <= {den} * max_n"
+    prefix = active.select("rep", "alone", "indexed", F.posexplode("prefix").alias("pos", "token")).join(groups, "rep")
+    prefix = prefix.withColumn("rest", F.col("n") - F.col("alone") - F.col("pos"))  # tokens from this one on
+    matrix = prefix.filter("pos < indexed").groupBy("token", *BLOCK).agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.max("rest").alias("most"))
+    queries = prefix.select("token", F.col("rep").alias("q"), "n", "grp", "rest")
+    # Sizes that can go together, and as many tokens left on both sides of the first common token as the overlap needs.
+    size = f"n >= min_n and {num} * n <= {den} * max_n and {num + den} * least(rest, most) >= {num} * (n + greatest(min_n, ceil({num} * n / {den})))"
     # Blocks of linked documents hold one component: for these a token first joins components, so that none meets itself.
     whole = matrix.filter("linked").withColumn("to", F.col("clu"))
     reached = whole.select("token", "to").distinct().join(queries.select("token", "grp").distinct(), "token").filter("grp <> to")
