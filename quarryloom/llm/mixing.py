@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryloom.llm.storage import settle
+
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: A range of keys has about so many documents.
@@ -65,8 +67,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPE
     size = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     # A key that SQL can make too: the first hex digits of an md5.
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary"))
-    kept = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(None))
+    kept = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     sized = docs.select(kept.alias("kept"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), digest.alias("key"))
+    sized = settle(sized, "sized")  # read three times from here on, without the texts
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sources, weights, most).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("long")).withColumnRenamed("source", "of")
     unit = F.conv(F.substring("key", 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
