@@ -112,7 +112,9 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, order: int = ORDER) -> Da
     judged = cut.withColumns({"rule": rule_of(host, path, rules, lambda r: r[0] + r[1]), "said": rule_of(host, path, rules, lambda r: r[2]), "text": F.concat(host, path)})
     told = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(FOLDS)) == 0
     # Equal URLs are one row with a count from here on.
-    urls = settle(judged.groupBy("text", "said").agg(F.count("*").alias("n")).withColumn("told", told), "urls")
+    urls = judged.groupBy("text", "said").agg(F.count("*").alias("n")).withColumn("told", told)
+    # Written by as many tasks as there are partitions: each URL becomes a row for each character later on.
+    urls = settle(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text"), "urls")
     seen = F.when(F.col("told"), 0).otherwise(F.col("n"))
     good, bad = F.when(F.col("said") == "allow", seen).otherwise(0), F.when(F.col("said") == "block", seen).otherwise(0)
     marked = urls.select("text", good.cast("long").alias("good"), bad.cast("long").alias("bad"))
