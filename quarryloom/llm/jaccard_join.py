@@ -200,12 +200,15 @@ def _open(active: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
     matrix = prefix.filter("pos < indexed").groupBy("token", *BLOCK).agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.max("rest").alias("most"))
     queries = prefix.select("token", F.col("rep").alias("q"), "n", "grp", "rest")
     # Sizes that can go together, and as many tokens left on both sides of the first common token as the overlap needs.
-    size = f"n >= min_n and {num} * n <= {den} * max_n and {num + den} * least(rest, most) >= {num} * (n + greatest(min_n, ceil({num} * n / {den})))"
+    fits = f"most_n >= min_n and {num} * n <= {den} * max_n and {num + den} * least(rest, most) >= {num} * (n + greatest(min_n, ceil({num} * n / {den})))"
+    queries = queries.withColumn("most_n", F.col("n"))
     # Blocks of linked documents hold one component: for these a token first joins components, so that none meets itself.
     whole = matrix.filter("linked").withColumn("to", F.col("clu"))
-    reached = whole.select("token", "to").distinct().join(queries.select("token", "grp").distinct(), "token").filter("grp <> to")
-    found = queries.join(reached, ["token", "grp"]).join(whole, ["token", "to"]).filter(size).select("q", *BLOCK)
-    mixed = queries.join(matrix.filter("not linked"), "token").filter(size).filter("first <> q or last <> q").select("q", *BLOCK)
+    goals = whole.groupBy("token", "to").agg(F.min("min_n").alias("min_n"), F.max("max_n").alias("max_n"), F.max("most").alias("most"))
+    sides = queries.groupBy("token", "grp").agg(F.min("n").alias("n"), F.max("n").alias("most_n"), F.max("rest").alias("rest"))
+    reached = goals.join(sides, "token").filter("grp <> to").filter(fits).select("token", "to", "grp")
+    found = queries.join(reached, ["token", "grp"]).join(whole, ["token", "to"]).filter(fits).select("q", *BLOCK)
+    mixed = queries.join(matrix.filter("not linked"), "token").filter(fits).filter("first <> q or last <> q").select("q", *BLOCK)
     found = settle(found.unionByName(mixed).distinct(), "candidates")
 
     turns = found.groupBy(*BLOCK).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
