@@ -7,7 +7,9 @@ reach the threshold are taken out of all texts.
 
 Copies of a whole text count as one text, on the smallest of their sites:
 a document that was copied around is for near-duplicate removal, its lines
-aren't boilerplate by that alone.
+aren't boilerplate by that alone. With every_site all sites of all copies
+count, and the copies are guarded by a condition of their own: the line must
+also stand in as many distinct texts.
 """
 
 from __future__ import annotations
@@ -33,25 +35,28 @@ def _hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare, F.length(bare)))
 
 
-def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, every_site: bool = False) -> DataFrame:
     """(line, sites): hashes of the lines on min_sites sites or more; sites is exact near the threshold, else estimated."""
-    lines = _text_lines(docs, site)
-    return _boilerplate(lines, min_sites).select("line", "sites")
+    lines = _text_lines(docs, site, every_site)
+    return _boilerplate(lines, min_sites, every_site).select("line", "sites")
 
 
-def _text_lines(docs: DataFrame, site: str) -> DataFrame:
-    """Each line of each distinct text once: text_key, line, and the smallest of the text's sites."""
+def _text_lines(docs: DataFrame, site: str, every_site: bool) -> DataFrame:
+    """Each line of each distinct text once: text_key, line, and the smallest of the text's sites; with every_site once for each of them."""
     text = docs["text"].cast("string")
     place = F.coalesce(F.concat(F.lit("="), docs[site].cast("string")), F.lit("?"))
     each = docs.select(_key(text).alias("text_key"), place.alias("site"), F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line"))
-    return settle(each.filter("line is not null").groupBy("text_key", "line").agg(F.min("site").alias("site")), "lines")
+    each = each.filter("line is not null")
+    return settle(each.select("text_key", "line", "site").distinct() if every_site else each.groupBy("text_key", "line").agg(F.min("site").alias("site")), "lines")
 
 
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
+def _boilerplate(lines: DataFrame, min_sites: int, every_site: bool) -> DataFrame:
+    if every_site:
+        return _spread(lines, min_sites)
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
     sure = spread.filter(F.col("estimate") > high).select("line", F.col("estimate").cast("long").alias("sites"))
@@ -61,9 +66,26 @@ def _boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def _spread(lines: DataFrame, least: int) -> DataFrame:
+    """(line, sites) of the lines that stand on least sites and in least distinct texts, however the two meet."""
+    low, high = least * (1 - NEAR), least * (1 + NEAR)
+    kinds = {"site": "sites", "text_key": "texts"}
+    sketched = lines.groupBy("line").agg(*[F.hll_sketch_agg(c, F.lit(LG_K)).alias(n) for c, n in kinds.items()]).select("line", *[F.hll_sketch_estimate(n).alias(n) for n in kinds.values()])
+    many = settle(sketched.filter((F.col("sites") >= low) & (F.col("texts") >= low)), "spread")
+    out = many
+    for c, n in kinds.items():
+        near = many.filter(F.col(n) <= high).select("line")
+        exact = lines.select("line", c).distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
+        out = out.join(exact, "line", "left").withColumn(n, F.coalesce("exact", F.col(n).cast("long"))).drop("exact").filter(F.col(n) >= least)
+    return out.select("line", "sites")
+
+
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, every_site: bool = False) -> DataFrame:
     """docs without the lines that stand on min_sites distinct sites or more.
 
+    A text that was copied counts on the smallest of its sites; with every_site
+    on all of them, and a line must also stand in min_sites distinct texts.
+
     Lines are \\n-separated and compared without white space around them; lines
     without words are never removed. Returns docs' columns, text without those
     lines, and n_lines and n_removed (columns of docs with these two names are
@@ -73,8 +95,8 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     site is a site of its own. A text all of whose lines go stays as "".
     Repeated rows are treated alike and all returned.
     """
-    lines = _text_lines(docs, site)
-    gone = lines.join(_boilerplate(lines, min_sites).select("line"), "line", "left_semi").groupBy("text_key").agg(F.collect_set("line").alias("gone"))
+    lines = _text_lines(docs, site, every_site)
+    gone = lines.join(_boilerplate(lines, min_sites, every_site).select("line"), "line", "left_semi").groupBy("text_key").agg(F.collect_set("line").alias("gone"))
     text = docs["text"].cast("string")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(text).alias("key"))
     found = whole.join(gone, whole["key"] == gone["text_key"], "left")

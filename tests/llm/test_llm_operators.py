@@ -410,6 +410,23 @@ def test_lines(spark):
     assert boilerplate_lines(df, min_sites=4).count() == 2 and line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_on_every_site_of_copies(spark):
+    """Texts that all stand on one hot site too: each has its other site counted; a text that was only copied keeps its lines."""
+    rows = [(2 * i + k, f"own {i}\nfooter\nedge {i < 9}", s) for i in range(12) for k, s in enumerate(("a", f"b{i}"))]
+    rows += [(100 + i, "copied\npage", f"c{i}") for i in range(30)]
+    df = table(spark, rows)
+    assert [r["sites"] for r in boilerplate_lines(df, every_site=True).collect()] == [13]
+    out = {r["doc_id"]: r["text"] for r in line_dedup(df, every_site=True).collect()}
+    assert out == {i: t.replace("\nfooter", "") for i, t, _ in rows}
+
+
+def test_pipeline_counts_every_site(spark):
+    import corpus_pipeline
+
+    df = table(spark, [(2 * i + k, f"own {i}\nfooter", s) for i in range(12) for k, s in enumerate(("a", f"b{i}"))])
+    assert not [r for r in corpus_pipeline.remove_boilerplate(spark, df, "").collect() if "footer" in r["text"]]
+
+
 # 9
 
 
