@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from quarryloom.llm.jaccard_join import jaccard_components
 from quarryloom.llm.license_scan import license_scan
 from quarryloom.llm.line_dedup import boilerplate_lines, line_dedup
 from quarryloom.llm.mixing import mix_sources
-from quarryloom.llm.quality_classifier import quality_classifier
+from quarryloom.llm.quality_classifier import ROUNDS, SHARE, CoTrained, passed_on, quality_classifier
 from quarryloom.llm.quality_rules import quality_rules, text_stats
 from quarryloom.llm.substring_dedup import substring_dedup
 from quarryloom.llm.toxicity import toxicity
@@ -337,6 +338,25 @@ def test_quality_is_learned(spark, docs):
     assert [r[0] for r in alone] == [1.0]
 
 
+def test_every_unlabelled_document_can_be_passed_on():
+    """More documents than any pool: each round's share is of all of them, and all are sums of their parts."""
+    rng = np.random.default_rng(2)
+    n = 20000
+    y = np.arange(400) % 2.0
+    truth = rng.integers(0, 2, n)
+    x = tuple(rng.normal(size=(400, k)) + 2 * y[:, None] for k in (3, 2))
+    free = tuple(rng.normal(size=(n, k)) + 2 * truth[:, None] for k in (3, 2))
+    ids = np.arange(n)
+
+    def over(f):
+        return sum(f(tuple(a[i : i + 1700] for a in free), ids[i : i + 1700]) for i in range(0, n, 1700))
+
+    model = CoTrained(x, y, np.arange(400) % 5 == 0, over)
+    to, mark = passed_on(model.rounds, free, ids)
+    assert abs((to >= 0).sum() - 2 * ROUNDS * SHARE * n) <= 0.02 * n
+    assert (mark == truth)[to >= 0].mean() > 0.95 and ((model.score(free)[0] >= 0.5) == truth).mean() > 0.95
+
+
 def toxic_rows(n=500):
     rng = random.Random(3)
     rows, marks = [], []
