@@ -1,16 +1,20 @@
 """Exchanges of many small keys between chunks of documents.
 
-Documents are dealt out to chunks. A chunk sends its keys, sorted and packed
-in binary cells, to buckets of the key space; a bucket finds the keys that
-more than one document has and sends those, with their counts, back to the
-chunks they came from. A chunk sends a key a bounded number of times however
-often it occurs there, so a key that half of the corpus has costs its bucket
-a few entries for each chunk.
+Documents are dealt out to chunks of a few MB, many chunks to a partition. A
+chunk sends its keys, sorted and packed in binary cells, to buckets of the
+key space; a bucket finds the keys that more than one document has and sends
+those, with their counts, back to the chunks they came from. There are as
+many buckets as partitions, not as chunks, so a cell keeps its size when the
+corpus grows. A chunk sends a key a bounded number of times however often it
+occurs there, so a key that half of the corpus has costs its bucket a few
+entries for each chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +22,64 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.llm.storage import settle
+
+#: Bytes of text in a chunk, which one call in Python holds, and in a partition, which is a task and a bucket.
 CHUNK_BYTES = 4 << 20
+PART_BYTES = 32 << 20
 #: A chunk sends a key at most so many times.
 TIMES = 16
+#: A row that stands in a table so many times or more is dealt out once, with its number.
+MANY = 64
+HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 SENT = "bucket int, chunk int, keys binary"
 SHARED = "chunk int, bucket int, keys binary, counts binary"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How many chunks a table of so many bytes of text is dealt out to, and to how many partitions and buckets."""
+
+    chunks: int
+    parts: int
+
+    @classmethod
+    def of(cls, size: int, least: int) -> Layout:
+        parts = max(1, least, math.ceil(size / PART_BYTES))
+        return cls(min(max(parts, math.ceil(size / CHUNK_BYTES)), (1 << 31) - 1), parts)
+
+
+def gathered(docs: DataFrame) -> tuple[DataFrame, Layout]:
+    """(doc_id, text and copies, the rows of docs that have words; their layout).
+
+    A row that stands in docs MANY times or more comes once, with their
+    number as copies, so that no chunk holds a third of all rows; other rows
+    come as they are. Which those are is counted by a hash of the row before
+    any text moves; rows of one hash but another text are told apart.
+    """
+    rows = docs.filter(F.col("text").rlike(HAS_WORDS))
+    key = F.xxhash64("doc_id", "text")
+    counts = rows.groupBy(key.alias("same")).agg(F.count("*").alias("c"), F.sum(F.octet_length("text")).alias("size"))
+    often = settle(counts.groupBy(F.when(F.col("c") >= MANY, F.col("same")).alias("same")).agg(F.sum("size").alias("size")), "often")
+    size = often.agg(F.sum("size")).first()[0] or 0
+    layout = Layout.of(int(size), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    often = often.filter("same is not null").select("same")
+    if often.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long")), layout
+    marked = rows.withColumn("same", key)
+    alone = marked.join(often, "same", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    together = marked.join(often, "same", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return alone.unionByName(together), layout
+
+
 def chunk_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def dealt(docs: DataFrame, n: int, *by: str) -> DataFrame:
+def dealt(docs: DataFrame, layout: Layout, *by: str) -> DataFrame:
     """docs with their chunk, each chunk in one partition; built alike each time, so that one shuffle serves all that read it."""
-    return docs.withColumn("chunk", chunk_of(n, *by)).repartition(n, "chunk")
+    return docs.withColumn("chunk", chunk_of(layout.chunks, *by)).repartition(layout.parts, "chunk")
 
 
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -74,7 +121,7 @@ def cut(sorted_keys: np.ndarray, n: int):
 
 
 def send(chunk: int, keys: np.ndarray, n: int) -> pa.Table:
-    """Packs keys (one for each document that has it) for their buckets."""
+    """Packs keys (one for each document that has it) for their buckets, n at most and so many cells."""
     keys = np.sort(keys)
     if len(keys) > TIMES:
         again = np.zeros(len(keys), bool)
@@ -128,5 +175,8 @@ class Shared:
         if not len(self.keys):
             return np.ones(len(keys), np.uint8)
         short = (bucket_of(keys, self.n) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-        at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
-        return np.where(self.keys[at] == short, self.counts[at], 1).astype(np.uint8)
+        order = np.argsort(short)  # a search in order stays in the cache
+        at = np.minimum(np.searchsorted(self.keys, short[order]), len(self.keys) - 1)
+        out = np.empty(len(short), np.uint8)
+        out[order] = np.where(self.keys[at] == short[order], self.counts[at], 1)
+        return out

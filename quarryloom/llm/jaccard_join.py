@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.llm import textnum as T
-from quarryloom.llm.exchange import CHUNK_BYTES, SENT, Shared, bytes_of, chunk_of, dealt, ids_of, pieces, send, shared_keys
+from quarryloom.llm.exchange import HAS_WORDS, SENT, Layout, Shared, bytes_of, chunk_of, dealt, gathered, ids_of, pieces, send, shared_keys
 from quarryloom.llm.graph import connected_components
-from quarryloom.llm.storage import prepare_workers, parts_for, settle
+from quarryloom.llm.storage import drop_settled, prepare_workers, settle
 
 BANDS, ROWS = 6, 2
 #: A block of a group has about so many documents and tokens at most; so many queries meet it at a time.
@@ -100,23 +100,25 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     """
     prepare_workers(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    n = parts_for(docs, CHUNK_BYTES)
-    rows = settle(jaccard_classes(docs, shingle, n), "sets")
+    once, layout = gathered(docs)
+    rows = settle(jaccard_classes(docs, shingle, layout.chunks), "sets")
     classes = rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "chunk")).alias("r")).select("sig", F.col("r.doc_id").alias("rep"), F.col("r.chunk").alias("chunk"))
     classes = settle(classes, "classes")
 
-    active = settle(_active(docs, classes, shingle, num, den, n), "active")
+    active = settle(_active(once.drop("copies"), classes, shingle, num, den, layout), "active")
     groups = settle(_groups(active, num, den), "groups")
     links = _open(active, groups, num, den)
     far = connected_components(links, "a", "b")
+    drop_settled(active)
     label = groups.join(far, groups["grp"] == far["node"], "left").select("rep", F.coalesce("label", "grp").alias("component"))
     label = classes.join(label.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select(F.col("sig").alias("class_sig"), F.coalesce("component", "rep").alias("component"))
     return rows.join(label, rows["sig"] == label["class_sig"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int, n: int) -> DataFrame:
+def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int, layout: Layout) -> DataFrame:
     """Of each class that may have a partner: rep, n, tokens, how many of them it has alone, the shared tokens of its prefix and how many of them it is indexed by, min-hash bands."""
-    chunks = dealt(docs, n, "doc_id", "text")
+    chunks = dealt(docs, layout, "doc_id", "text")
+    n = layout.parts
 
     def own(table: pa.Table, reps: dict):
         """(rep, token set) of the classes that this chunk stands for"""

@@ -9,22 +9,23 @@ from __future__ import annotations
 
 import atexit
 import functools
-import math
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "quarryloom-"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset a single machine gets a folder of its own; a cluster, whose executors don't see the driver's folders, an error."""
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     said = said or spark.conf.get("spark.checkpoint.dir", None)
+    if not said and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return (said or _own_dir()).rstrip("/")
 
 
@@ -36,48 +37,53 @@ def _own_dir() -> str:
     return f"file://{path}"
 
 
+#: Folders that settle() wrote in this process and nothing has deleted yet, by application.
+_settled: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the table that was written."""
+    """Writes df to the shared folder and returns the table that was written. It stays until drop_settled() or clear_scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_settled(df: DataFrame) -> None:
-    """Deletes the files behind a table that settle() returned and nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
-#: Estimates up to this size are taken as they are; beyond it the texts are measured.
-TRUSTED_BYTES = 64 << 30
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def text_bytes(df: DataFrame) -> int:
-    """About how many bytes df's texts have: what Catalyst knows of its files, or a sum where that knows nothing or sees very much."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size <= TRUSTED_BYTES else int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+def drop_settled(*tables: DataFrame) -> None:
+    """Deletes the files behind tables that settle() returned and nothing reads any more."""
+    for df in tables:
+        mine = _settled.get(df.sparkSession.sparkContext.applicationId, [])
+        names = {f.rstrip("/").rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        for path in [p for p in mine if p.rpartition("/")[2] in names]:
+            _delete(df.sparkSession, path)
+            mine.remove(path)
 
 
-def parts_for(df: DataFrame, target_bytes: int) -> int:
-    """Partitions of about target_bytes of text each, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(1, least, math.ceil(text_bytes(df) / target_bytes)), (1 << 31) - 1)
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this application and says how many: for when results have been written and their frames aren't read again."""
+    mine = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in mine:
+        _delete(spark, path)
+    return len(mine)
 
 
 #: Arrow batches of more bytes than this are made smaller.
 BATCH_BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare_workers(spark: SparkSession) -> None:
     """Lets Python workers find this package when it isn't installed, and keeps them small.
 
-    Batches of long texts are bounded in bytes, and the workers' allocator gives
-    large arrays back to the system instead of holding them for later.
+    Batches of long texts are bounded in bytes, unless the session says how
+    itself, and the workers' allocator gives large arrays back to the system
+    instead of holding them for later.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
@@ -86,4 +92,5 @@ def prepare_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
     for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         env.setdefault(name, value)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))

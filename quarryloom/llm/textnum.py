@@ -14,7 +14,8 @@ SEED = 0x51EE5
 
 _rng = np.random.Generator(np.random.PCG64(SEED))
 _CHARS = _rng.integers(0, 1 << 64, size=64 * 256, dtype=np.uint64)
-_STEPS = _rng.integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd factors of a word's place in a run: two rows, for two values that have nothing to do with each other.
+_STEPS = _rng.integers(0, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,14 +85,22 @@ def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.concatenate(offsets)
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, over the ends of texts too: one for each start but the last k - 1."""
+def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all runs of k words, over the ends of texts too: one for each start but the last k - 1. salt 0 and 1 give the two halves of a 128-bit value."""
     n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+    return grams_at(h, np.arange(0), k) if n <= 0 else _summed(lambda j: h[j : j + n], n, k, salt)
+
+
+def grams_at(h: np.ndarray, starts: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """The hashes that grams() gives the runs of k words that begin at starts."""
+    return _summed(lambda j: h[starts + j], len(starts), k, salt)
+
+
+def _summed(word, n: int, k: int, salt: int) -> np.ndarray:
     out = np.full(n, np.uint64(k), np.uint64)
-    for j in range(k):
-        out += h[j : j + n] * _STEPS[j % 64] if j < 64 else mix(h[j : j + n] + np.uint64(j))
+    for j in range(k if n else 0):
+        # Beyond the factors a word is mixed with its place.
+        out += word(j) * _STEPS[salt, j] if j < _STEPS.shape[1] else mix(word(j) * _STEPS[salt, j % _STEPS.shape[1]] + np.uint64(j))
     return mix(out)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import license_scan as LS
 from quarryloom.llm import quality_rules as QR
+from quarryloom.llm import substring_dedup as substring
 from quarryloom.llm import textnum as T
 from quarryloom.llm.decontaminate import decontaminate
+from quarryloom.llm.exchange import CHUNK_BYTES, PART_BYTES, Layout, gathered, send
 from quarryloom.llm.graph import connected_components
 from quarryloom.llm.jaccard_join import jaccard_components
 from quarryloom.llm.license_scan import license_scan
@@ -561,6 +564,44 @@ def test_substring_spans(spark):
     assert substring_dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_and_components_of_repeated_rows(spark, rows):
+    """A row that is there very often is looked at once and returned each time."""
+    text = " ".join(f"r{i}" for i in range(40))
+    many = [(70, text, "s0")] * 150 + [(None, text + " x", "s1")] * 90 + [(71, "y " + text, "s2"), (None, None, None), (72, " ", "s")]
+    some = many + rows[:40]
+    df = table(spark, some)
+    once, layout = gathered(df.select("doc_id", "text"))
+    assert sorted(r["copies"] for r in once.collect())[-2:] == [90, 150] and layout.chunks >= layout.parts >= 1
+    assert multiset(substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(some)
+    assert multiset(jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(some)
+    texts = substring_dedup(df, with_text=True).filter("n_words = 0").collect()
+    assert len(texts) == 2 and all(r["kept"] == "" and r["spans"] == [] for r in texts)
+
+
+def test_cells_keep_their_size():
+    """With a hundred thousand chunks a chunk still sends many keys in a cell, and no more cells than there are partitions."""
+    rng = np.random.default_rng(1)
+    layout = Layout.of(100_000 * CHUNK_BYTES, 200)
+    assert layout.chunks == 100_000 and layout.parts == math.ceil(layout.chunks * CHUNK_BYTES / PART_BYTES)
+    n_keys = CHUNK_BYTES // 6  # a word has about so many bytes
+    cells = send(7, rng.integers(0, 1 << 64, size=n_keys, dtype=np.uint64), layout.parts)
+    assert cells.num_rows <= layout.parts and cells["keys"].nbytes >= 16 * cells.num_rows * 4
+    assert Layout.of(0, 4) == Layout(4, 4)
+
+
+def test_runs_of_equal_half_values():
+    """Values that agree in 64 of their 128 bits are told apart."""
+    low, high = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    order, first = substring._grouped(low, high)
+    assert [sorted(x.tolist()) for x in np.split(order, first[1:])] == [[0, 2], [1, 4], [3]]
+    h = np.arange(100, 190, dtype=np.uint64)
+    for k in (3, 70):
+        assert (T.grams(h, k) != T.grams(h, k, salt=1)).all() and (T.grams_at(h, np.array([4, 7]), k, 1) == T.grams(h, k, salt=1)[[4, 7]]).all()
+    swapped = h.copy()
+    swapped[[66, 68]] = swapped[[68, 66]]
+    assert T.grams(h, 80)[0] != T.grams(swapped, 80)[0]
+
+
 # Words and hashes
 
 
