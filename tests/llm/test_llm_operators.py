@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarryloom.llm import decontaminate as D
 from quarryloom.llm import license_scan as LS
 from quarryloom.llm import quality_rules as QR
 from quarryloom.llm import substring_dedup as substring
@@ -270,18 +271,69 @@ def brute_hits(text, items, width=10):
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1 << 24, 200])
-def test_decontamination(spark, rows, block):
+def long_text(rng):
+    """Over 20,000 characters, with pieces of the benchmark far in."""
+    return prose(rng, 6000, 900)
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 200])
+def test_decontamination(spark, rows, bound):
     rng = random.Random(1)
     short = [r for r in rows if len(r[1] or "") < 20000]
-    items = [(10, " ".join(short[0][1].split()[20:45])), (9, "ONE"), (8, None), (7, ""), (6, "a-b. C"), (None, "ein wort Ä"), (11, prose(rng, 30, 9)), (10, "alone here"), (12, short[0][1][:200]), (13, "w1 w2")]
+    far = long_text(rng)
+    items = [(10, " ".join(short[0][1].split()[20:45])), (9, "ONE"), (8, None), (7, ""), (6, "a-b. C"), (None, "ein wort Ä"), (11, prose(rng, 30, 9)), (10, "alone here"), (12, short[0][1][:200]), (13, "w1 w2"), (14, " ".join(far.split()[5000:5025]))]
+    short += [(4000, far, "s"), (4001, far + " " + far[::-1], "s"), (4002, far, "s")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, kept string")
-    got = multiset(decontaminate(table(spark, short), bench, block_bytes=block), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = multiset(decontaminate(table(spark, short), bench, broadcast_bytes=bound), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(((i, *brute_hits(t, items)) for i, t, _ in short), key=repr)
 
 
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_decontamination_by_a_window_of_many_items(spark, bound):
+    """3,000 items share a beginning that a document repeats: work goes with the document and the items, not with their product."""
+    head = " ".join(f"h{i}" for i in range(10))
+    items = [(i, f"{head} tail {i}") for i in range(3000)]
+    text = " ".join(f"{head} x{i}" for i in range(400))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    r = decontaminate(table(spark, [(1, text, "s"), (2, "h0 h1", "s")]), bench, broadcast_bytes=bound).orderBy("doc_id").collect()
+    names = hashlib.sha256(",".join(sorted(str(i) for i, _ in items)).encode()).hexdigest()
+    assert [(x["n_words"], x["n_hit"], x["n_items"], x["contaminated"]) for x in r] == [(4400, 4000, 3000, True), (2, 0, 0, False)] and r[0]["items_sha256"] == names
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_decontamination_by_long_windows(spark, bound):
+    rng = random.Random(3)
+    text = prose(rng, 400, 5000)
+    ws = text.split()
+    items = [(1, " ".join(ws[100:230])), (2, " ".join(ws[10:60])), (3, " ".join([*ws[300:364], "other", *ws[364:390]]))]
+    got = decontaminate(table(spark, [(5, text, "s")]), spark.createDataFrame(items, "item_id long, text string"), window=80, broadcast_bytes=bound).first()
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == brute_hits(text, items, 80)[:3] == (400, 180, 2)
+
+
+def test_decontamination_compares_words(spark, monkeypatch):
+    """Windows that agree in their hash but not in their words aren't hits."""
+    marks = D.Fingerprints([("a", b"one two three"), ("b", b"one two four")], 3)
+    h, off = T.hash_words([b"x one two three", b"one two five"], T.ALNUM)
+    prints, low, places, sets = marks.windows[3]
+    odd = T.grams_at(h, np.array([4]), 3)
+    order = np.argsort(np.concatenate((low, odd)), kind="stable")
+    marks.windows[3] = (np.unique(np.concatenate((prints, D.Windows(h, off, 3).by_size[3][1]))), np.concatenate((low, odd))[order], np.concatenate((places, places[:1]))[order], np.concatenate((sets, sets[:1]))[order])
+    hit, pairs = marks.hits(h, off)
+    assert hit.tolist() == [False, True, True, True, False, False, False] and [p[0] for p in pairs.tolist()] == [0]
+
+
+def test_decontamination_keeps_columns(spark):
+    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d", "mine", 9)], "doc_id long, text string, n_items string, row long")
+    for bound in (1 << 24, 0):
+        out = decontaminate(docs, bench, broadcast_bytes=bound, keep=("doc_id", "text", "n_items", "row"))
+        assert out.columns == ["doc_id", "text", "row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        assert out.select("text", "row", "n_items", "n_hit").collect() == [("a b c d", 9, 1, 3)]
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate(docs, none, broadcast_bytes=-1).filter("contaminated or n_items > 0").count() == 0
     assert decontaminate(docs, none).filter("contaminated or n_items > 0").count() == 0
     assert decontaminate(docs.limit(0), none).count() == 0
 
