@@ -90,6 +90,33 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def _op2_sql(order: int = 5) -> str:
+    """The models by orders, each from the one below it."""
+    out = [r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (SELECT url, arg_max(h || f, len(h || f)) AS rule, arg_max(v, len(h || f)) AS said FROM (SELECT DISTINCT url, host, path FROM q) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY url),
+u AS (SELECT q.url, fit.said, count(*) AS n, ('0x' || substr(md5(q.url), 1, 8))::BIGINT % 5 = 0 AS told FROM q LEFT JOIN fit USING (url) GROUP BY q.url, fit.said),
+ch AS (SELECT url, CASE WHEN told OR said IS NULL THEN 0 WHEN said = 'allow' THEN n ELSE 0 END AS good, CASE WHEN told OR said IS NULL THEN 0 WHEN said = 'block' THEN n ELSE 0 END AS bad,
+       repeat(chr(2), 5) || url || chr(3) AS t, unnest(range(1, length(url) + 2)) AS i FROM u),
+gr AS (SELECT url, good, bad, substring(t, i, 5) AS c, substring(t, i + 5, 1) AS x FROM ch)"""]
+    for k in range(order + 1):
+        out.append(f"""pair{k} AS (SELECT {f"right(c, {k})" if k else "''"} AS c, x, sum(good) AS good, sum(bad) AS bad FROM gr GROUP BY ALL),
+whole{k} AS (SELECT c, sum(good) AS gn, count(*) FILTER (WHERE good > 0) AS gt, sum(bad) AS bn, count(*) FILTER (WHERE bad > 0) AS bt FROM pair{k} GROUP BY c),
+prob{k} AS (SELECT pair{k}.c, pair{k}.x, {", ".join(f"CASE WHEN {m}n > 0 THEN ({a} + {m}t * {below}) / ({m}n + {m}t) ELSE {below} END AS {m}p" for m, a in (("g", "good"), ("b", "bad")) for below in [f"s.{m}p" if k else "(1.0 / 256)::DOUBLE"])}
+       FROM pair{k} JOIN whole{k} ON pair{k}.c = whole{k}.c {f"JOIN prob{k - 1} s ON s.c = {f'right(pair{k}.c, {k - 1})' if k > 1 else repr('')} AND s.x = pair{k}.x" if k else ""})""")
+    out.append(f"""sc AS (SELECT url, round(sum((times * (ln(gp) - ln(bp)) * 1000000000000)::DECIMAL(38, 0))::DOUBLE / 1000000000000 / sum(times), 6) AS score
+       FROM (SELECT url, c, x, count(*) AS times FROM gr GROUP BY ALL) JOIN prob{order} USING (c, x) GROUP BY url),
+hist AS (SELECT floor(greatest(-10.0, least(10.0, score)) / 0.02)::BIGINT AS b, sum(CASE WHEN said = 'allow' THEN n ELSE 0 END)::DOUBLE AS g, sum(CASE WHEN said = 'block' THEN n ELSE 0 END)::DOUBLE AS d FROM u JOIN sc USING (url) WHERE told AND said IS NOT NULL GROUP BY 1),
+tot AS (SELECT sum(g) AS g, sum(d) AS d FROM hist),
+cuts AS (SELECT hist.b, (tot.g - coalesce(sum(hist.g) OVER w, 0)) / tot.g / 2 + coalesce(sum(hist.d) OVER w, 0) / tot.d / 2 AS worth FROM hist, tot WHERE tot.g > 0 AND tot.d > 0 WINDOW w AS (ORDER BY hist.b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lev AS (SELECT coalesce((SELECT b * 0.02::DOUBLE FROM cuts WHERE worth > 0.5 ORDER BY worth DESC, b LIMIT 1), 0.0) AS level)
+SELECT page_id, host, path, fit.rule, coalesce(fit.said, CASE WHEN score >= level THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM q JOIN sc USING (url) LEFT JOIN fit USING (url) CROSS JOIN lev""")
+    return ",\n".join(out)
+
+
 OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -146,4 +173,4 @@ FROM w LEFT JOIN gl ON w.doc_id = gl.doc_id LEFT JOIN kept ON w.doc_id = kept.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": _op2_sql(), "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}

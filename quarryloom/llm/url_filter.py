@@ -9,9 +9,11 @@ URL's score is the difference of its log-likelihoods under the two models
 over its length; the cut is calibrated on labelled URLs that the models
 haven't seen.
 
-The labels are the verdicts of the host rules. The models are tables of
-grams, as large as the corpus makes them; every gram is weighed once and the
-URLs are joined with the weights.
+The labels are the verdicts of the host rules; the models read the whole
+URL, scheme, query and fragment included. They are tables of grams, as large
+as the corpus makes them; every gram is weighed once and the URLs are joined
+with the weights. A URL is cut into characters once, and what goes on from
+there carries its 128-bit key, so work grows with the sum of the lengths.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.llm.storage import settle
+from quarryloom.llm.storage import drop_settled, settle
 
 # Fixed values: (host, path, verdict); a rule fits its host and all subdomains.
 RULES = (
@@ -33,6 +35,10 @@ ORDER = 5
 ALPHABET = 256
 #: One of so many labelled URLs is kept for calibration.
 FOLDS = 5
+#: Rows of one URL meet its score in so many tasks.
+SALTS = 8
+HEAVY = 1 << 15
+SCALE = 10**12
 #: Scores are counted in steps of this size when the cut is chosen, up to SPAN on either side.
 STEP, SPAN = 0.02, 10.0
 
@@ -66,13 +72,22 @@ def rule_of(host: Column, path: Column, rules: tuple, give) -> Column:
     return out
 
 
+def _key(url: Column) -> Column:
+    return F.unhex(F.md5(url.cast("binary")))
+
+
 def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """Each character of each url, and its end, after the order characters before it."""
-    padded = F.concat(F.lit(_PAD * order), F.col("text"), F.lit(_END))
-    at = F.explode(F.sequence(F.lit(1), F.length("text") + 1))
-    return urls.select(*urls.columns, padded.alias("padded"), at.alias("at")).select(
-        *[c for c in urls.columns if c != "text"], F.substring("padded", F.col("at"), F.lit(order)).alias("context"), F.substring("padded", F.col("at") + order, F.lit(1)).alias("next")
-    )
+    """The columns of urls but text, for each character of text, and its end, after the order characters before it."""
+
+    def windows(chars: Column) -> Column:
+        one = lambda i: F.struct(F.array_join(F.slice(chars, i + 1, F.lit(order)), "").alias("context"), F.get(chars, i + order).alias("next"))
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - (order + 1)), one)
+
+    # Cut once for the whole URL: a substring would be counted out from its beginning each time.
+    cut = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "", -1))
+    padded = F.concat(F.array_repeat(F.lit(_PAD), order), cut, F.array(F.lit(_END)))
+    each = F.explode(F.get(F.transform(F.array(padded), windows), F.lit(0)))
+    return urls.select(*[c for c in urls.columns if c != "text"], each.alias("gram")).select(*[c for c in urls.columns if c != "text"], "gram.context", "gram.next")
 
 
 def gram_weights(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -101,32 +116,43 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, order: int = ORDER) -> Da
     path of the rule, else null), verdict (allow or block) and score, the
     length-normalised log-likelihood difference, larger for accepted ones.
 
-    A null url or one without :// has an empty host and path, so no rule, and
-    is judged by the score of the empty URL. Repeated URLs count as often as
-    they occur and are judged alike. Without labelled URLs of both kinds all
+    A null url counts as the empty one; it and one without :// have an empty
+    host and path, so no rule, and are judged by their score. Repeated URLs
+    count as often as they occur and are judged alike. Without labelled URLs of both kinds all
     scores are compared with 0. Other columns are neither read nor returned.
     """
-    url = pages["url"].cast("string")
-    cut = pages.select(pages["page_id"].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = F.coalesce(pages["url"].cast("string"), F.lit(""))
+    cut = pages.select(pages["page_id"].cast("long").alias("page_id"), url.alias("text"), host_of(url).alias("host"), path_of(url).alias("path"))
     host, path = F.col("host"), F.col("path")
-    judged = cut.withColumns({"rule": rule_of(host, path, rules, lambda r: r[0] + r[1]), "said": rule_of(host, path, rules, lambda r: r[2]), "text": F.concat(host, path)})
-    told = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(FOLDS)) == 0
-    # Equal URLs are one row with a count from here on.
-    urls = judged.groupBy("text", "said").agg(F.count("*").alias("n")).withColumn("told", told)
+    judged = cut.withColumns({"rule": rule_of(host, path, rules, lambda r: r[0] + r[1]), "said": rule_of(host, path, rules, lambda r: r[2])})
+    # A fold that SQL can make too: of the first hex digits of an MD5.
+    told = F.pmod(F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(FOLDS)) == 0
+    # Equal URLs are one row with a count from here on; a URL has one verdict of the rules.
+    urls = judged.groupBy("text", "said").agg(F.count("*").alias("n")).withColumn("told", told).withColumn("url", _key(F.col("text")))
     # Written by as many tasks as there are partitions: each URL becomes a row for each character later on.
-    urls = settle(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text"), "urls")
+    urls = settle(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url"), "urls")
     seen = F.when(F.col("told"), 0).otherwise(F.col("n"))
     good, bad = F.when(F.col("said") == "allow", seen).otherwise(0), F.when(F.col("said") == "block", seen).otherwise(0)
     marked = urls.select("text", good.cast("long").alias("good"), bad.cast("long").alias("bad"))
-    counts = settle(_grams(marked, order).groupBy("context", "next").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")
+    gram = ["context", "next"]
+    counts = settle(_grams(marked, order).groupBy(*gram).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("seen")), "grams")
     weights = settle(gram_weights(counts, order), "weights")
-    # A text occurs once for each verdict at most; its grams are counted before they meet the weights.
-    own = _grams(urls.select("text", F.col("text").alias("url")).distinct(), order).groupBy("url", "context", "next").agg(F.count("*").alias("times"))
-    scores = own.join(weights, ["context", "next"]).groupBy("url").agg((F.sum(F.col("times") * F.col("weight")) / F.sum("times")).alias("score"))
-    scores = settle(scores.withColumn("score", F.round("score", 6)), "scores")
-    level = _calibrated(urls.join(scores, urls["text"] == scores["url"]).filter("told and said is not null"))
+    total = counts.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    # Grams that nearly every URL has would meet in one task: there are HEAVY at most that take a HEAVY-th of all characters.
+    heavy = F.broadcast(weights.join(F.broadcast(counts.filter(F.col("seen") * HEAVY >= total).select(*gram)), gram, "left_semi"))
+    own = _grams(urls.select("text", "url"), order).groupBy("url", *gram).agg(F.count("*").alias("times")).join(heavy, gram, "left")
+    rest = own.filter("weight is null").drop("weight").join(weights, gram)
+    weighed = own.filter("weight is not null").select("url", "times", "weight").unionByName(rest.select("url", "times", "weight"))
+    # In whole steps, so that the sum doesn't depend on the order of its parts.
+    parts = F.sum((F.col("times") * F.col("weight") * SCALE).cast("decimal(38,0)")).cast("double") / SCALE
+    scores = weighed.groupBy("url").agg(F.round(parts / F.sum("times"), 6).alias("score"))
+    scores = settle(scores, "scores")
+    level = _calibrated(urls.join(scores, "url").filter("told and said is not null"))
+    drop_settled(urls, counts, weights)
     verdict = F.coalesce("said", F.when(F.col("score") >= level, "allow").otherwise("block"))
-    return judged.join(scores, judged["text"] == scores["url"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    spread = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("url", "of")
+    asked = judged.withColumn("of", _key(F.col("text"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).drop("text")
+    return asked.join(spread, ["of", "salt"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def _calibrated(rows: DataFrame) -> float:
