@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm.decontaminate import decontaminate
 from quarryloom.llm.jaccard_join import jaccard_components
-from quarryloom.llm.line_dedup import line_dedup
+from quarryloom.llm.line_dedup import MIN_SITES, line_dedup
 from quarryloom.llm.mixing import mix_sources
 from quarryloom.llm.storage import settle
 from quarryloom.llm.toxicity import toxicity
@@ -28,8 +28,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites; n_chars is that of the new text."""
-    out = line_dedup(docs.select(*COLUMNS), every_site=True)
+    """All documents, without the lines that stand on many sites in as many distinct texts; n_chars is that of the new text."""
+    out = line_dedup(docs.select(*COLUMNS), min_texts=MIN_SITES)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

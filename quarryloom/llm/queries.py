@@ -131,18 +131,24 @@ SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT
 FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
 """
 
-OP7_SQL = r"""
+_BARE = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def line_dedup_sql(min_sites: int = 10, min_texts: int = 1) -> str:
+    """Lines on so many sites and in so many distinct texts go."""
+    return f"""
 WITH d AS (SELECT doc_id, text, coalesce('=' || source, '?') AS site FROM documents),
-t AS (SELECT text, min(site) AS site FROM d WHERE text IS NOT NULL GROUP BY text),
-l AS (SELECT DISTINCT text, site, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT text, site, unnest(string_split(text, chr(10))) AS line FROM t)),
-b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+t AS (SELECT DISTINCT text FROM d WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT text, {_BARE.format("line")} AS line FROM (SELECT text, unnest(string_split(text, chr(10))) AS line FROM t)),
+b AS (SELECT line FROM l JOIN (SELECT DISTINCT text, site FROM d) USING (text) WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {min_sites} AND count(DISTINCT text) >= {min_texts}),
 x AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
 k AS (SELECT text, count(*) AS n, count(*) FILTER (WHERE b.line IS NOT NULL) AS gone, coalesce(string_agg(x.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS kept
-      FROM x LEFT JOIN b ON trim(x.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = b.line GROUP BY text)
+      FROM x LEFT JOIN b ON {_BARE.format("x.line")} = b.line GROUP BY text)
 SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.gone, 0)::BIGINT AS n_removed, sha256(k.kept) AS kept_sha256
 FROM d LEFT JOIN k ON d.text = k.text
 """
 
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS t
@@ -173,4 +179,4 @@ FROM w LEFT JOIN gl ON w.doc_id = gl.doc_id LEFT JOIN kept ON w.doc_id = kept.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": _op2_sql(), "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": _op2_sql(), "op4_decontaminate": OP4_SQL, "op7_line_dedup": line_dedup_sql(), "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quarryloom.llm import queries as Q
+from quarryloom.llm.line_dedup import line_dedup
 from quarryloom.llm.storage import settle
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -16,6 +17,13 @@ def test_equals_sql(spark, oracle, rows_of, name):
     assert rows_of(Q.queries()[name](spark, SMALL)) == rows_of(oracle(Q.oracle_sql()[name]))
 
 
+def test_line_stage_equals_sql(spark, oracle, rows_of):
+    """The pipeline's reading of line dedup, in which copies of one text aren't boilerplate by that alone."""
+    out = line_dedup(spark.read.parquet(f"{MIDDLE}/documents.parquet"), min_texts=10)
+    out = out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    assert rows_of(out) == rows_of(oracle(Q.line_dedup_sql(min_texts=10), MIDDLE))
+
+
 def test_registered():
     assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
 
