@@ -8,13 +8,16 @@ model finds the sentences that make a document toxic.
 
 Features are 64-bit hashes, chosen from the labelled sample by a likelihood
 ratio test of their document counts, so the model is small and nothing is
-folded into shared bins. The labelled sample is bounded (SAMPLE and
-SAMPLE_BYTES); scoring reads whole texts of all documents.
+folded into shared bins. The labelled sample is bounded in documents
+(SAMPLE), whose texts are read whole: tasks count their features, and the
+driver gets the chosen ones and where they stand, no texts. Scoring reads
+whole texts of all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,15 @@ from pyspark.sql import types as S
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import prepare_workers
+from quarryloom.llm.storage import drop_settled, prepare_workers, settle
 
-#: At most so many labelled documents of each label are used, none longer than so many bytes.
-SAMPLE = 2000
-SAMPLE_BYTES = 64 << 10
+#: At most so many labelled documents of each label are used.
+SAMPLE = 4000
 #: Features need this likelihood ratio (chi-square, one degree of freedom) and so many toxic documents; the strongest MOST stay.
 LEAST_RATIO, LEAST_DOCS, MOST = 10.0, 3, 4096
 PREFIXES = (4, 5)
 STEPS, RATE, DECAY = 300, 0.3, 1e-3
 FOLDS = 5
-PARTS = 8
 
 _SALTS = np.array([0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 _BREAK = np.zeros(256, bool)
@@ -135,74 +136,101 @@ class Model:
         return np.clip(score, 0, 1), worst, top, count
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """From labelled texts; weight makes up for labels that the sample holds in other shares than the corpus."""
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    rate = float((weight * toxic).sum() / max(weight.sum(), 1e-9)) if len(texts) else 0.0
-    if not n_toxic or not n_clean:
+@dataclass
+class Bags:
+    """Some documents as the learner sees them: which chosen features stand in which of their sentences.
+
+    A sentence without any counts by number only, as all of those score alike.
+    """
+
+    toxic: np.ndarray
+    weight: np.ndarray
+    bare: np.ndarray  # of each document the sentences without a chosen feature
+    doc: np.ndarray  # of each other sentence its document
+    pairs: np.ndarray  # (sentence, feature)
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, int, bool, float]]) -> Bags:
+        """rows: packed pairs of one document, its number of sentences, its label and weight."""
+        pairs, doc, bare, done = [], [], [], 0
+        for d, (packed, n, _, _) in enumerate(rows):
+            x = np.frombuffer(packed, np.int64).reshape(-1, 2)
+            filled, sentence = np.unique(x[:, 0], return_inverse=True)
+            pairs.append(np.stack([sentence + done, x[:, 1]], 1))
+            doc.append(np.full(len(filled), d))
+            bare.append(n - len(filled))
+            done += len(filled)
+        none = np.empty((0, 2), np.int64)
+        return cls(np.array([r[2] for r in rows], bool), np.array([r[3] for r in rows], float), np.array(bare, float), np.concatenate([none[:, 0], *doc]).astype(np.int64), np.concatenate([none, *pairs]).astype(np.int64))
+
+    def gradient(self, w: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray]:
+        """(log-likelihood, its gradient) of feature weights w[:-1] and bias w[-1]."""
+        n, k = len(self.doc), len(w) - 1
+        z = np.clip(w[k] + np.bincount(self.pairs[:, 0], w[:k][self.pairs[:, 1]], n), -30, 30)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-np.clip(w[k], -30, 30)))
+        # The noisy-or: a document stays clean if all its sentences do.
+        stays = np.minimum(np.bincount(self.doc, np.log1p(-p), len(self.bare)) + self.bare * np.log1p(-p0), -1e-9)
+        likely = (scale * np.where(self.toxic, np.log(-np.expm1(stays)), stays)).sum()
+        push = np.where(self.toxic, np.exp(stays) / -np.expm1(stays), -1.0) * scale
+        g = push[self.doc] * p
+        grad = np.empty(k + 1)
+        grad[:k] = np.bincount(self.pairs[:, 1], g[self.pairs[:, 0]], k)
+        grad[k] = g.sum() + (push * self.bare).sum() * p0
+        return float(likely), grad
+
+
+def fit(features: np.ndarray, bags: Bags) -> Model:
+    """Weights of features from labelled documents; their weights make up for labels that the sample holds in other shares than the corpus."""
+    if not bags.toxic.any() or bags.toxic.all():
+        rate = float((bags.weight * bags.toxic).sum() / max(bags.weight.sum(), 1e-9)) if len(bags.toxic) else 0.0
         rate = min(max(rate, 1e-3), 1 - 1e-3)
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(rate / (1 - rate))) - 3)
-    features = _chosen(texts, toxic)
-    model = Model(features, np.zeros(len(features)), -6.0)
-    pairs, doc = model.bags(texts)
-    n, k = len(doc), len(model.features)
-    first = np.searchsorted(doc, np.arange(len(texts)))
+    k = len(features)
     w = np.full(k + 1, 2.0)
     w[k] = -6.0
     seen = np.full(k + 1, 1e-8)
-    scale = weight / weight.sum()
+    scale = bags.weight / bags.weight.sum()
     for _ in range(STEPS):
-        model.weights, model.bias = w[:k], float(w[k])
-        p = model.sentences(pairs, n)
-        stays = np.minimum(np.add.reduceat(np.log1p(-p), first), -1e-9)
-        push = np.where(toxic, np.exp(stays) / -np.expm1(stays), -1.0) * scale
-        g = push[doc] * p
-        grad = np.empty(k + 1)
-        grad[:k] = np.bincount(pairs[:, 1], g[pairs[:, 0]], k) - DECAY * scale.min() * w[:k]
-        grad[k] = g.sum()
+        _, grad = bags.gradient(w, scale)
+        grad[:k] -= DECAY * scale.min() * w[:k]
         seen += grad * grad
         w = w + RATE * grad / np.sqrt(seen)
-    model.weights, model.bias = w[:k], float(w[k])
-    return model
-
-
-def _chosen(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
-    """Features that toxic documents have more often than chance allows."""
-    found, owners = [], []
-    for i, j in _slices(texts):
-        x, sentence, doc = sentence_features(texts[i:j])
-        if len(x):
-            owner = np.repeat(doc[sentence] + i, x.shape[1])
-            pairs = np.unique(np.stack([x.ravel(), owner.astype(np.uint64)], 1), axis=0)
-            found.append(pairs[:, 0].copy())
-            owners.append(pairs[:, 1].astype(np.int32))
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    best: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in range(PARTS):  # one part of the hashes at a time, for the driver's memory
-        mine = [(k % np.uint64(PARTS)) == part for k in found]
-        keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[k[m] for k, m in zip(found, mine, strict=True)]]), return_inverse=True)
-        bad = toxic[np.concatenate([np.empty(0, np.int32), *[o[m] for o, m in zip(owners, mine, strict=True)]])]
-        a, c = np.bincount(at[bad], minlength=len(keys)), np.bincount(at[~bad], minlength=len(keys))
-        likely = a >= LEAST_DOCS
-        keys, a, c = keys[likely], a[likely], c[likely]
-        p, q, r = a / n_bad, c / n_good, (a + c) / (n_bad + n_good)
-        ratio = 2 * (_log_likelihood(a, n_bad, p) + _log_likelihood(c, n_good, q) - _log_likelihood(a, n_bad, r) - _log_likelihood(c, n_good, r))
-        good = (ratio >= LEAST_RATIO) & (p > 4 * q)
-        best.append((keys[good], ratio[good]))
-    keys, ratio = np.concatenate([k for k, _ in best]), np.concatenate([r for _, r in best])
-    return keys[np.lexsort((keys, -ratio))][:MOST]
-
-
-def _log_likelihood(k: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, 1e-12, 1 - 1e-12)
-    return k * np.log(x) + (n - k) * np.log1p(-x)
+    return Model(features, w[:k], float(w[k]))
+
+
+def _chosen(sampled: DataFrame, n_bad: int, n_good: int) -> np.ndarray:
+    """Features that toxic documents have more often than chance allows, MOST at most, counted by the tasks."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts, toxic = bytes_of(batch["text"]), batch["toxic"].to_numpy() == 1
+            for i, j in _slices(texts):
+                x, sentence, doc = sentence_features(texts[i:j])
+                if len(x):
+                    owner = np.repeat(doc[sentence], x.shape[1])
+                    pairs = np.unique(np.stack([x.ravel(), owner.astype(np.uint64)], 1), axis=0)
+                    keys, at = np.unique(pairs[:, 0], return_inverse=True)
+                    bad = toxic[i:j][pairs[:, 1].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at[bad], minlength=len(keys))), pa.array(np.bincount(at[~bad], minlength=len(keys)))], ["key", "a", "c"])
+
+    def likely(k, n: int, x):
+        x = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), x))
+        return k * F.log(x) + (n - k) * F.log1p(-x)
+
+    a, c = F.col("a"), F.col("c")
+    p, q, r = a / n_bad, c / n_good, (a + c) / (n_bad + n_good)
+    ratio = 2 * (likely(a, n_bad, p) + likely(c, n_good, q) - likely(a, n_bad, r) - likely(c, n_good, r))
+    each = sampled.select("text", "toxic").mapInArrow(counted, "key long, a long, c long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).filter(a >= LEAST_DOCS)
+    best = each.filter((ratio >= LEAST_RATIO) & (p > 4 * q)).select("key", F.round(ratio, 6).alias("ratio")).orderBy(F.col("ratio").desc(), "key").limit(MOST)
+    return np.sort(np.array([x["key"] for x in best.collect()], np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled documents of each label, in the order of a hash of their ids.
 
-    Held-out ids, null ids and labels and texts longer than SAMPLE_BYTES aren't used; an
-    id with several labels counts as toxic if one of them says so.
+    Held-out ids, null ids and labels aren't used; an id with several labels
+    counts as toxic if one of them says so, one with several texts has the
+    least of them.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -210,12 +238,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = (F.xxhash64("doc_id"), "doc_id")
     some = [marks.filter(F.col("toxic") == y).orderBy(*order).limit(sample) for y in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]).withColumnRenamed("doc_id", "id"))  # 2 * sample ids at most
-    text = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").cast("binary").alias("text"))
-    text = text.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    rows = sorted(text.join(ids, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["id"])
-    toxic = np.array([r["toxic"] == 1 for r in rows], bool)
-    share = {y: total.get(y, 0) / max(1, int((toxic == bool(y)).sum())) for y in (0, 1)}
-    return fit([bytes(r["text"] or b"") for r in rows], toxic, np.where(toxic, share[1], share[0]))
+    text = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
+    sampled = settle(text.join(ids, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")), "sampled")
+    have = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
+    share = {y: total.get(y, 0) / max(1, have.get(y, 0)) for y in (0, 1)}
+    features = _chosen(sampled, have[1], have[0]) if len(have) == 2 else np.empty(0, np.uint64)
+    known = sampled.sparkSession.sparkContext.broadcast(Model(features, np.zeros(len(features)), 0.0))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            pairs, doc = known.value.bags(bytes_of(batch["text"]))
+            count = np.bincount(doc, minlength=batch.num_rows)
+            first = np.cumsum(count) - count
+            edge = np.searchsorted(pairs[:, 0], np.append(first, len(doc)))
+            packed = [(pairs[i:j] - np.array([f, 0])).tobytes() for f, i, j in zip(first.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(count, pa.int64()), pa.array(packed, pa.binary())], ["id", "toxic", "n", "pairs"])
+
+    rows = sorted(sampled.select("id", "toxic", "text").mapInArrow(bagged, "id long, toxic int, n long, pairs binary").collect(), key=lambda r: r["id"])
+    drop_settled(sampled)
+    return fit(features, Bags.of([(bytes(r["pairs"]), r["n"], r["toxic"] == 1, share[r["toxic"]]) for r in rows]))
 
 
 OUT = (("score", S.DoubleType(), pa.float64()), ("predicted", S.IntegerType(), pa.int32()), ("worst_sentence", S.LongType(), pa.int64()), ("worst_score", S.DoubleType(), pa.float64()), ("n_sentences", S.LongType(), pa.int64()))

@@ -17,6 +17,7 @@ from quarryloom.llm import license_scan as LS
 from quarryloom.llm import quality_rules as QR
 from quarryloom.llm import substring_dedup as substring
 from quarryloom.llm import textnum as T
+from quarryloom.llm import toxicity as TX
 from quarryloom.llm.decontaminate import decontaminate
 from quarryloom.llm.exchange import CHUNK_BYTES, PART_BYTES, Layout, gathered, send
 from quarryloom.llm.graph import connected_components
@@ -454,6 +455,52 @@ def test_toxicity(spark, docs):
     assert 0 <= toxicity(docs, labels.filter("toxic = 0")).agg(F.max("score")).first()[0] < 0.5
 
 
+def test_noisy_or_and_its_gradient():
+    """Against the definition: a sentence's logistic score, 1 - prod(1 - p) for the document, finite differences for the slope."""
+    rng = np.random.default_rng(3)
+    docs = [[sorted(set(rng.integers(0, 4, rng.integers(0, 3)).tolist())) for _ in range(rng.integers(1, 6))] for _ in range(12)]
+    toxic, weight = np.arange(12) % 3 == 0, rng.uniform(0.5, 2, 12)
+    rows = [(np.array([(s, f) for s, fs in enumerate(d) for f in fs], np.int64).reshape(-1, 2).tobytes(), len(d), bool(t), w) for d, t, w in zip(docs, toxic, weight, strict=True)]
+    bags, w, scale = TX.Bags.of(rows), rng.normal(size=5), weight / weight.sum()
+
+    def likely(w):
+        out = 0.0
+        for d, t, x in zip(docs, toxic, scale, strict=True):
+            stays = math.prod(1 - 1 / (1 + math.exp(-(w[4] + sum(w[f] for f in fs)))) for fs in d)
+            out += x * math.log(1 - stays if t else stays)
+        return out
+
+    value, grad = bags.gradient(w, scale)
+    assert value == pytest.approx(likely(w))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert grad[k] == pytest.approx((likely(w + step) - likely(w - step)) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_scores_by_the_definition():
+    text = "A b! c\nd. e vile"
+    x, sentence, doc = TX.sentence_features([text.encode()])
+    assert sentence.tolist() == [0, 0, 1, 2, 3, 3] and doc.tolist() == [0] * 4
+    model = TX.Model(x[[1, 5], 0], np.array([1.5, 3.0]), -2.0)
+    p = [1 / (1 + math.exp(-z)) for z in (-0.5, -2.0, -2.0, 1.0)]
+    score, worst, top, count = model.score([text.encode(), b""])
+    assert score[0] == pytest.approx(1 - math.prod(1 - y for y in p)) and (worst[0], count[0]) == (3, 4) and top[0] == pytest.approx(p[3])
+    assert score[1] == pytest.approx(1 / (1 + math.exp(2))) and (worst[1], count[1]) == (0, 1)
+
+
+def test_toxicity_learns_from_long_texts_and_a_bounded_sample(spark):
+    """Toxic words that only stand in labelled texts of over 64 KB are learned; a sample smaller than the labels still learns; the last of several labels doesn't count, the toxic one does."""
+    rng = random.Random(5)
+    rows = [(i, ". ".join(prose(rng, 9, 20) for _ in range(6)), "s") for i in range(120)]
+    rows += [(200 + i, ". ".join([*(prose(rng, 9, 20) for _ in range(2600)), f"w1 {'grudz' if i < 24 else 'plain'}{'abc'[i % 3]} w2"]), "s") for i in range(48)]
+    rows += [(300, "w3 grudza w4", "s"), (301, "w3 w5 w4", "s"), (None, "grudza", "s")]
+    assert all(len(t) > 1 << 16 for i, t, _ in rows if i is not None and 200 <= i < 300)
+    labels = spark.createDataFrame([(i, int(200 <= i < 224)) for i, *_ in rows[:168]] + [(210, 0), (210, 1), (210, 0)], "doc_id long, toxic int")
+    for sample in (4000, 20):
+        out = {r["doc_id"]: r["score"] for r in toxicity(table(spark, rows), labels, sample=sample).collect()}
+        assert out[300] > out[301] + 0.2 and out[None] > out[301], sample
+
+
 # 7
 
 
