@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import textnum as T
 from quarryloom.llm.exchange import bytes_of, pieces
-from quarryloom.llm.storage import prepare_workers, settle
+from quarryloom.llm.storage import drop_settled, prepare_workers, settle
 
 SAMPLE = 6000
 ROUNDS, SHARE = 5, 0.05
@@ -87,11 +87,11 @@ def meta_view(sources: list, langs: list, sizes: list) -> np.ndarray:
 class Logistic:
     """Ridge logistic regression on standardised columns, by Newton's steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         self.w = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            if self.step(self.sums(x, y, np.ones(len(y))), len(y)) < 1e-6:
+            if self.step(self.sums(x, y, weight), weight.sum()) < 1e-6:
                 break
 
     @classmethod
@@ -148,23 +148,29 @@ def _sure(z: np.ndarray) -> np.ndarray:
 class CoTrained:
     """The two views, their calibrations and how they are weighed together."""
 
-    def __init__(self, x: tuple, y: np.ndarray, fresh: np.ndarray, over: Callable):
-        """x: labelled rows of both views; fresh: those kept for calibration; over: the sum of an array-valued function of (views, ids) over all unlabelled rows, nothing without rows."""
+    def __init__(self, x: tuple, y: np.ndarray, fresh: np.ndarray, over: Callable, weight: np.ndarray | None = None):
+        """x: labelled rows of both views; fresh: those kept for calibration; over: the sum of an array-valued function of (views, ids) over all unlabelled rows, nothing without rows.
+
+        weight: how many labelled documents each labelled row stands for, so
+        that a sample holding both labels in shares of its own gives the chances
+        that all labels give.
+        """
         old = ~fresh
-        known = tuple(a[old] for a in x)
+        weight = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
+        known, known_weight = tuple(a[old] for a in x), weight[old]
         moments = over(lambda x, ids: np.concatenate([[len(ids)], *[f(a) for a in x for f in (lambda a: a.sum(0), lambda a: (a * a).sum(0))]]))
         n = int(moments[0]) if moments is not None else 0
         self.views, at = [], 1
         for a in known:
             k = a.shape[1]
-            total, square = a.sum(0), (a * a).sum(0)
+            total, square = known_weight @ a, known_weight @ (a * a)
             if n:
                 total, square = total + moments[at : at + k], square + moments[at + k : at + 2 * k]
             at += 2 * k
-            mean = total / (len(a) + n)
-            self.views.append(Logistic.blank(mean, np.sqrt(np.maximum(0, square / (len(a) + n) - mean**2)) + 1e-9))
+            mean = total / (known_weight.sum() + n)
+            self.views.append(Logistic.blank(mean, np.sqrt(np.maximum(0, square / (known_weight.sum() + n) - mean**2)) + 1e-9))
         self.rounds: list = []
-        self._fit(known, y[old], over, np.zeros(2))
+        self._fit(known, y[old], known_weight, over, np.zeros(2))
         for _ in range(ROUNDS if n else 0):
             any_new = False
             for v in (0, 1):
@@ -183,24 +189,24 @@ class CoTrained:
             if not any_new:
                 break
             rounds = self.rounds
-            self._fit(known, y[old], over, over(lambda x, ids, rounds=rounds: np.bincount(passed_on(rounds, x, ids)[0] + 1, minlength=3)[1:].astype(float)))
+            self._fit(known, y[old], known_weight, over, over(lambda x, ids, rounds=rounds: np.bincount(passed_on(rounds, x, ids)[0] + 1, minlength=3)[1:].astype(float)))
         judge = fresh if len(np.unique(y[fresh])) == 2 else np.ones(len(y), bool)
-        self.scales = [Logistic(self.views[v].logit(x[v][judge])[:, None], y[judge]) for v in (0, 1)]
-        self.both = Logistic(self._calibrated(tuple(a[judge] for a in x)), y[judge])
+        self.scales = [Logistic(self.views[v].logit(x[v][judge])[:, None], y[judge], weight[judge]) for v in (0, 1)]
+        self.both = Logistic(self._calibrated(tuple(a[judge] for a in x)), y[judge], weight[judge])
 
-    def _fit(self, x: tuple, y: np.ndarray, over: Callable, counts: np.ndarray) -> None:
+    def _fit(self, x: tuple, y: np.ndarray, own: np.ndarray, over: Callable, counts: np.ndarray) -> None:
         """Both views from the labelled rows and from counts rows that were passed to each, whose weight is bounded."""
-        weight = PASSED * np.minimum(1, len(y) / np.maximum(1, counts))
+        weight = PASSED * np.minimum(1, own.sum() / np.maximum(1, counts))
         for _ in range(25):
             views, rounds = self.views, self.rounds
             more = over(lambda x, ids, views=views, rounds=rounds: _newton(views, rounds, weight, x, ids)) if counts.any() else None
             at, moved = 0, 0.0
             for v in (0, 1):
-                sums = views[v].sums(x[v], y, np.ones(len(y)))
+                sums = views[v].sums(x[v], y, own)
                 if more is not None:
                     sums = sums + more[at : at + len(sums)]
                 at += len(sums)
-                moved = max(moved, views[v].step(sums, len(y) + counts[v] * weight[v] / PASSED))
+                moved = max(moved, views[v].step(sums, own.sum() + counts[v] * weight[v] / PASSED))
             if moved < 1e-5:
                 break
 
@@ -253,9 +259,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     text_score, meta_score (of each), predicted (1 from 0.5 on) and kept (the
     same as a boolean). Reads doc_id, text, source, lang and n_chars.
 
-    At most sample labelled documents, equally of both labels as far as there are so many, are
-    used for fitting, in the order of a hash of the id, and all documents without a label; one in FOLDS of the labelled is
-    kept for calibration. A doc_id with several labels counts as 0 if one
+    At most sample labelled documents, equally of both labels as far as there
+    are so many, are used for fitting, in the order of a hash of the id, and all
+    documents without a label; one in FOLDS of the labelled is kept for
+    calibration. A labelled document counts for as many as it was drawn from, so
+    scores don't move with the bound. A doc_id with several labels counts as 0 if one
     says so. A null or empty text and null metadata have features too. Unless
     both labels occur all documents get the share of label 1 (1.0 without any label).
     """
@@ -291,7 +299,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     matrix = lambda rows, k, width: np.array([r[k] for r in rows], float).reshape(len(rows), width)
     width = (11, SOURCES + LANGS + 4)
     fresh = np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % FOLDS == 0 for r in known])
-    model = spark.sparkContext.broadcast(CoTrained((matrix(known, "x", width[0]), matrix(known, "m", width[1])), y, fresh, summed_over(rest)))
+    weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
+    model = spark.sparkContext.broadcast(CoTrained((matrix(known, "x", width[0]), matrix(known, "m", width[1])), y, fresh, summed_over(rest), weight))
+
+    drop_settled(rest)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

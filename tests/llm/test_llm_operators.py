@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import decontaminate as D
 from quarryloom.llm import license_scan as LS
+from quarryloom.llm import quality_classifier as QC
 from quarryloom.llm import quality_rules as QR
 from quarryloom.llm import substring_dedup as substring
 from quarryloom.llm import textnum as T
@@ -425,6 +426,107 @@ def test_every_unlabelled_document_can_be_passed_on():
     assert (mark == truth)[to >= 0].mean() > 0.95 and ((model.score(free)[0] >= 0.5) == truth).mean() > 0.95
 
 
+def brute_co_training(x, y, fresh, free, ids, weight):
+    """Co-training by the definition, on explicit lists of what was passed on. Returns the score of rows of both views."""
+    weight = weight * len(y) / weight.sum()
+    own = weight[~fresh].sum()
+    stats = []
+    for a, f in zip(x, free, strict=True):
+        w = np.concatenate([weight[~fresh], np.ones(len(f))])
+        every = np.concatenate([a[~fresh], f])
+        mean = (w[:, None] * every).sum(0) / w.sum()
+        stats.append((mean, np.sqrt((w[:, None] * every**2).sum(0) / w.sum() - mean**2) + 1e-9))
+
+    def design(a, mean, scale):
+        return np.hstack([np.clip((a - mean) / scale, -8, 8), np.ones((len(a), 1))])
+
+    def newton(z, y, w, ridge):
+        b = np.zeros(z.shape[1])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            push = z.T @ (w * (y - p)) - ridge * np.append(b[:-1], 0)
+            b = b + np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + ridge * np.eye(len(b)), push)
+        return b
+
+    to, mark = np.full(len(ids), -1), np.zeros(len(ids))
+    chance = (T.mix(ids.astype(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
+
+    def fitted(v):
+        mine = to == v
+        each = QC.PASSED * min(1, own / max(1, mine.sum()))
+        z = np.vstack([design(x[v][~fresh], *stats[v]), design(free[v][mine], *stats[v])])
+        return newton(z, np.append(y[~fresh], mark[mine]), np.append(weight[~fresh], np.full(mine.sum(), each)), QC.RIDGE * (own + mine.sum() * each / QC.PASSED))
+
+    b = [fitted(0), fitted(1)]
+    for _ in range(ROUNDS):
+        for v in (0, 1):
+            z = np.clip(design(free[v], *stats[v]) @ b[v], -30, 30)
+            level = np.minimum((np.abs(z) * QC.BINS / 30).astype(int), QC.BINS - 1)
+            can = [i for i in range(len(ids)) if to[i] < 0 and abs(z[i]) >= math.log(QC.SURE / (1 - QC.SURE))]
+            most = max(1, int(SHARE * len(ids)))
+            bound = min((k for k in range(QC.BINS) if sum(level[i] > k for i in can) <= most), default=0) if can else 0
+            left = most - sum(level[i] > bound for i in can)
+            at = [i for i in can if level[i] == bound]
+            for i in [i for i in can if level[i] > bound] + [i for i in at if chance[i] < left / max(1, len(at))]:
+                to[i], mark[i] = 1 - v, z[i] >= 0
+        b = [fitted(0), fitted(1)]
+
+    def logistic(a, y, w):
+        mean, scale = a.mean(0), a.std(0) + 1e-9
+        c = newton(design(a, mean, scale), y, w, QC.RIDGE * w.sum())
+        return lambda a: np.clip(design(a, mean, scale) @ c, -30, 30)
+
+    raw = lambda x: [np.clip(design(a, *s) @ c, -30, 30)[:, None] for a, s, c in zip(x, stats, b, strict=True)]
+    judge = raw([a[fresh] for a in x])
+    scale = [logistic(z, y[fresh], weight[fresh]) for z in judge]
+    both = logistic(np.stack([f(z) for f, z in zip(scale, judge, strict=True)], 1), y[fresh], weight[fresh])
+    return lambda x: 1 / (1 + np.exp(-both(np.stack([f(z) for f, z in zip(scale, raw(x), strict=True)], 1)))), to
+
+
+def test_co_training_by_the_definition():
+    rng = np.random.default_rng(7)
+    n = 500
+    y = (np.arange(120) % 3 > 0).astype(float)
+    truth = rng.integers(0, 2, n)
+    x = tuple(rng.normal(size=(120, k)) + 1.2 * y[:, None] for k in (3, 2))
+    free = tuple(rng.normal(size=(n, k)) + 1.2 * truth[:, None] for k in (3, 2))
+    ids, fresh, weight = np.arange(n) * 7, np.arange(120) % 5 == 0, np.where(y == 1, 4.0, 1.0)
+
+    def over(f):
+        return sum(f(tuple(a[i : i + 90] for a in free), ids[i : i + 90]) for i in range(0, n, 90))
+
+    model = CoTrained(x, y, fresh, over, weight)
+    score, to = brute_co_training(x, y, fresh, free, ids, weight)
+    assert (passed_on(model.rounds, free, ids)[0] == to).mean() > 0.99 and (to >= 0).sum() > 100
+    assert np.abs(model.score(free)[0] - score(free)).max() < 0.01
+
+
+def test_quality_scores_dont_move_with_the_bound(spark):
+    """One label in seven is junk, told by noisy signs: however many of both labels the sample holds, scores are chances under all labels."""
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(1400):
+        junk = i % 7 == 0
+        marked = rng.random() < (0.6 if junk else 0.15)
+        rows.append((i, " ".join(f"w{rng.randrange(3000)}" + ("***" if marked else "") for _ in range(30)), f"s{rng.randrange(3)}"))
+        marks.append((i, 0 if junk else 1))
+    docs, labels = table(spark, rows).cache(), spark.createDataFrame(marks, "doc_id long, quality int")
+    mean = {n: quality_classifier(docs, labels, sample=n).agg(F.avg("score")).first()[0] for n in (300, 10_000)}
+    assert all(abs(m - 6 / 7) < 0.05 for m in mean.values()) and abs(mean[300] - mean[10_000]) < 0.03, mean  # 0.5 where both labels weigh alike
+    again = labels.unionByName(labels)  # labels said twice are one
+    assert quality_classifier(docs, again, sample=10_000).agg(F.avg("score")).first()[0] == pytest.approx(mean[10_000])
+
+
+def test_quality_of_several_labels_and_long_texts(spark):
+    rows, marks = labelled(spark)
+    rows += [(5000 + i, " ".join(f"w{j}" + ("***" if i < 2 else "") for j in range(40_000)), "s0") for i in range(4)]
+    more = spark.createDataFrame([(5000, 0, 0), (5000, 1, 0), (5003, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality_classifier(table(spark, rows), marks.unionByName(more), sample=60).collect()}
+    assert not out[5000]["kept"] and not out[5001]["kept"] and out[5002]["kept"] and out[5003]["kept"]
+    rules = {r["doc_id"]: r for r in quality_rules(table(spark, rows), marks.unionByName(more)).collect()}
+    assert not rules[5000]["kept"] and not rules[5001]["kept"] and rules[5002]["kept"] and rules[5003]["kept"]
+
+
 def toxic_rows(n=500):
     rng = random.Random(3)
     rows, marks = [], []
