@@ -10,7 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quarryloom.operators.ordering import numbered
 
 RRF_K = 60
 CARRIED = ("path", "line", "end_line", "snippet", "metadata")
@@ -19,13 +20,11 @@ CARRIED = ("path", "line", "end_line", "snippet", "metadata")
 def ranked(hits: DataFrame, source: str, by: list | None = None, limit: int = 0) -> DataFrame:
     """hits with source and rank from 1, by falling score and id unless by says otherwise.
 
-    With a limit only that many rows are sorted to one place; their ranks come
-    from a window over them.
+    With a limit only that many rows are sorted to one place; without one all
+    are ranked, over all tasks.
     """
     order = by or [F.col("score").desc(), F.col("id")]
-    if limit > 0:
-        hits = hits.orderBy(*order).limit(limit)
-    return hits.withColumn("source", F.lit(source)).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    return numbered(hits, order, most=limit if limit > 0 else None).withColumn("source", F.lit(source))
 
 
 def _together(lists: tuple[DataFrame, ...]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
+from quarryloom.scratch import settle
 
 
 def parent_of(path: Column) -> Column:
@@ -37,17 +38,21 @@ def rollup(nodes: DataFrame) -> DataFrame:
 
     A directory's hash is the SHA-256 of its children's hashes, in the order
     of their paths; its size is the sum of theirs. Goes up one level for each
-    step of the deepest path.
+    step of the deepest path; files are hashed once, and each level's
+    directories are written before the next one is built on them, so that
+    the plan doesn't grow with the depth.
     """
+    nodes = settle(nodes, "nodes")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    level = {d: nodes.filter(F.col("depth") == d) for d in range(1, deepest + 1)}
-    done = []
+    done, dirs = [nodes], None
     for d in range(deepest, 0, -1):
-        here = level[d] if not done or d == deepest else level[d].unionByName(dirs)
-        done.append(here)
+        here = nodes.filter(F.col("depth") == d)
+        here = here if dirs is None else here.unionByName(dirs)
         hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), "")
         dirs = here.groupBy("parent").agg(X.content_hash(hashes).alias("hash"), F.sum("size").cast("long").alias("size")).select(F.col("parent").alias("path"), parent_of(F.col("parent")).alias("parent"), F.lit(d - 1).cast("int").alias("depth"), F.lit(True).alias("is_dir"), "hash", "size")
-    return reduce(lambda a, b: a.unionByName(b), [*done, dirs]) if done else nodes
+        dirs = settle(dirs, "level")
+        done.append(dirs)
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def root_hash(tree: DataFrame) -> str | None:

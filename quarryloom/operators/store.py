@@ -13,7 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quarryloom.operators.ordering import numbered, row_at
 
 LOCATION_KEY = ("repo_root", "path", "start_line", "end_line")
 
@@ -74,9 +75,15 @@ def fold_accesses(cache: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def evict(cache: DataFrame, keep: int, key: str = "content_hash", used: str = "last_accessed") -> DataFrame:
-    """The keep most recently used rows, by key among equals: a bound is found by a limit, not by ranking all rows in one place."""
-    order = [F.col(used).desc_nulls_last(), F.col(key)]
-    return cache.orderBy(*order).limit(keep)
+    """The keep most recently used rows, by key among equals. The last that stays is found among times and keys alone; rows are only filtered by it."""
+    if keep <= 0:
+        return cache.limit(0)
+    last = row_at(cache.select(used, key), [F.col(used).desc_nulls_last(), F.col(key)], keep)
+    if last is None:
+        return cache
+    at, name = F.lit(last[0]).cast(cache.schema[used].dataType), F.lit(last[1])
+    later = F.col(used).isNotNull() if last[0] is None else F.coalesce(F.col(used) > at, F.lit(False))
+    return cache.filter(later | (F.col(used).eqNullSafe(at) & (F.col(key) <= name)))
 
 
 def orphans(cache: DataFrame, locations: DataFrame) -> DataFrame:
@@ -120,15 +127,9 @@ def migration_errors(source: DataFrame, target: DataFrame, keys: tuple[str, ...]
 
 
 def every_nth(rows: DataFrame, order: tuple[str, ...], sample: int) -> DataFrame:
-    """sample rows at even distances in order; all if there are fewer.
-
-    Numbering in one order puts the keys, not the rows, into one task; for
-    tables where even those are too many, migration_errors() picks by a hash.
-    order has to tell all rows apart.
-    """
+    """sample rows at even distances in order, which has to tell all rows apart; all if there are fewer. Only keys are sorted."""
     step = max(1, rows.count() // max(1, sample))
-    numbered = rows.select(*order).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    picked = numbered.filter((F.col("_n") % step == (1 % step)) & (F.col("_n") <= step * sample)).drop("_n")
+    picked = numbered(rows.select(*order), list(order), "_n").filter((F.col("_n") % step == (1 % step)) & (F.col("_n") <= step * sample)).drop("_n")
     return rows.join(picked, list(order), "left_semi")
 
 
@@ -171,17 +172,24 @@ class Snapshots:
         writer.parquet(f"{self.path}/{folder}")
         older = ([now["folder"]] if "folder" in now else []) + now.get("older", [])
         text = json.dumps({"version": now["version"] + 1, "folder": folder, "older": older[: max(0, keep - 1)]})
+        self._point(text)
+        for old in older[max(0, keep - 1) :]:
+            self._fs.delete(self._path(f"{self.path}/{old}"), True)
+        return now["version"] + 1
+
+    def _point(self, text: str) -> None:
+        """Puts the new pointer in the place of the old one in one step, so that there is one at any time."""
         fresh = self._path(f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
-        to = self._path(f"{self.path}/CURRENT")
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        self._fs.rename(fresh, to)
-        for old in older[max(0, keep - 1) :]:
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
-        return now["version"] + 1
+        jvm = self.spark.sparkContext._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        to = self._fs.makeQualified(self._path(f"{self.path}/CURRENT"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(fresh), to, options)
 
 
 def select_rows(table: DataFrame, columns: tuple[str, ...] = (), where: list[Column] | None = None, order: list | None = None, limit: int = 0, offset: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryloom import schemas
 from quarryloom.operators import chunking, embed, merkle, stats, store, symbols
+from quarryloom.scratch import drop_settled, settle
 
 
 @dataclass
@@ -52,7 +53,7 @@ class Index:
             return IndexResult(0, 0, 0, 0, 0)
         changes = merkle.diff(None if force else old, nodes).withColumn("repo_root", F.lit(repo_root))
         fresh = mine.join(merkle.to_reindex(changes), "path", "left_semi")
-        chunks = chunking.structural_chunks(fresh)
+        chunks = settle(chunking.structural_chunks(fresh), "chunks")  # parsed once for the three tables made of them
         cache, locations = self.read("embedding_cache"), self.read("chunk_locations")
         new_cache, new_locations = embed.embed_with_cache(chunks, cache, self.embedder)
         touched = changes.select("repo_root", "path")
@@ -67,6 +68,7 @@ class Index:
         n = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         n_chunks = self.read("chunk_locations").join(fresh.select("repo_root", "path"), ["repo_root", "path"], "left_semi").count()
         self.tables["merkle"].write(old_trees.filter(F.col("repo_root") != repo_root).unionByName(nodes.select(*old_trees.columns)))
+        drop_settled(chunks)
         return IndexResult(n.get("added", 0), n.get("modified", 0), n.get("deleted", 0), n_chunks, self.read("embedding_cache").count() - before)
 
     def stats(self) -> DataFrame:

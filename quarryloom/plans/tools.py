@@ -75,7 +75,7 @@ class Workspace:
         return _document(found.withColumn("order", -F.col("score")).select("order", "path", "start_line", "end_line", "score", "source", "snippet"), order=["order", "path", "start_line"])
 
     def hybrid_search_v2(self, query: str, limit: int = 20, rerank_results: bool = False, config: SearchConfig | None = None) -> DataFrame:
-        """Fused results; reranked says for each whether its score was renewed."""
+        """Fused results; reranked by the embedder's cosine if asked for, and reranked says for each whether that was done. If the embedder fails the fused order stays."""
         v = self._vector(query)
         files = self._mine(self.files)
         if v is None:
@@ -86,5 +86,5 @@ class Workspace:
             return _document(fused.withColumn("order", -F.col("rrf_score")).select("order", "id", "path", "line", "end_line", "rrf_score", "sources", "snippet"), order=["order", "id"], semantic_available=F.lit(True))
         few = fused.withColumn("repo_root", F.lit(self.repo_root)) if self.repo_root else fused.join(files.groupBy("path").agg(F.min("repo_root").alias("repo_root")), "path")
         contents = search.with_snippets(few.drop("snippet"), files, "line", "end_line").select("id", F.col("snippet").alias("content"))
-        found = rerank.rerank(fused, contents, rerank.overlap_scores(query)).orderBy("position").limit(limit)
+        found = rerank.rerank(fused, contents, rerank.embedder_scores(query, self.embedder), most=2 * limit, on_failure="keep").orderBy("position").limit(limit)
         return _document(found.select("position", "id", "path", "line", "end_line", "rrf_score", "rerank_score", "reranked", "sources"), order=["position"], semantic_available=F.lit(True))

@@ -124,10 +124,10 @@ def list_defs(spark, d):
     return symbols.list_definitions(found, at[0], at[1]).select("name", "kind", "line")
 
 
-HTML_TAGS = r"<(h1|h2|title|p|li|a)\b[^>]*>([^<]{1,80})"
+HTML_TAGS = r"<(h1|h2|title|p|li|a)\b[^>]*>([^<]+)"
 
 
-@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|h2|title|p|li|a)\b[^>]*>([^<]{1,80})', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|h2|title|p|li|a)\b[^>]*>([^<]{1,80})', 2)) AS txt FROM pages)
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|h2|title|p|li|a)\b[^>]*>([^<]+)', 1)) AS tag, unnest(regexp_extract_all(html, '<(h1|h2|title|p|li|a)\b[^>]*>([^<]+)', 2)) AS txt FROM pages)
 SELECT page_id, tag, count(*)::BIGINT AS n, count(DISTINCT trim(txt))::BIGINT AS texts FROM t GROUP BY ALL""")
 def pattern_extract_html(spark, d):
     pages = table(spark, d, "pages")
@@ -371,9 +371,9 @@ def orphan_hashes(spark, d):
     return store.orphans(half_cache(spark, d), locations(spark, d).filter(F.col("path").cast("long") % 3 == 0))
 
 
-@query("SELECT * FROM (SELECT o_orderkey AS content_hash, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) + 1 AS access_count FROM orders WHERE o_orderkey % 11 = 0)")
+@query("SELECT o_orderkey AS content_hash, coalesce(n, 0) + 1 AS access_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def fold_access_log(spark, d):
-    cache = table(spark, d, "orders").filter("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("content_hash"), F.lit(1).cast("long").alias("access_count"), F.timestamp_seconds(F.lit(0)).alias("last_accessed"))
+    cache = table(spark, d, "orders").select(F.col("o_orderkey").alias("content_hash"), F.lit(1).cast("long").alias("access_count"), F.timestamp_seconds(F.lit(0)).alias("last_accessed"))
     log = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("content_hash"), F.col("l_shipdate").cast("timestamp").alias("accessed_at"))
     return store.fold_accesses(cache, log).select("content_hash", "access_count")
 
@@ -453,16 +453,16 @@ def semantic_v2(spark, d):
 
 
 LISTS = """a AS (SELECT doc_id::VARCHAR AS id, n_chars::DOUBLE AS score, 'size' AS source, row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR) AS rank FROM documents), b AS (SELECT vec_id::VARCHAR AS id, (vec_id % 17)::DOUBLE AS score, 'vector' AS source, row_number() OVER (ORDER BY vec_id % 17 DESC, vec_id::VARCHAR) AS rank FROM embeddings),
-c AS (SELECT doc_id::VARCHAR AS id, quality::DOUBLE AS score, 'label' AS source, row_number() OVER (ORDER BY quality DESC, doc_id::VARCHAR) AS rank FROM labels), al AS (SELECT * FROM a WHERE rank <= 300 UNION ALL SELECT * FROM b WHERE rank <= 300 UNION ALL SELECT * FROM c WHERE rank <= 300)"""
+c AS (SELECT doc_id::VARCHAR AS id, quality::DOUBLE AS score, 'label' AS source, row_number() OVER (ORDER BY quality DESC, doc_id::VARCHAR) AS rank FROM labels), al AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"""
 FUSED = LISTS + ", f AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, max(score) AS score, count(*) AS k FROM al GROUP BY id)"
 
 
 def three_lists(spark, d) -> list[DataFrame]:
     docs, vecs, marks = (table(spark, d, t) for t in ("documents", "embeddings", "labels"))
     return [
-        fusion.ranked(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")), "size", limit=300),
-        fusion.ranked(vecs.select(F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score")), "vector", limit=300),
-        fusion.ranked(marks.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("score")), "label", limit=300),
+        fusion.ranked(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")), "size"),
+        fusion.ranked(vecs.select(F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score")), "vector"),
+        fusion.ranked(marks.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("score")), "label"),
     ]
 
 
@@ -522,7 +522,7 @@ def flagship(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     fused = plans.hybrid(files(spark, d), e, vector_locations(spark, d), PATTERN, vector(spark, d), 40)
     contents = fused.select("id", "path").join(docs, "path").select("id", "content")
-    return rerank.rerank(fused.limit(40), contents, rerank.overlap_scores("released under the license"), 20).orderBy("position").limit(20)
+    return rerank.rerank(fused, contents, rerank.overlap_scores("released under the license"), 20, most=40).orderBy("position").limit(20)
 
 
 HYBRID = f"""WITH {KW_CTE.replace('i <= 40', 'i <= 80')}, {SEMANTIC.replace('LIMIT 40)', 'LIMIT 80)')},
@@ -637,7 +637,8 @@ def eval_cases(spark, d) -> DataFrame:
 
 
 def eval_runs(spark, d) -> DataFrame:
-    c = table(spark, d, "conversations").filter("role = 'assistant' and conv_id < 80").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    c = table(spark, d, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.array_join(said, " ").alias("text"))
     b = table(spark, d, "benchmark").select((F.col("item_id") * 2).alias("conv_id"), F.col("text").alias("hint"))
     words = F.filter(F.split("hint", r"[\s.,]+"), lambda w: w != "")
     output = F.concat(F.coalesce("text", F.lit("")), F.lit(" see "), F.coalesce(F.concat(F.lit("lib/SRC/"), F.get(words, F.lit(0)), F.lit(".py and "), F.upper(F.get(words, F.lit(2)))), F.lit("nothing")))
@@ -646,7 +647,7 @@ def eval_runs(spark, d) -> DataFrame:
 
 
 EVAL = r"""b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\s.,]+'), lambda w: w <> '') AS ws FROM benchmark), cs AS (SELECT item_id::VARCHAR AS id, ['src/' || w || '.py' for w in ws[1:2]] AS files, ws[3:5] AS symbols FROM b),
-c AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' AND conv_id < 80 GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn, text), '') AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 rn AS (SELECT conv_id, (conv_id // 2)::VARCHAR AS test_case_id, CASE WHEN conv_id % 2 = 0 THEN 'with_mcp' ELSE 'without_mcp' END AS mode, conv_id % 9 <> 0 AS ok, coalesce(text, '') || ' see ' || coalesce('lib/SRC/' || ws[1] || '.py and ' || upper(ws[3]), 'nothing') AS output FROM c LEFT JOIN b ON b.item_id * 2 = conv_id),
 nm AS (SELECT rn.*, files, symbols, lower(output) AS low, list_distinct(list_concat(regexp_extract_all(output, '[\w\-./]+\.(?:go|py|js|ts|tsx|jsx|java|rb|rs|c|cpp|h|hpp|sql|sh)'), regexp_extract_all(output, '[\w\-]+/[\w\-./]+'))) AS named FROM rn JOIN cs ON rn.test_case_id = cs.id),
 v AS (SELECT test_case_id, mode, ok, CASE WHEN ok THEN list_filter(files, lambda f: contains(low, lower(f)) OR len(list_filter(named, lambda p: contains(lower(p), lower(f)) OR contains(lower(f), lower(p)))) > 0) ELSE [] END AS ff, CASE WHEN ok THEN list_filter(symbols, lambda s: contains(low, lower(s))) ELSE [] END AS sf, len(files) + len(symbols) AS expected FROM nm),

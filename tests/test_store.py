@@ -157,3 +157,45 @@ def test_index_runs(spark, tmp_path):
     index.clean()
     assert index.read("embedding_cache").count() < before
     assert index.stats().filter("value = 'files'").first()["n"] == 2
+
+
+def test_a_run_that_dies_at_the_pointer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    """Killed before, while or after the new pointer is written: there is a version to read at any time, and the next write goes on from it."""
+    at = f"file://{tmp_path}/table"
+    snaps = D.Snapshots(spark, at)
+    assert snaps.write(spark.range(3)) == 1
+    point = D.Snapshots._point
+
+    def dies(self, text):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(D.Snapshots, "_point", dies)
+    with pytest.raises(KeyboardInterrupt):
+        snaps.write(spark.range(9))
+    assert D.Snapshots(spark, at).version() == 1 and D.Snapshots(spark, at).read().count() == 3
+
+    def dies_halfway(self, text):
+        self._fs.create(self._path(f"{self.path}/.CURRENT-half"), True).close()
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(D.Snapshots, "_point", dies_halfway)
+    with pytest.raises(KeyboardInterrupt):
+        snaps.write(spark.range(9))
+    assert D.Snapshots(spark, at).read().count() == 3
+
+    seen = []
+
+    def watched(self, text):
+        exists, delete = self._fs.exists, self._fs.delete
+        point(self, text)
+        seen.append((exists(self._path(f"{self.path}/CURRENT")), delete))
+
+    monkeypatch.setattr(D.Snapshots, "_point", watched)
+    assert snaps.write(spark.range(5)) == 2 and seen[0][0] and D.Snapshots(spark, at).read().count() == 5
+
+
+def test_deep_trees_are_rolled_up_level_by_level(spark):
+    files = spark.createDataFrame([("/".join(["d"] * k + [f"f{k}"]), f"text {k}") for k in range(12)], "path string, text string")
+    tree = M.rollup(M.file_nodes(files))
+    assert tree.count() == 12 + 12 and tree.filter("path = ''").first()["size"] == sum(len(f"text {k}") for k in range(12))
+    assert tree._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 13  # files and one table a level
