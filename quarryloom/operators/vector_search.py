@@ -1,4 +1,4 @@
-"""Nearest neighbours, exact and approximate."""
+"""Nearest neighbours, exact; ann.py has the approximate ones."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from quarryloom.functions import vectors as V
 
-#: A block of queries that tasks hold at a time.
-QUERY_BLOCK = 1024
+#: A block of queries that tasks hold at a time, in bytes, and how many of them are multiplied at once.
+BLOCK_BYTES, PIECE = 32 << 20, 256
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", mode: str = "metric", id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
@@ -39,18 +39,20 @@ def filtered_top_k(vectors: DataFrame, query: list[float], k: int, repos: list,
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", query_column: str = "query_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of each query, for many queries.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; each task multiplies its
-    vectors with a block and keeps k for each query, and those of all tasks are
+    Queries go to the tasks in blocks of BLOCK_BYTES, one for most query sets,
+    and vectors are read once for each; a task multiplies its vectors with
+    PIECE queries at a time and keeps k for each, and those of all tasks are
     ranked. queries: query_id and the vector column.
     """
     spark = vectors.sparkSession
     kinds = dict(vectors.dtypes)[id_column], dict(queries.dtypes)[query_column]
-    rows = queries.select(query_column, vector_column).orderBy(query_column).toLocalIterator(prefetchPartitions=True)
+    rows = queries.filter(F.col(vector_column).isNotNull()).select(query_column, vector_column).orderBy(query_column).toLocalIterator(prefetchPartitions=True)
     found, block = None, []
 
     def ask(block: list) -> DataFrame:
         ids = [r[0] for r in block]
-        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in block], np.float64))  # QUERY_BLOCK vectors at most
+        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in block], np.float32))  # BLOCK_BYTES at most
+        names = np.array(ids)
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: list[pd.DataFrame] = []
@@ -58,20 +60,23 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
                 x = np.array(pdf[vector_column].tolist(), np.float64)
                 if not len(x):
                     continue
-                d = distances(matrix.value, x, metric)
                 own = pdf[id_column].to_numpy()
                 order = np.argsort(own, kind="stable")
-                n = min(k, len(own))
-                places = order[np.argsort(np.round(d[:, order], 12), axis=1, kind="stable")[:, :n]]
-                best.append(pd.DataFrame({query_column: np.repeat(ids, n), id_column: own[places].ravel(), "distance": np.take_along_axis(d, places, 1).ravel()}))
+                x, own, n = x[order], own[order], min(k, len(own))
+                for at in range(0, len(names), PIECE):
+                    d = distances(matrix.value[at : at + PIECE].astype(np.float64), x, metric)
+                    places = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :n]
+                    best.append(pd.DataFrame({query_column: np.repeat(names[at : at + PIECE], n), id_column: own[places].ravel(), "distance": np.take_along_axis(d, places, 1).ravel()}))
+                if len(best) > 4 * (1 + len(names) // PIECE):
+                    best = [_head(best, k, query_column, id_column)]
             if best:
-                yield pd.concat(best).sort_values([query_column, "distance", id_column]).groupby(query_column).head(k)
+                yield _head(best, k, query_column, id_column)
 
         return vectors.filter(F.col(vector_column).isNotNull()).select(id_column, vector_column).mapInPandas(near, f"{query_column} {kinds[1]}, {id_column} {kinds[0]}, distance double")
 
     for r in rows:
         block.append(r)
-        if len(block) == QUERY_BLOCK:
+        if len(block) * max(1, len(r[1] or ())) * 4 >= BLOCK_BYTES:
             found, block = ask(block) if found is None else found.union(ask(block)), []
     if block or found is None:
         part = ask(block) if block else spark.createDataFrame([], f"{query_column} {kinds[1]}, {id_column} {kinds[0]}, distance double")
@@ -80,6 +85,10 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _head(parts: list[pd.DataFrame], k: int, query_column: str, id_column: str) -> pd.DataFrame:
+    return pd.concat(parts).assign(_d=lambda p: p["distance"].round(12)).sort_values([query_column, "_d", id_column]).groupby(query_column).head(k).drop(columns="_d")
+
+
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     if metric == "manhattan":
         return np.stack([np.abs(rows - q).sum(1) for q in queries])
@@ -92,58 +101,6 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
-class LshIndex:
-    """Random projections in buckets, on unit vectors, where Euclidean order is cosine order."""
-
-    def __init__(self, vectors: DataFrame, tables: int = 8, bucket_length: float = 0.8, seed: int = 7, id_column: str = "id", vector_column: str = "embedding"):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-        self.id_column, self.vector_column = id_column, vector_column
-        self.rows = self._unit(vectors)
-        self.model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed).fit(self.rows)
-
-    def _unit(self, vectors: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        return vectors.filter(F.col(self.vector_column).isNotNull()).withColumn("unit", array_to_vector(V.normalized(F.col(self.vector_column))))
-
-    def search(self, query: list[float], k: int, repos: list | None = None, repo_column: str = "repo_root") -> DataFrame:
-        """id and distance (Euclidean, of unit vectors) of about the k nearest."""
-        from pyspark.ml.linalg import Vectors
-
-        norm = sum(x * x for x in query) ** 0.5 or 1.0
-        rows = self.rows.filter(F.col(repo_column).isin(*repos)) if repos else self.rows
-        found = self.model.approxNearestNeighbors(rows, Vectors.dense([x / norm for x in query]), k, distCol="distance")
-        return found.select(self.id_column, "distance").orderBy("distance", self.id_column)
-
-
-class IvfIndex:
-    """Lists around k-means centres; a search reads the lists nearest to the query."""
-
-    def __init__(self, vectors: DataFrame, lists: int = 100, seed: int = 7, sample: int = 100_000, id_column: str = "id", vector_column: str = "embedding"):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        self.id_column, self.vector_column = id_column, vector_column
-        unit = vectors.filter(F.col(vector_column).isNotNull()).withColumn("unit", array_to_vector(V.normalized(F.col(vector_column))))
-        n = unit.count()
-        fitted_on = unit if n <= sample else unit.filter(F.pmod(F.xxhash64(id_column), F.lit(n)) < sample)
-        self.model = KMeans(k=max(2, min(lists, n // 4 or 2)), seed=seed, featuresCol="unit", predictionCol="list", maxIter=10).fit(fitted_on)
-        self.centres = np.array(self.model.clusterCenters())
-        self.rows = self.model.transform(unit).drop("unit")
-
-    def search(self, query: list[float], k: int, probes: int = 10) -> DataFrame:
-        q = np.array(query) / (np.linalg.norm(query) or 1.0)
-        near = np.argsort(np.linalg.norm(self.centres - q, axis=1), kind="stable")[:probes]
-        return top_k(self.rows.filter(F.col("list").isin(*near.tolist())), query, k, id_column=self.id_column, vector_column=self.vector_column)
-
-    def assign(self, vectors: DataFrame) -> DataFrame:
-        """New rows with their lists."""
-        from pyspark.ml.functions import array_to_vector
-
-        return self.model.transform(vectors.withColumn("unit", array_to_vector(V.normalized(F.col(self.vector_column))))).drop("unit")
-
-
 def sync_index(index: DataFrame, vectors: DataFrame, id_column: str = "id") -> DataFrame:
     """index without rows that vectors lacks, with those that it lacks itself."""
     ids = vectors.select(id_column)

@@ -40,11 +40,17 @@ def _own_dir() -> str:
 _settled: dict[str, list[str]] = {}
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder for something other than a table; clear_scratch() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the table that was written. It stays until drop_settled() or clear_scratch()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

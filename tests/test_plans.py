@@ -33,7 +33,7 @@ def test_caps_are_pushed_below_the_window(spark):
     assert "WindowGroupLimit" in p and "TakeOrderedAndProject" in p
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ann_lsh_topk", "ivf_topk"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_products(spark, name):
     p = plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in p

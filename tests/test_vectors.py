@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.functions import vectors as V
+from quarryloom.operators import ann as A
 from quarryloom.operators import vector_search as S
 
 
@@ -50,16 +51,77 @@ def test_batch_equals_single(spark):
     assert S.batch_knn(rows, asked.limit(0), 3).count() == 0
 
 
-def test_approximate_finds_most(spark):
-    x = np.random.default_rng(3).normal(size=(600, 32))
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<float>")
-    lsh, ivf = S.LshIndex(rows), S.IvfIndex(rows, lists=16)
-    hit = [0, 0]
-    for q in range(5):
-        want = {r["id"] for r in S.top_k(rows, x[q].tolist(), 10).collect()}
-        hit[0] += len(want & {r["id"] for r in lsh.search(x[q].tolist(), 10).collect()})
-        hit[1] += len(want & {r["id"] for r in ivf.search(x[q].tolist(), 10, probes=12).collect()})
-    assert min(hit) >= 45
+@pytest.fixture(scope="module")
+def many(spark):
+    x = np.random.default_rng(3).normal(size=(900, 32))
+    return x, spark.createDataFrame([(i, v.tolist(), f"r{i % 3}") for i, v in enumerate(x)], "id int, embedding array<float>, repo_root string").repartition(3)
+
+
+@pytest.mark.parametrize(("kind", "probes"), [("ivf", 10), ("lsh", 13)])
+def test_approximate_finds_most(spark, many, tmp_path, kind, probes):
+    """All ids divisible by 20 as queries, against the exact search."""
+    _, rows = many
+    index = A.AnnIndex(spark, f"file://{tmp_path}/{kind}").build(rows, kind, 16)
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = S.batch_knn(rows, asked, 10)
+    found = index.search_many(asked, 10, probes)
+    assert A.recall(found, exact) >= 0.9 and found.groupBy("query_id").count().filter("count <> 10").count() == 0
+    # Probing all cells is exact.
+    assert A.recall(index.search_many(asked, 10, index.cells().n), exact) == 1.0
+
+
+def test_blocks_of_a_cell_give_the_same(spark, many, tmp_path, monkeypatch):
+    _, rows = many
+    index = A.AnnIndex(spark, f"file://{tmp_path}/i").build(rows, "ivf", 8)
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, index.search_many(asked, 5, 4).collect()))
+    monkeypatch.setattr(A, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 7)
+    assert sorted(map(tuple, index.search_many(asked, 5, 4).collect())) == whole
+    monkeypatch.setattr(S, "BLOCK_BYTES", 32 * 4 * 10)
+    few = sorted(map(tuple, S.batch_knn(rows, asked, 5).collect()))
+    monkeypatch.setattr(S, "BLOCK_BYTES", 32 << 20)
+    assert sorted(map(tuple, S.batch_knn(rows, asked, 5).collect())) == few
+
+
+def test_a_search_reads_the_probed_cells(spark, many, tmp_path):
+    x, rows = many
+    index = A.AnnIndex(spark, f"file://{tmp_path}/i").build(rows, "ivf", 16)
+    found = index.search(x[0].tolist(), 5, probes=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and found.first()["id"] == 0
+    only = index.search(x[0].tolist(), 5, probes=16, where=F.col("repo_root") == "r2").collect()
+    assert len(only) == 5 and all(r["repo_root"] == "r2" for r in only)
+
+
+def test_index_changes(spark, many, tmp_path):
+    x, rows = many
+    index = A.AnnIndex(spark, f"file://{tmp_path}/i")
+    index.drop()
+    with pytest.raises(LookupError):
+        index.count()
+    index.build(rows.filter("id < 600"), "ivf", 8)
+    index.delete(rows.filter("id < 10"))
+    assert index.count() == 590 and index.search(x[3].tolist(), 1, 8).first()["id"] != 3
+    index.insert(rows.filter("id between 3 and 12"))  # comes back, or is put over what is there
+    assert index.count() == 597 and index.search(x[3].tolist(), 1, 8).first()["id"] == 3
+    index.sync(rows.filter("id % 2 = 0"))
+    assert index.count() == 450 and sorted(r[0] for r in index.rows().select("id").collect()) == list(range(0, 900, 2))
+    index.rebuild(4)
+    assert index.count() == 450 and index.cells().n == 4 and not (tmp_path / "i" / "gone").exists()
+    again = A.AnnIndex(spark, f"file://{tmp_path}/i")
+    assert again.search(x[4].tolist(), 1, 4).first()["id"] == 4
+    index.build(rows.limit(0), "ivf")
+    assert index.count() == 0 and index.search_many(rows.select(F.col("id").alias("query_id"), "embedding"), 3).count() == 0
+    index.drop()
+    assert not (tmp_path / "i").exists()
+
+
+def test_cached_search(many):
+    x, rows = many
+    search = A.cached(rows)
+    assert [r["id"] for r in search(x[5].tolist(), 3).collect()][0] == 5
+    assert all(r["repo_root"] == "r1" for r in search(x[5].tolist(), 3, ["r1"]).collect())
 
 
 def test_repos_are_filtered_first(spark):
