@@ -9,6 +9,7 @@ Inserts are appended, deletes are remembered until the next rebuild.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from quarryloom.functions import vectors as V
@@ -98,20 +100,23 @@ class AnnIndex:
         """Fits cells, writes all vectors by cell and then names the new files; an index that is there is read until then. Rows without a vector are left out."""
         model = fit_cells(vectors, kind, cells, seed, sample, self.id_column, self.vector_column)
         folder = f"rows-{uuid.uuid4().hex[:8]}"
-        self._write(vectors, model, folder, "errorifexists")
+        schema = self._write(vectors, model, folder, "errorifexists")
         old = self.meta.read()
         gone = [r["folder"] for r in old.select("folder").collect()] if old is not None else []
-        self.meta.write(self.spark.createDataFrame([(kind, model.model.tolist(), folder)], "kind string, model array<array<double>>, folder string"), keep=1)
+        self.meta.write(self.spark.createDataFrame([(kind, model.model.tolist(), folder, schema)], "kind string, model array<array<double>>, folder string, schema string"), keep=1)
         for f in gone:
             self._remove(f)
             self._remove(f.replace("rows-", "gone-"))
         return self
 
-    def _write(self, vectors: DataFrame, model: Cells, folder: str, mode: str) -> None:
+    def _write(self, vectors: DataFrame, model: Cells, folder: str, mode: str) -> str:
+        """Appends or writes rows, and says their schema: of no rows no files come that would tell it."""
         name = self.vector_column
         rows = vectors.filter(F.col(name).isNotNull())
         cell = F.pandas_udf(lambda x: pd.Series(model.nearest(np.stack(x.to_list()))[:, 0] if len(x) else [], dtype="int32"), "int")
-        rows.withColumn("seq", F.lit(time.time_ns())).withColumn("cell", cell(name)).write.mode(mode).partitionBy("cell").parquet(f"{self.path}/{folder}")
+        rows = rows.withColumn("seq", F.lit(time.time_ns())).withColumn("cell", cell(name))
+        rows.write.mode(mode).partitionBy("cell").parquet(f"{self.path}/{folder}")
+        return rows.schema.json()
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -124,8 +129,9 @@ class AnnIndex:
 
     def rows(self, where: Column | None = None) -> DataFrame:
         """What the index holds, with each row's cell. where reaches the scan."""
-        folder = self._meta()["folder"]
-        rows = self.spark.read.parquet(f"{self.path}/{folder}")
+        meta = self._meta()
+        folder = meta["folder"]
+        rows = self.spark.read.schema(StructType.fromJson(json.loads(meta["schema"]))).parquet(f"{self.path}/{folder}")
         rows = rows if where is None else rows.filter(where)
         gone = folder.replace("rows-", "gone-")
         if self._fs().exists(self._path(gone)):
