@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Every document gets a random key from the hash of its id. Within each source
+Every document gets a random key from the hash of its id and text. Within each source
 the keys are cut into ranges, as many as the source's size asks for; sums
 over the ranges and then inside each range give every document the number of
 words before it in its source, so no source, however large, is ordered in one
@@ -21,6 +21,7 @@ MOST_REPEATS = 3
 #: A range of keys has about so many documents.
 RANGE_ROWS = 2048
 SEED = "mix-1"
+OUT = ("doc_id", "size", "source_size", "target", "taken")
 _HEX = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,28 +59,33 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPE
     most times.
 
     Returns a row for each row of docs: doc_id, size, source_size, target,
-    taken, after the columns named in keep. Those names must differ from these five.
+    taken, after the columns named in keep. A column in keep with one of these
+    names is replaced.
 
     A null text has size 0. A null source is a source of its own, the last.
-    Repeated ids share a key and stand together, smaller sizes first. A source
-    without words has target 0. No documents give no rows.
+    Repeated rows stand together, as one row with their number until their words
+    are dealt out. A source without words has target 0. No documents give no rows.
     """
+    keep = tuple(c for c in keep if c not in OUT)
     size = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     # A key that SQL can make too: the first hex digits of an md5.
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("|"), F.coalesce(docs["text"].cast("string"), F.lit(""))).cast("binary"))
     kept = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     sized = docs.select(kept.alias("kept"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), digest.alias("key"))
+    sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("copies"))
     sized = settle(sized, "sized")  # read three times from here on, without the texts
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sources, weights, most).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("long")).withColumnRenamed("source", "of")
     unit = F.conv(F.substring("key", 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
     ranged = sized.join(targets, sized["source"].eqNullSafe(targets["of"])).withColumn("range", F.floor(unit * F.col("ranges")))
-    sums = ranged.groupBy("of", "range").agg(F.sum("size").alias("range_size"))
+    sums = ranged.groupBy("of", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("range_size"))
     start = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("of").alias("s_of"), F.col("range").alias("s_range"), F.coalesce(F.sum("range_size").over(start), F.lit(0)).alias("range_start"))
     placed = ranged.join(starts, F.col("of").eqNullSafe(F.col("s_of")) & (F.col("range") == F.col("s_range")))
     inside = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    begin = F.col("range_start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
+    placed = placed.withColumn("begin", begin).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    before = F.col("begin") + F.col("copy") * F.col("size")
     budget = F.floor(F.col("target")).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - rounds * F.col("source_size")

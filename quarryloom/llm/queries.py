@@ -76,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0]::DOUBLE[] AS ws, row_number() OVER (ORDER BY (source IS NULL), encode(source)) AS i FROM d GROUP BY source),
 r AS (SELECT source, source_size, ws[(i - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS most FROM s),
 l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM r) - coalesce(sum(most) OVER o, 0)) / ((SELECT sum(w) FROM r) - coalesce(sum(w) OVER o, 0)) AS level

@@ -112,6 +112,17 @@ def test_mixing(docs, rows):
     assert sorted(map(repr, out)) == sorted(map(repr, again))
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows that are there a hundred times are dealt out one by one; a kept column of an output's name is replaced."""
+    rows = [(None, "a b c", "x")] * 100 + [(1, "a b c", "x")] * 50 + [(2, "d " * 40, "y"), (None, None, None), (None, None, None)]
+    out = mix_sources(table(spark, rows), keep=("source", "doc_id", "row")).collect()
+    total, target = brute_mix(rows)
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"source", "row", "doc_id", "size", "source_size", "target", "taken"}
+    for s in total:
+        assert abs(sum(r["taken"] for r in out if r["source"] == s) - target[s]) < 1
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == total[r["source"]] for r in out)
+
+
 def test_mixing_of_nothing(spark, docs):
     assert mix_sources(docs.limit(0)).count() == 0
     empty = table(spark, [(1, None, "a"), (2, "", None)])

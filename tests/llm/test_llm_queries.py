@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from quarryloom.llm import queries as Q
 from quarryloom.llm.line_dedup import line_dedup
+from quarryloom.llm.quality_classifier import quality_classifier
+from quarryloom.llm.quality_rules import quality_rules
 from quarryloom.llm.storage import settle
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -77,9 +79,35 @@ def test_pipeline(spark, oracle):
 
 
 def test_pipeline_of_nothing_and_nulls(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "a b", "en", "s", 3), (2, "", "en", None, 0), (2, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (None, None, None, None, None), (2, "", "en", None, 0), (2, "a b", "en", "s", 3), (2, "a b", "en", "s", 3)], kinds)
     for rows in (docs, docs.limit(0)):
-        d = rows
+        d, left = rows, []
         for _, stage in P.STAGES:
             d = settle(stage(spark, d, SMALL), "test")
-        assert d.count() <= rows.count()
+            left.append(d.count())
+        # Rows of one id and text become one; documents without words aren't taken into the mix.
+        assert left == ([7, 7, 5, 5, 2] if rows is docs else [0] * 5)
+
+
+def test_one_of_each_group_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    near = text + " more"
+    rows = [(5, text, "en", "a", 1), (5, text, "en", "b", 1), (6, near, "en", "a", 1), (7, "other words", "en", "a", 1), (7, "something else", "en", "a", 1), (None, "no id", "en", "a", 1), (None, "no id", "fr", "a", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r["doc_id"], r["text"]) for r in P.one_of_each_group(spark, docs, "").collect()), key=repr)
+    assert out == sorted([(5, text), (7, "other words"), (7, "something else"), (None, "no id"), (None, None), (None, None)], key=repr)
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op6_quality_classifier"])
+def test_quality_on_labels_it_hasnt_seen(spark, name):
+    """Fitted without a fifth of the labels, judged on that fifth."""
+    d = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    judge = quality_rules if name.startswith("op3") else quality_classifier
+    out = judge(docs, marks.filter(~fold)).join(marks.filter(fold), "doc_id").select("quality", "kept").collect()
+    good, junk = [r["kept"] for r in out if r["quality"] == 1], [r["kept"] for r in out if r["quality"] == 0]
+    found = {"good kept": sum(good) / len(good), "junk dropped": 1 - sum(junk) / len(junk), "good of kept": sum(good) / (sum(good) + sum(junk))}
+    print(name, len(good), len(junk), found)
+    assert len(junk) > 50 and found["good kept"] >= 0.93 and found["junk dropped"] >= 0.9 and found["good of kept"] >= 0.95
