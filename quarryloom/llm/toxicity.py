@@ -50,8 +50,7 @@ def held_out(doc_id: Column) -> Column:
 def sentence_features(texts: list[bytes]):
     """(features [words x kinds], sentence of each word, document of each sentence), in slices of texts.
 
-    Sentences end at . ! ? and line ends; each document has at least one, and
-    sentences without words count too.
+    Sentences end at . ! ? and line ends; each document has at least one, which may have no words.
     """
     raw = b" " + b"\n".join(texts) + b"\n"
     b = np.frombuffer(raw.translate(T.ALNUM), np.uint8)
@@ -106,17 +105,26 @@ class Model:
         return maybe[ok], at[ok]
 
     def bags(self, texts: list[bytes]):
-        """(distinct (sentence, feature) pairs, document of each sentence)"""
-        pairs, docs, done = [], [], 0
+        """(distinct (sentence, feature) pairs, document of each sentence, which sentences are in the bag)
+
+        A run of marks isn't a sentence: those without words stay out, but for one in a document that has no others.
+        """
+        pairs, docs, worded, done = [], [], [], 0
         for i, j in _slices(texts):
             x, sentence, doc = sentence_features(texts[i:j])
             for kind in range(x.shape[1]):
                 which, feature = self.places(x[:, kind])
                 pairs.append(np.stack([sentence[which] + done, feature], 1))
             docs.append(doc + i)
+            counts = np.zeros(len(doc), bool)
+            counts[sentence] = True
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            counts[first[np.add.reduceat(counts, first, dtype=np.int64) == 0]] = True
+            worded.append(counts)
             done += len(doc)
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        return pairs, np.concatenate(docs) if docs else np.empty(0, np.int64)
+        if not docs:
+            return np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.unique(np.concatenate(pairs), axis=0), np.concatenate(docs), np.concatenate(worded)
 
     def sentences(self, pairs: np.ndarray, n: int) -> np.ndarray:
         z = self.bias + np.bincount(pairs[:, 0], self.weights[pairs[:, 1]], n) if len(pairs) else np.full(n, self.bias)
@@ -124,8 +132,8 @@ class Model:
 
     def score(self, texts: list[bytes]):
         """(score of each text, its worst sentence from 0, that one's score, sentences)"""
-        pairs, doc = self.bags(texts)
-        p = self.sentences(pairs, len(doc))
+        pairs, doc, worded = self.bags(texts)
+        p = self.sentences(pairs, len(doc)) * worded
         first = np.searchsorted(doc, np.arange(len(texts)))
         count = np.bincount(doc, minlength=len(texts))
         score = 1 - np.exp(np.add.reduceat(np.log1p(-p), first)) if len(p) else np.zeros(len(texts))
@@ -247,12 +255,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            pairs, doc = known.value.bags(bytes_of(batch["text"]))
-            count = np.bincount(doc, minlength=batch.num_rows)
+            pairs, doc, worded = known.value.bags(bytes_of(batch["text"]))
+            count, bag = (np.bincount(d, minlength=batch.num_rows) for d in (doc, doc[worded]))
             first = np.cumsum(count) - count
             edge = np.searchsorted(pairs[:, 0], np.append(first, len(doc)))
             packed = [(pairs[i:j] - np.array([f, 0])).tobytes() for f, i, j in zip(first.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(count, pa.int64()), pa.array(packed, pa.binary())], ["id", "toxic", "n", "pairs"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(bag, pa.int64()), pa.array(packed, pa.binary())], ["id", "toxic", "n", "pairs"])
 
     rows = sorted(sampled.select("id", "toxic", "text").mapInArrow(bagged, "id long, toxic int, n long, pairs binary").collect(), key=lambda r: r["id"])
     drop_settled(sampled)
@@ -271,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     Nothing but the text enters a score.
 
     A null or empty text is one sentence without words and gets the score of
-    that. Without toxic or without clean labels all sentences score alike,
+    that; in other texts sentences without words don't count for the score. Without toxic or without clean labels all sentences score alike,
     by the share of toxic labels. Repeated rows score alike.
     """
     prepare_workers(docs.sparkSession)

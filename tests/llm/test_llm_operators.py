@@ -602,6 +602,10 @@ def test_toxicity_scores_by_the_definition():
     score, worst, top, count = model.score([text.encode(), b""])
     assert score[0] == pytest.approx(1 - math.prod(1 - y for y in p)) and (worst[0], count[0]) == (3, 4) and top[0] == pytest.approx(p[3])
     assert score[1] == pytest.approx(1 / (1 + math.exp(2))) and (worst[1], count[1]) == (0, 1)
+    marks = [text.replace("!", "!!! ... ??\n\n").encode(), b"?! ... !!", b"", b"!" * 40_000 + b" a"]
+    score, worst, top, count = model.score(marks)  # runs of marks add sentences, but no chances
+    assert score[0] == pytest.approx(1 - math.prod(1 - y for y in p)) and count[0] == 13 and worst[0] == 12
+    assert score[1:] == pytest.approx([1 / (1 + math.exp(2))] * 3) and count[3] == 40_001
 
 
 def test_toxicity_learns_from_long_texts_and_a_bounded_sample(spark):
