@@ -48,6 +48,36 @@ NOTICES = {
     "cc by nd": "cc-by-nd",
     "cc0 1 0": "cc0",
     "all rights reserved": "all-rights-reserved",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
+    "licensed under the mit license": "mit",
+    "the mit license mit": "mit",
+    "apache license version 2 0": "apache-2",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "zlib license": "zlib",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3",
+    "mozilla public license version 2 0": "mpl-2",
+    "gnu general public license as published by the free software foundation": "gpl",
+    "either version 2 of the license or at your option any later version": "gpl-2-plus",
+    "either version 3 of the license or at your option any later version": "gpl-3-plus",
+    "gnu lesser general public license version 2 1": "lgpl-2-1",
+    "gnu lesser general public license version 3": "lgpl-3",
+    "gnu affero general public license version 3": "agpl-3",
+    "gnu free documentation license": "gfdl",
+    "eclipse public license version 2 0": "epl-2",
+    "european union public licence": "eupl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "cc by 4 0": "cc-by",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "artistic license": "artistic",
+    "proprietary and confidential": "proprietary",
 }
 # Identifiers whose label isn't the identifier itself in lower case.
 IDENTIFIERS = {
@@ -59,20 +89,42 @@ IDENTIFIERS = {
     "cc-by-sa-4.0": "cc-by-sa",
     "cc0-1.0": "cc0",
     "gpl-2.0-only": "gpl-2",
-    "gpl-2.0-or-later": "gpl-2",
+    "gpl-2.0-or-later": "gpl-2-plus",
     "gpl-2.0": "gpl-2",
     "gpl-3.0-only": "gpl-3",
-    "gpl-3.0-or-later": "gpl-3",
+    "gpl-3.0-or-later": "gpl-3-plus",
     "gpl-3.0": "gpl-3",
-    "mpl-2.0": "mpl",
+    "mpl-2.0": "mpl-2",
+    "agpl-3.0": "agpl-3",
+    "agpl-3.0-only": "agpl-3",
+    "agpl-3.0-or-later": "agpl-3-plus",
+    "lgpl-2.1": "lgpl-2-1",
+    "lgpl-2.1-only": "lgpl-2-1",
+    "lgpl-2.1-or-later": "lgpl-2-1-plus",
+    "lgpl-3.0": "lgpl-3",
+    "lgpl-3.0-only": "lgpl-3",
+    "lgpl-3.0-or-later": "lgpl-3-plus",
+    "epl-2.0": "epl-2",
+    "eupl-1.2": "eupl",
+    "cc-by-4.0": "cc-by",
+    "cc-by-nd-4.0": "cc-by-nd",
+    "cc-by-nc-sa-4.0": "cc-by-nc-sa",
+    "cc-by-nc-nd-4.0": "cc-by-nc-nd",
+    "odbl-1.0": "odbl",
+    "ofl-1.1": "ofl",
+    "artistic-2.0": "artistic",
+    "sspl-1.0": "sspl",
+    "busl-1.1": "busl",
+    "gfdl-1.3-or-later": "gfdl",
 }
 # Labels that an expression may rest on.
-PERMITTED = frozenset(("mit", "apache-2", "bsd", "bsd-2", "bsd-3", "bsl-1", "isc", "cc0", "public-domain", "unlicense", "zlib"))
+PERMITTED = frozenset(("mit", "apache-2", "bsd", "bsd-2", "bsd-3", "bsl-1", "isc", "cc0", "public-domain", "unlicense", "zlib", "wtfpl", "cc-by", "artistic", "ofl"))
 
 TAG = "spdx license identifier"
 _TAG_LINE = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:_-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: How much each kind of evidence is worth by itself; kinds are joined by noisy-or.
 SURE = {"tag": 0.98, "base": 0.9, "notice": 0.7}
 
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, permitted boolean"
