@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+# Words for yes and no.
 _YES = ("true", "1", "yes", "on", "enabled")
 _NO = ("false", "0", "no", "off", "disabled")
 
@@ -56,26 +57,3 @@ class ChunkConfig:
     least_lines: int = 5
     least_gap: int = 3
     max_bytes: int = 2000
-
-
-@dataclass(frozen=True)
-class AnnConfig:
-    """Bounds of an approximate index; check() names what is out of range."""
-
-    m: int = 16
-    ef_construction: int = 64
-    ef_search: int = 40
-    metric: str = "cosine"
-    lists: int = 100
-
-    def check(self) -> list[str]:
-        wrong = []
-        if not 2 <= self.m <= 100:
-            wrong.append("m must be between 2 and 100")
-        if not self.m <= self.ef_construction <= 2000:
-            wrong.append("ef_construction must be between m and 2000")
-        if not 1 <= self.ef_search <= 2000:
-            wrong.append("ef_search must be between 1 and 2000")
-        if self.metric not in ("", "cosine", "euclidean", "dot_product"):
-            wrong.append("metric must be cosine, euclidean or dot_product")
-        return wrong

@@ -70,9 +70,9 @@ RECORD_LANGUAGES = {
 }
 
 # Extensions of code files, for symbols (lower-cased before the test), embedding and watching.
-SYMBOL_FILES = "go js ts tsx jsx py rb java c cpp h hpp rs swift kt scala php cs sh bash zsh sql lua vim el".split()
-EMBED_FILES = "go js ts tsx jsx py rb java c cpp h hpp rs swift kt scala php cs sh sql".split()
-WATCH_FILES = "go js ts tsx jsx py java c cpp h hpp rs rb php swift kt scala cs md json yaml yml toml".split()
+SYMBOL_FILES = ("go", "js", "ts", "tsx", "jsx", "py", "rb", "java", "c", "cpp", "h", "hpp", "rs", "swift", "kt", "scala", "php", "cs", "sh", "bash", "zsh", "sql", "lua", "vim", "el")
+EMBED_FILES = ("go", "js", "ts", "tsx", "jsx", "py", "rb", "java", "c", "cpp", "h", "hpp", "rs", "swift", "kt", "scala", "php", "cs", "sh", "sql")
+WATCH_FILES = ("go", "js", "ts", "tsx", "jsx", "py", "java", "c", "cpp", "h", "hpp", "rs", "rb", "php", "swift", "kt", "scala", "cs", "md", "json", "yaml", "yml", "toml")
 
 # Directories that scans skip besides those that begin with a dot.
 IGNORED_DIRS = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", ".git", ".svn", ".hg")

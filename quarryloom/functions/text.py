@@ -62,8 +62,8 @@ def language(path: Text, table: str = "record") -> Column:
 
 def is_code_file(path: Text, purpose: str = "symbols") -> Column:
     if purpose == "symbols":
-        return extension(path).isin(L.SYMBOL_FILES)
-    return extension(path, lower=False).isin(L.EMBED_FILES if purpose == "embed" else L.WATCH_FILES)
+        return extension(path).isin(*L.SYMBOL_FILES)
+    return extension(path, lower=False).isin(*(L.EMBED_FILES if purpose == "embed" else L.WATCH_FILES))
 
 
 def normalized_kind(kind: Text) -> Column:

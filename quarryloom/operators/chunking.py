@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,9 +109,9 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, size: int = DEFAULTS.lin
     return own.unionByName(rest).join(lines, list(KEYS)).select(*KEYS, "start_line", "end_line", _cut(F.col("lines"), F.col("start_line") - 1, F.col("end_line")).alias("content"), "kind")
 
 
-# Structural chunks. Python is parsed; other languages are scanned for declarations whose braces (or end words) are balanced.
+# Structural chunks. Python is parsed; other languages are scanned, each character once, for declarations whose braces (or end words) are balanced.
 
-# Node types by language and the words that begin them.
+# Node types by language (the names that grammars give them) and expressions for the lines that begin them.
 DECLARATIONS = {
     "go": {"function_declaration": r"func\s+(\w+)", "method_declaration": r"func\s*\([^)]*\)\s*(\w+)", "type_declaration": r"type\s+(\w+)", "const_declaration": r"const\b\s*(\w*)", "var_declaration": r"var\b\s*(\w*)"},
     "javascript": {"export_statement": r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)?\s*\*?\s*(\w*)", "function_declaration": r"(?:async\s+)?function\s*\*?\s*(\w+)", "class_declaration": r"class\s+(\w+)", "arrow_function": r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"},
@@ -120,6 +121,11 @@ DECLARATIONS = {
     "cpp": {"class_specifier": r"class\s+(\w+)", "struct_specifier": r"struct\s+(\w+)", "namespace_definition": r"namespace\s+(\w*)", "function_definition": r"[A-Za-z_][\w\s\*&:<>,]*?\b([\w:~]+)\s*\([^;]*$"},
     "ruby": {"class": r"class\s+(\w+)", "module": r"module\s+(\w+)", "singleton_method": r"def\s+self\.(\w+[?!]?)", "method": r"def\s+(\w+[?!]?)"},
 }
+_NO_FLOW = r"(?!(?:return|new|else|throw|case|if|for|while|switch|try|catch|do|assert|yield|await|goto)\b)"
+DECLARATIONS["javascript"]["method_definition"] = _NO_FLOW + r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override)\s+)*\*?\s*([\w$#]+)\s*(?:<[^>(]*>)?\([^;]*\)\s*(?::[^={]+)?\{"
+DECLARATIONS["java"]["constructor_declaration"] = r"(?:(?:public|private|protected)\s+)*([A-Z]\w*)\s*\([^;]*$"
+DECLARATIONS["java"]["method_declaration"] = _NO_FLOW + r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?[\w<>\[\],.?]+\s+(\w+)\s*\("
+DECLARATIONS["c"]["declaration"] = _NO_FLOW + r"(?:(?:static|extern|const|unsigned|volatile|struct|enum)\s+)*[A-Za-z_]\w*[\s\*]+(\w+)\s*(?:=[^;]*|\[[^\]]*\]|\([^)]*\))?\s*;\s*$"
 DECLARATIONS["typescript"] = {**DECLARATIONS["javascript"], "interface_declaration": r"interface\s+(\w+)", "type_alias_declaration": r"type\s+(\w+)\s*="}
 DECLARATIONS["tsx"] = DECLARATIONS["typescript"]
 
@@ -148,57 +154,113 @@ def _python_nodes(text: str) -> list[tuple[int, int, str, str, list]]:
 
 
 def _scanned_nodes(lines: list[str], language: str) -> list[tuple[int, int, str, str, list]]:
-    """Declarations at the outermost level, each up to where its braces close (for ruby: up to an end as far left)."""
-    import re
-
+    """Declarations at all levels, each up to where its braces close (for ruby: up to an end as far left), with those inside it."""
     forms = [(kind, re.compile(r"\s*" + p)) for kind, p in DECLARATIONS[language].items()]
-    out, i = [], 0
-    while i < len(lines):
-        hit = next(((kind, m) for kind, p in forms if (m := p.match(lines[i]))), None)
-        if hit is None or lines[i][:1].isspace() and language != "ruby":
-            i += 1
+    depth = [] if language == "ruby" else _depths(lines, language)
+    found = []
+    for i, line in enumerate(lines):
+        if not line.strip() or (depth and depth[i][2]):
+            continue
+        hit = next(((kind, m) for kind, p in forms if (m := p.match(line))), None)
+        if hit is None or hit[1].groups()[:1] and hit[1][1] in _WORDS_OF_FLOW:
             continue
-        last = _ruby_end(lines, i) if language == "ruby" else _brace_end(lines, i)
-        inside = [(f + i + 1, e + i + 1, k, n, x) for f, e, k, n, x in _scanned_nodes(lines[i + 1 : last], language)] if language == "ruby" else []
-        out.append((i + 1, last + 1, hit[0], (hit[1].groups() or ("",))[0] or "", inside))
-        i = last + 1
+        found.append((i, hit[0], (hit[1].groups() or ("",))[0] or ""))
+    ends = _ruby_ends(lines, [i for i, *_ in found]) if language == "ruby" else _brace_ends(lines, depth, [i for i, *_ in found])
+    out: list[tuple[int, int, str, str, list]] = []
+    open_: list[tuple[int, int, str, str, list]] = []
+    for (i, kind, name), last in zip(found, ends, strict=True):
+        node = (i + 1, last + 1, kind, name, [])
+        while open_ and open_[-1][1] < node[1]:
+            open_.pop()
+        (open_[-1][4] if open_ else out).append(node)
+        open_.append(node)
     return out
 
 
-def _ruby_end(lines: list[str], i: int) -> int:
-    indent = len(lines[i]) - len(lines[i].lstrip())
-    return next((j for j in range(i + 1, len(lines)) if lines[j].strip() == "end" and len(lines[j]) - len(lines[j].lstrip()) <= indent), len(lines) - 1)
+#: What an expression for functions would take for a name.
+_WORDS_OF_FLOW = frozenset(("if", "for", "while", "switch", "return", "else", "catch", "do", "case", "sizeof", "function"))
+
+
+def _ruby_ends(lines: list[str], starts: list[int]) -> list[int]:
+    """For each line that opens something the next line that says end and stands as far left or further; the last line without one."""
+    ends = {}
+    waiting: list[tuple[int, int]] = []
+    opens = set(starts)
+    for j, line in enumerate(lines):
+        indent = len(line) - len(line.lstrip())
+        if line.strip() == "end":
+            while waiting and waiting[-1][0] >= indent:
+                ends[waiting.pop()[1]] = j
+        if j in opens:
+            waiting.append((indent, j))
+    return [ends.get(i, len(lines) - 1) for i in starts]
 
 
-def _brace_end(lines: list[str], i: int) -> int:
-    """Where the braces and brackets opened from line i on are closed; strings and // comments don't count."""
-    depth, opened = 0, False
-    for j in range(i, len(lines)):
-        quote = ""
-        k = 0
-        line = lines[j]
+def _depths(lines: list[str], language: str) -> list[tuple[int, int, bool, bool]]:
+    """For each line (braces and brackets open before it, after it, whether it begins inside a comment or text, whether a brace opens in it).
+
+    Every character is looked at once. Strings, // and /* */ comments don't
+    count; a rust lifetime isn't a string.
+    """
+    out, depth, inside = [], 0, ""
+    for line in lines:
+        before, began, braces, k = depth, bool(inside), False, 0
         while k < len(line):
             c = line[k]
-            if quote:
-                if c == "\\":
+            if inside == "*/":
+                at = line.find("*/", k)
+                k, inside = (len(line), inside) if at < 0 else (at + 1, "")
+            elif inside:
+                if c == "\\" and not (inside == "`" and language == "go"):
                     k += 1
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'`":
-                quote = c
+                elif c == inside:
+                    inside = ""
             elif line.startswith("//", k):
                 break
-            elif c in "{(":
-                depth, opened = depth + 1, True
-            elif c in "})":
+            elif line.startswith("/*", k):
+                inside, k = "*/", k + 1
+            elif c == "'" and language == "rust" and line[k + 2 : k + 3] != "'" and line[k + 1 : k + 2] != "\\":
+                pass
+            elif c in "\"'`":
+                inside = c
+            elif c in "{([":
+                depth, braces = depth + 1, braces or c == "{"
+            elif c in "})]":
                 depth -= 1
             k += 1
-        ends = line.rstrip()
-        if depth <= 0 and (opened and ("{" in "".join(lines[i : j + 1]) or ends.endswith(";") or j > i) or ends.endswith(";") or not opened and j > i):
-            return j
-        if depth <= 0 and not opened and not ends.endswith((",", "(", "{", "=")):
-            return j
-    return len(lines) - 1
+        if inside in ("'", '"'):  # ends with its line
+            inside = ""
+        out.append((before, depth, began, braces))
+    return out
+
+
+def _brace_ends(lines: list[str], depth: list[tuple[int, int, bool, bool]], starts: list[int]) -> list[int]:
+    """For each of the starts the line that brings the depth back to what it was before, once something opened or the statement is over."""
+    n = len(lines)
+    # The first line from j on that ends at the depth d or below, by a stack over lines from the end.
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    out = dict.fromkeys(starts, n - 1)
+    for i in starts:
+        j, base = i, depth[i][0]
+        # A head goes on over lines until a bracket opens or it ends.
+        while j < n - 1 and depth[j][1] <= base and not depth[j][3] and lines[j].rstrip().endswith((",", "=", "=>", "->", "|", "&", "+", ")", "(")) and lines[j + 1].strip()[:1] in ("{", "(", "=", "|", "&", "-", ":", "w") and j - i < 32:
+            j += 1
+        if depth[j][1] <= base:
+            out[i] = j
+        else:
+            wanted.setdefault(j, []).append((base, i))
+    stack: list[tuple[int, int, int]] = []  # (depth to come back to, start, line of its head)
+    for j in range(n):
+        for base, i in sorted(wanted.get(j, ()), key=lambda w: w[1]):
+            stack.append((base, i, j))
+        while stack and j > stack[-1][2] and depth[j][1] <= stack[-1][0]:
+            base, i, head = stack.pop()
+            # A signature's brackets may close before its body opens.
+            if not any(d[3] for d in depth[head : j + 1]) and j < n - 1 and lines[j + 1].strip().startswith("{"):
+                stack.append((base, i, j + 1))
+                break
+            out[i] = j
+    return [out[i] for i in starts]
 
 
 def chunk_text(text: str, language: str | None, max_bytes: int = DEFAULTS.max_bytes, least_gap: int = DEFAULTS.least_gap, size: int = DEFAULTS.fallback_lines, overlap: int = DEFAULTS.fallback_overlap) -> list[tuple]:
@@ -240,9 +302,9 @@ def structural_chunks(files: DataFrame, config: ChunkConfig = DEFAULTS) -> DataF
     """One chunk for each definition, those inside large ones too, and for gaps between them; other files in frames.
 
     files: repo_root, path, text. Python is parsed; the other languages of
-    lookups.CHUNK_LANGUAGES are scanned line by line for declarations at the
-    outermost level (in ruby at all levels), which doesn't see declarations
-    behind macros or several on a line. A null text has no chunks.
+    lookups.CHUNK_LANGUAGES are scanned line by line for declarations at all
+    levels, which doesn't see declarations behind macros or several on a line.
+    A null text has no chunks.
     """
     known = files.filter(F.col("text").isNotNull()).select(*KEYS, "text", X.language("path", "chunk").alias("language"))
 

@@ -27,7 +27,9 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 
 def symbol_stats(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    return symbols.agg(F.count("*").alias("symbols")).crossJoin(files.agg(F.count("*").alias("files")))  # one row each
+    """One row: symbols and files."""
+    one = lambda rows, s, f: rows.select(F.lit(s).alias("symbols"), F.lit(f).alias("files"))
+    return one(symbols, 1, 0).unionByName(one(files, 0, 1)).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("symbols", "files")])
 
 
 def index_stats(locations: DataFrame, cache: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.functions import text as X
 
-# What a declaration looks like on its line, by language: (kind, expression with the name as its group). The first that fits counts.
+# What a declaration looks like on its line, by language: (kind, expression with the name as its group). The first that fits counts.
 PATTERNS = {
     "go": (("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct\b"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("type", r"^type\s+(\w+)\s")),
     "typescript": (("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*=")),

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom import scratch
-from quarryloom.config import SearchConfig
+from quarryloom import samples, scratch
+from quarryloom.config import ChunkConfig, SearchConfig
 from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
 from quarryloom.operators import ann, chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, vector_search
 from quarryloom.plans import hybrid as plans
+from quarryloom.sources import files as sources
+from quarryloom.sources import sinks
 from quarryloom.sources.files import documents_as_files, gitignored, project_of
 from quarryloom.streaming import watch
 
@@ -822,3 +824,149 @@ def snippets(spark, d):
 SELECT doc_id, CASE WHEN length(text) <= 800 THEN text WHEN array_to_string(a[1:k], chr(10)) = '' THEN substr(text, 1, 800) || '...' ELSE array_to_string(a[1:k], chr(10)) || chr(10) || '...' END AS snippet FROM c""")
 def soft_snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", X.soft_truncated("text", 800).alias("snippet"))
+
+
+# Importers, registries, changes: tables of the test data in the place of files, written to the shared folder where a file is read
+
+
+def numbered_lines(spark, d) -> DataFrame:
+    rows = files(spark, d).select("path", F.posexplode(X.lines_of("text")).alias("i", "text"))
+    return rows.select("path", (F.col("i") + 1).alias("line"), "text").filter(F.col("text") != "")
+
+
+IMPORTED = f"WITH {FILES}, {EVERY_LINE} SELECT path, n::INT AS line, line AS text FROM l WHERE line <> ''"
+
+
+@query(IMPORTED)
+def import_match_lines(spark, d):
+    lines = numbered_lines(spark, d).select(F.concat(F.lit("/r/"), "path", F.lit(":"), "line", F.lit(":"), "text").alias("value"))
+    return sources.parse_match_lines(lines.unionByName(lines.limit(1).select(F.lit("--").alias("value"))), "/r")
+
+
+@query(IMPORTED)
+def import_match_events(spark, d):
+    own = lambda c: F.struct(F.col(c).alias("text"))
+    data = F.struct(own("path").alias("path"), own("text").alias("lines"), F.col("line").alias("line_number"))
+    lines = numbered_lines(spark, d).withColumn("text", F.concat("text", F.lit("\n"))).select(F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("value"))
+    return sources.parse_match_events(lines.unionByName(lines.limit(1).select(F.lit('{"type":"summary"}').alias("value"))))
+
+
+@query("SELECT '/parts' AS repo_root, p_name AS name, 'type' AS kind, p_brand || '/' || p_partkey AS path, p_size AS line, 'go' AS language, CASE WHEN p_size % 2 = 0 THEN 'struct:' || p_type END AS scope FROM part")
+def tag_symbols(spark, d):
+    at = scratch.folder(spark, "tags")
+    rows = table(spark, d, "part").select(F.lit("tag").alias("_type"), F.col("p_name").alias("name"), F.concat_ws("/", F.lit("/parts"), "p_brand", "p_partkey").alias("path"), F.col("p_size").alias("line"), F.lit("typedef").alias("kind"), F.lit("Go").alias("language"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("scope"), F.lit("struct").alias("scopeKind"))
+    rows.unionByName(rows.limit(1).withColumn("_type", F.lit("ptag"))).write.json(at)
+    return symbols.from_tags(sources.read_tags(spark, at), "/parts").select("repo_root", "name", "kind", "path", "line", "language", "scope")
+
+
+def nations_as_projects(spark, d) -> DataFrame:
+    return table(spark, d, "nation").select(F.concat(F.lit("/p/"), "n_name").alias("path"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("watch_enabled"), F.timestamp_seconds(F.lit(0)).alias("added_at"), F.col("n_nationkey").cast("long").alias("symbols"))
+
+
+@query("SELECT '/p/' || n_name AS path, n_name AS name, CASE WHEN n_nationkey = 4 THEN 99 ELSE n_nationkey END::BIGINT AS symbols FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 6 UNION ALL SELECT '/p/new', 'new', -1")
+def registry_edits(spark, d):
+    at = scratch.folder(spark, "registry")
+    projects = nations_as_projects(spark, d)
+    name = {r["n_nationkey"]: r["n_name"] for r in table(spark, d, "nation").collect()}
+    projects = sources.remove_project(sources.set_project(sources.add_project(projects, "/p/new"), f"/p/{name[4]}", symbols=99), f"/p/{name[6]}")
+    sinks.write_registry(projects, at)
+    return sources.watched(sources.read_registry(spark, at)).select("path", "name", F.coalesce("symbols", F.lit(-1).cast("long")).alias("symbols"))
+
+
+@query("SELECT item_id::VARCHAR AS id, 'search' AS category, text AS prompt FROM benchmark WHERE item_id % 2 = 0")
+def eval_cases_read(spark, d):
+    at = scratch.folder(spark, "cases")
+    cases = eval_cases(spark, d).select(F.to_json(F.struct("*")).alias("value"))
+    cases.unionByName(cases.limit(1).select(F.lit("// a comment").alias("value"))).write.format("text").save(at + "/given")
+    found = [f for f in spark.read.text(at + "/given").inputFiles()]
+    fs, path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for i, f in enumerate(found):
+        fs.rename(path(f), path(f"{at}/given/{i}.jsonl"))
+    return sources.read_cases(spark, at, categories=["search"]).select("id", "category", "prompt")
+
+
+@query("SELECT text AS output, conv_id % 9 <> 0 AS success, conv_id::VARCHAR AS session_id, turn * 1000000 AS duration_ns, (conv_id * 3)::BIGINT AS input_tokens FROM conversations WHERE role = 'assistant'")
+def recorded_runs(spark, d):
+    c = table(spark, d, "conversations")
+    usage = F.struct((F.col("conv_id") * 3).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    events = c.select(F.to_json(F.struct(F.when(F.col("role") == "assistant", "result").otherwise("user").alias("type"), (F.col("conv_id") % 9 == 0).alias("is_error"), F.col("text").alias("result"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("duration_ms"), usage.alias("usage"))).alias("value"))
+    return sources.run_results(events).select("output", "success", "session_id", "duration_ns", "input_tokens")
+
+
+@query(f"WITH {FILES}, {EVERY_LINE}, f AS (SELECT repo_root, path FROM files ORDER BY repo_root, path LIMIT 1) SELECT path, n::INT AS line FROM l JOIN f USING (repo_root, path) WHERE line <> ''")
+def lines_of_a_file(spark, d):
+    rows = numbered_lines(spark, d).join(files(spark, d).select("repo_root", "path"), "path")
+    first = files(spark, d).orderBy("repo_root", "path").select("repo_root", "path").first()
+    return lookup.by_path(rows, first[0], first[1]).select("path", F.col("line").cast("int").alias("line"))
+
+
+@query(f"WITH {SYMBOLS_CTE} SELECT (SELECT count(*) FROM symbols)::BIGINT AS symbols, (SELECT count(*) FROM documents)::BIGINT AS files")
+def symbol_and_file_counts(spark, d):
+    return stats.symbol_stats(english_symbols(spark, d), files(spark, d))
+
+
+@query("SELECT * FROM (VALUES ('same', false), ('one text changed', true), ('one file gone', true)) AS t(tree, changed)")
+def any_change(spark, d):
+    nodes = merkle.file_nodes(tree_files(spark, d))
+    last = nodes.agg(F.max("path")).first()[0]
+    other = nodes.withColumn("hash", F.when(F.col("path") == last, F.lit("0")).otherwise(F.col("hash")))
+    root = {name: merkle.root_hash(merkle.rollup(rows)) for name, rows in (("first", nodes), ("same", nodes), ("one text changed", other), ("one file gone", nodes.filter(F.col("path") != last)))}
+    return spark.createDataFrame([(name, h != root["first"]) for name, h in root.items() if name != "first"], "tree string, changed boolean")
+
+
+@query("WITH c AS (SELECT doc_id, source FROM documents) SELECT source AS repo_root, doc_id::VARCHAR AS path, 'old' AS node_type FROM c WHERE source <> 'src1' AND doc_id % 10 <> 3 UNION ALL SELECT 'src1', 'x' || doc_id, 'new' FROM c WHERE source = 'src2' AND doc_id % 10 <> 3")
+def full_reindex(spark, d):
+    old = locations(spark, d).withColumn("node_type", F.lit("old"))
+    new = old.filter("repo_root = 'src2'").select(*[F.lit("src1").alias(c) if c == "repo_root" else F.concat(F.lit("x"), c).alias(c) if c == "path" else F.lit("new").alias(c) if c == "node_type" else F.col(c) for c in old.columns])
+    rows = store.replace_repo(old, new, "src1")
+    return store.delete_where(rows, F.regexp_extract("path", r"(\d+)$", 1).cast("long") % 10 == 3).select("repo_root", "path", "node_type")
+
+
+@query(f"WITH {SYMBOLS_CTE} SELECT repo_root, path, line, name FROM symbols WHERE repo_root <> 'src0' UNION ALL SELECT repo_root, path, line + 1000, 'again' FROM symbols WHERE repo_root = 'src0'")
+def batch_symbol_insert(spark, d):
+    old = english_symbols(spark, d)
+    mine = old.filter("repo_root = 'src0'")
+    new = mine.withColumn("line", (F.col("line") + 1000).cast("int")).withColumn("name", F.lit("again"))
+    return store.replace_files(old, new, mine).select("repo_root", "path", "line", "name")
+
+
+@query("SELECT 'vector' AS kind, vec_id, label::VARCHAR AS repo_root, 64 AS dimensions FROM embeddings WHERE label <> 1 UNION ALL SELECT 'config', -1, r, CASE WHEN r = '1' THEN 128 ELSE 64 END FROM (SELECT DISTINCT label::VARCHAR AS r FROM embeddings)")
+def switch_dimensions(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("repo_root"), F.lit(64).alias("dimensions"))
+    config = vectors.select("repo_root").distinct().select("repo_root", F.lit("m").alias("model"), F.lit(64).alias("dimensions"), F.timestamp_seconds(F.lit(0)).alias("updated_at"))
+    kept, new = store.switch_dimensions(vectors, config, "1", "m", 128)
+    return kept.select(F.lit("vector").alias("kind"), "vec_id", "repo_root", "dimensions").unionByName(lookup.config_of(new).select(F.lit("config").alias("kind"), F.lit(-1).cast("long").alias("vec_id"), "repo_root", "dimensions"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN event_type ELSE 'class:' || event_type END AS scope, event_id % 100 >= 52 OR event_id % 200 >= 100 AS recent FROM events")
+def scopes_epochs_versions(spark, d):
+    e = table(spark, d, "events")
+    scope = X.scope_of(F.when(F.col("user_id") % 3 == 2, "class").otherwise(""), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("event_type")))
+    version = F.concat(F.when(F.col("event_id") % 200 >= 100, "2").otherwise("1"), F.lit("."), (F.col("event_id") % 100).cast("string"), F.lit(".x"))
+    return e.select("event_id", X.to_epoch("ts").alias("seconds"), scope.alias("scope"), X.version_at_least(version, "1.52").alias("recent"))
+
+
+@query("SELECT conv_id, 'case-' || conv_id AS test_case, CASE WHEN conv_id % 2 = 0 THEN 'with_mcp' ELSE 'without_mcp' END AS mode, 1704067200 + conv_id AS at FROM conversations WHERE conv_id % 5 <> 0")
+def log_names(spark, d):
+    c = table(spark, d, "conversations")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")), "yyyy-MM-dd-HHmmss")
+    name = F.concat(F.lit("logs/"), stamp, F.lit("-case-"), "conv_id", F.when(F.col("conv_id") % 5 == 0, "-other").when(F.col("conv_id") % 2 == 0, "-with_mcp").otherwise("-without_mcp"), F.lit(".log"))
+    return c.select("conv_id", evals.parse_log_name(name).alias("x")).filter("x is not null").select("conv_id", "x.test_case", "x.mode", X.to_epoch("x.timestamp").alias("at"))
+
+
+@query(f"WITH {HASHES} SELECT path, 'changed' AS state FROM h WHERE path::BIGINT % 4 IN (0, 1) UNION ALL SELECT 'gone' || path, 'deleted' FROM h WHERE path::BIGINT % 4 = 2")
+def file_changes(spark, d):
+    now = locations(spark, d).select("repo_root", "path", F.timestamp_seconds(F.lit(0)).alias("mtime"), F.col("end_line").cast("long").alias("size"))
+    four = F.col("path").cast("long") % 4
+    before = now.filter(four != 0).withColumn("size", F.when(four == 1, F.col("size") + 1).otherwise(F.col("size"))).unionByName(now.filter(four == 2).withColumn("path", F.concat(F.lit("gone"), "path")))
+    return sources.changed_files(now, before).select("path", F.lit("changed").alias("state")).unionByName(sources.deleted_files(now, before).select("path", F.lit("deleted").alias("state")))
+
+
+KNOWN_CHUNKS = ", ".join(f"('{path}', {first}, {last}, '{kind}', '{name}')" for path, chunks in samples.CHUNKS.items() for first, last, kind, name in chunks)
+
+
+@query(f"SELECT * FROM (VALUES {KNOWN_CHUNKS}) AS t(path, start_line, end_line, node_type, node_name)")
+def structural_chunks_known(spark, d):
+    given = spark.createDataFrame([("r", p, t) for p, t in samples.SOURCES.items()], "repo_root string, path string, text string")
+    found = chunking.structural_chunks(given, ChunkConfig(max_bytes=30)).filter("node_type <> 'gap'")
+    return found.select("path", "start_line", "end_line", "node_type", "node_name")

@@ -56,9 +56,27 @@ def gitignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, purpose: str | None = "symbols", ignore: list[str] | None = None, repo_root: str | None = None) -> DataFrame:
+def ignore_patterns(spark: SparkSession, root: str, everywhere: str | None = None) -> list[str]:
+    """The patterns of the file everywhere, which holds for all trees, and then of root's own .gitignore; files that aren't there add none."""
+    out: list[str] = []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (everywhere, root.rstrip("/") + "/.gitignore"):
+        at = jvm.org.apache.hadoop.fs.Path(name) if name else None
+        if at is not None and at.getFileSystem(conf).exists(at):
+            stream = at.getFileSystem(conf).open(at)  # a reader would pass over a name that begins with a dot
+            try:
+                out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            finally:
+                stream.close()
+    return out
+
+
+def read_tree(spark: SparkSession, root: str, purpose: str | None = "symbols", ignore: list[str] | None = None, repo_root: str | None = None, everywhere: str | None = None) -> DataFrame:
     """files below root: repo_root, path (relative), mtime, size, text. purpose picks the extensions, None takes all.
 
+    Left out is what the file everywhere, root's own .gitignore and the
+    patterns in ignore say, in this order.
+
     Names are tested before contents are decoded, so contents of other files
     aren't kept. Bytes that aren't UTF-8 are replaced; files with a zero byte are left out as binary.
     """
@@ -69,8 +87,8 @@ def read_tree(spark: SparkSession, root: str, purpose: str | None = "symbols", i
     rows = raw.withColumn("path", path).filter(not_ignored(F.col("path")))
     if purpose:
         rows = rows.filter(X.is_code_file("path", purpose))
-    if ignore:
-        rows = rows.filter(~gitignored(F.col("path"), ignore))
+    if patterns := ignore_patterns(spark, root, everywhere) + (ignore or []):
+        rows = rows.filter(~gitignored(F.col("path"), patterns))
     rows = rows.filter(F.position(F.lit(b"\x00"), F.col("content")) == 0)
     return rows.select(F.lit(repo_root or root).alias("repo_root"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
@@ -155,6 +173,17 @@ def add_project(projects: DataFrame, path: str, name: str | None = None, most: i
     return projects.unionByName(new, allowMissingColumns=True)
 
 
+def get_project(projects: DataFrame, path: str) -> DataFrame:
+    return projects.filter(F.col("path") == path)
+
+
+def remove_project(projects: DataFrame, path: str) -> DataFrame:
+    """projects without that one; ValueError if it isn't there."""
+    if get_project(projects, path).isEmpty():
+        raise ValueError(f"no such project: {path}")
+    return projects.filter(~F.col("path").eqNullSafe(F.lit(path)))
+
+
 def set_project(projects: DataFrame, path: str, **values) -> DataFrame:
     """projects with new values in the row of that path: watch_enabled, last_indexed, symbols, embeddings, db_bytes."""
     return projects.withColumns({c: F.when(F.col("path") == path, F.lit(v).cast(dict(projects.dtypes)[c])).otherwise(F.col(c)) for c, v in values.items()})

@@ -105,3 +105,22 @@ def test_tags(spark):
     tags = spark.createDataFrame([("f", "/w/r/a.py", 3, "m", "Python", "/x/", "B", "class", "(x)"), ("f", "/w/r/a.py", 3, "m", "Python", "/x/", "B", "class", "(x)")], "name string, path string, line int, kind string, language string, pattern string, scope string, scopeKind string, signature string")
     (r,) = S.from_tags(tags, "/w/r").collect()
     assert (r["path"], r["kind"], r["scope"], r["language"], r["signature"]) == ("a.py", "field", "class:B", "python", "(x)")
+
+
+def test_scanning_takes_time_by_length_only():
+    """Each character is looked at once, however deep or long a class is."""
+    import time
+
+    def took(n):
+        text = "class A {\n" + "".join(f"  m{i}() {{\n    call({i});\n  }}\n" for i in range(n)) + "}\n"
+        begun = time.perf_counter()
+        assert len(C.chunk_text(text, "javascript")) == n + 1
+        return time.perf_counter() - begun
+
+    took(1000)
+    assert took(40_000) < 16 * took(5000) + 0.5
+
+
+def test_comments_and_strings_hide_braces():
+    text = "func A() {\n\ts := \"{\"\n\t/* {\n\tfunc X() {\n\t*/\n\tr := `\n{`\n}\n\nfunc B() {\n}\n"
+    assert [(r[0], r[1], r[6]) for r in C.chunk_text(text, "go") if r[5] != "gap"] == [(1, 8, "A"), (10, 11, "B")]

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarryloom.config import AnnConfig, SearchConfig, parse_bool
+from quarryloom.config import SearchConfig, parse_bool
 from quarryloom.functions import formats
 from quarryloom.functions import text as X
 from quarryloom.operators import evals as V
@@ -135,7 +135,6 @@ def test_settings(monkeypatch):
     c = SearchConfig.from_env()
     assert (c.keyword_limit, c.rerank, c.semantic_limit) == (7, True, 20)
     assert parse_bool("Enabled", False) and not parse_bool("off", True) and parse_bool("?", True)
-    assert AnnConfig().check() == [] and len(AnnConfig(m=1, ef_construction=0, metric="x").check()) == 3
     assert formats.hnsw_memory_bytes(10, 4) == 160 + 2560 and formats.hnsw_build_seconds(100, 768) == 1.0
 
 
@@ -154,3 +153,41 @@ def test_stream_equals_batch(spark, tmp_path):
     out.awaitTermination(60)
     got = {(r["key"], r["events"]) for r in spark.table("sessions").collect()}
     assert got <= batch and len(batch) - len(got) <= 2
+
+
+def test_ignore_files_are_loaded(spark, tmp_path):
+    tree = tmp_path / "repo"
+    for name in ("a.py", "gen/b.py", "tmp_c.py", "keep/tmp_d.py"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("x = 1\n")
+    (tree / ".gitignore").write_text("# made\ngen/\n!keep/tmp_d.py\n")
+    (tmp_path / "global").write_text("tmp_*\n")
+    paths = lambda **o: sorted(r["path"] for r in R.read_tree(spark, f"file://{tree}", **o).collect())
+    assert paths() == ["a.py", "keep/tmp_d.py", "tmp_c.py"]
+    assert paths(everywhere=f"file://{tmp_path}/global") == ["a.py", "keep/tmp_d.py"]
+    assert paths(ignore=["a.py"], everywhere="file:///no/such/file") == ["keep/tmp_d.py", "tmp_c.py"]
+    assert R.ignore_patterns(spark, f"file://{tmp_path}/nothing") == []
+
+
+def test_registry_entries_come_and_go(spark):
+    rows = spark.createDataFrame([("/a", "a", True), ("/b", "b", False)], "path string, name string, watch_enabled boolean")
+    assert R.get_project(rows, "/b").first()["name"] == "b" and [r["path"] for r in R.remove_project(rows, "/a").collect()] == ["/b"]
+    with pytest.raises(ValueError, match="no such"):
+        R.remove_project(rows, "/c")
+
+
+def test_watching_a_folder_of_events(spark, tmp_path):
+    """Files of events are taken a few at a time; a quiet project is indexed and then noted."""
+    (tmp_path / "events").mkdir()
+    lines = [f'{{"ts": "2024-01-01T00:0{i}:00", "path": "/{p}/x{i}.py", "op": "write"}}' for i, p in enumerate(("p", "q", "p", "z", "z", "z"))]
+    for i, line in enumerate(lines):
+        (tmp_path / "events" / f"{i}.json").write_text(line + "\n")
+    projects = spark.createDataFrame([("/p", True), ("/q", False)], "path string, watch_enabled boolean")
+    seen, noted = [], []
+    events = W.event_source(spark, f"file://{tmp_path}/events", most_files=2)
+    query = W.watch(events, projects, seen.append, f"file://{tmp_path}/check", quiet="10 seconds", late="1 second", done=noted.append, availableNow=True)
+    query.awaitTermination(90)
+    state = W.status(query, projects)
+    assert set(seen) == {"/p", "/q"} and noted == seen and len(query.recentProgress) >= 3
+    assert (state["projects"], state["watched"], state["running"]) == (2, 1, False)
+    query.stop()
