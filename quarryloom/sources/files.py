@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryloom import schemas
 from quarryloom.functions import text as X
-from quarryloom.operators.evals import CASE, RUN
+from quarryloom.operators.evals import CASE, RUN, parse_log_name
 from quarryloom.operators.merkle import not_ignored
 
 
@@ -156,6 +156,13 @@ def run_results(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.col("result").alias("output"), (~F.coalesce("is_error", F.lit(False))).alias("success"), "session_id", (F.col("duration_ms") * 1_000_000).alias("duration_ns"), "num_turns", F.col("total_cost_usd").alias("cost_usd"), "input_tokens", "output_tokens", F.col("cache_read_input_tokens").alias("cache_read_tokens"), F.col("cache_creation_input_tokens").alias("cache_create_tokens"))
 
 
+def read_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, timestamp, test_case, mode, text) of the logs of runs in folder, by their names; other files are left out."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder)
+    rows = raw.select("path", parse_log_name(F.col("path")).alias("of"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return rows.filter("of is not null").select("path", "of.*", "text")
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Projects from a JSON document {"projects": [...]}."""
     rows = spark.read.option("multiLine", "true").schema(f"projects array<struct<{', '.join(c.replace(' ', ':', 1) for c in schemas.PROJECTS.split(', '))}>>").json(path)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from quarryloom.config import SearchConfig, parse_bool
 from quarryloom.functions import formats
 from quarryloom.functions import text as X
+from quarryloom.operators import embed
 from quarryloom.operators import evals as V
 from quarryloom.operators import search as S
 from quarryloom.sources import files as R
+from quarryloom.sources import sinks
 from quarryloom.streaming import watch as W
 
 
@@ -191,3 +193,35 @@ def test_watching_a_folder_of_events(spark, tmp_path):
     assert set(seen) == {"/p", "/q"} and noted == seen and len(query.recentProgress) >= 3
     assert (state["projects"], state["watched"], state["running"]) == (2, 1, False)
     query.stop()
+
+
+def test_logs_of_runs(spark, tmp_path):
+    (tmp_path / "2024-03-01-101500-case-7-with_mcp.log").write_text("what was said")
+    (tmp_path / "notes.log").write_text("no")
+    r = R.read_logs(spark, f"file://{tmp_path}").collect()
+    assert [(x["test_case"], x["mode"], x["text"], str(x["timestamp"])) for x in r] == [("case-7", "with_mcp", "what was said", "2024-03-01 10:15:00")]
+
+
+def test_a_database_is_read_in_parts(spark):
+    """Through JDBC, from the database that comes with Spark."""
+    at, driver = "jdbc:derby:memory:quarry", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("cast(id as int) id", "concat('n', id) name").write.format("jdbc").option("url", at + ";create=true").option("driver", driver).option("dbtable", "things").save()
+    rows = sinks.read_database(spark, at, "things", "id", (0, 100), parts=4, driver=driver)
+    assert rows.rdd.getNumPartitions() == 4 and rows.filter("id >= 90").count() == 10
+    assert sinks.read_database(spark, at, '(select "id" from things where "id" < 5) t', driver=driver).count() == 5
+
+
+def test_an_embedder_is_asked_again_and_asked_whether_it_works(spark):
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) % 3:
+            raise OSError("busy")
+        return [[1.0, 2.0] for _ in texts]
+
+    e = embed.http_embedder("t", "m", flaky, dimensions=2, wait=0.01)
+    assert e.embed_text("a") == [1.0, 2.0] and len(calls) == 3
+    assert not e.available() and not embed.no_embedder().available() and embed.hashing_embedder().available()
+    assert embed.http_embedder("t", "m", lambda ts: [[0.0, 0.0] for _ in ts], dimensions=2).available()
+    assert not embed.http_embedder("t", "m", lambda ts: [[0.0] for _ in ts], dimensions=2).available()
