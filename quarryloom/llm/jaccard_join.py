@@ -40,6 +40,7 @@ from quarryloom.llm.graph import connected_components
 from quarryloom.llm.storage import drop_settled, prepare_workers, settle
 
 BANDS, ROWS = 6, 2
+HEAVY = 1 << 15
 #: A block of a group has about so many documents and tokens at most; so many queries meet it at a time.
 BLOCK_DOCS, BLOCK_TOKENS, BLOCK_QUERIES = 128, 1 << 17, 256
 
@@ -163,14 +164,24 @@ def _active(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: in
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(prefixes, "rep long, n long, tokens binary, alone int, prefix array<long>, indexed int, bands array<long>")
 
 
+def _at_bands(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """rows with what table says of their band, which c of all total rows have. Of bands that a HEAVY-th of the rows have there are HEAVY at most: these go to the tasks, so that no task gets a third of all rows."""
+    heavy = table.filter(F.col("c") * HEAVY >= total)
+    rest = rows.join(F.broadcast(heavy.select("band")), "band", "left_anti").join(table.filter(F.col("c") * HEAVY < total), "band")
+    return rows.join(F.broadcast(heavy), "band").unionByName(rest)
+
+
 def _groups(active: DataFrame, num: int, den: int) -> DataFrame:
     """(rep, n, grp, linked, clu, part): grp is the component by verified links to the most central document of each min-hash bucket; clu and part name the block."""
     buckets = active.select("rep", "n", F.explode("bands").alias("band"))
+    total = BANDS * active.count()
     sizes = buckets.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    met = buckets.join(sizes, "band")
+    met = _at_bands(buckets, sizes, total)
     central = met.join(met.groupBy("rep").agg(F.sum("c").alias("met")), "rep")
-    leaders = central.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("l")).select("band", (-F.col("l.col2")).alias("leader"), F.col("l.n").alias("leader_n"))
-    pairs = met.join(leaders, "band").filter(f"rep <> leader and {den} * least(n, leader_n) >= {num} * greatest(n, leader_n)").select("rep", "leader").distinct()
+    leaders = central.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("l"), F.max("c").alias("c"))
+    leaders = leaders.select("band", "c", F.col("l.met").alias("leader_met"), (-F.col("l.col2")).alias("leader"), F.col("l.n").alias("leader_n"))
+    led = _at_bands(met.drop("c"), leaders, total)
+    pairs = led.filter(f"rep <> leader and {den} * least(n, leader_n) >= {num} * greatest(n, leader_n)").select("rep", "leader").distinct()
     a = active.select("rep", F.col("tokens").alias("a"))
     b = active.select(F.col("rep").alias("leader"), F.col("tokens").alias("b"))
 
@@ -185,7 +196,7 @@ def _groups(active: DataFrame, num: int, den: int) -> DataFrame:
     links = pairs.join(a, "rep").join(b, "leader").select("rep", "leader", "a", "b").mapInArrow(similar, "rep long, leader long")
     near = connected_components(links, "rep", "leader")
     # Those without a link go with others of their kind, by the most central leader of their buckets.
-    kind = met.select("rep", "band").join(central.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"))).alias("l")), "band").groupBy("rep").agg((-F.max("l").getField("col2")).alias("kind"))
+    kind = led.groupBy("rep").agg((-F.max(F.struct("leader_met", -F.col("leader"))).getField("col2")).alias("kind"))
     members = active.select("rep", "n").join(near, F.col("rep") == F.col("node"), "left").join(kind, "rep", "left")
     members = members.select("rep", "n", F.coalesce("label", "rep").alias("grp"), F.col("label").isNotNull().alias("linked"), F.coalesce("label", "kind", "rep").alias("clu"))
     size = members.groupBy("linked", "clu").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
