@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryloom.llm.conversation_repair import damaged, repair_report
 from quarryloom.llm.decontaminate import decontaminate
 from quarryloom.llm.jaccard_join import jaccard_components
 from quarryloom.llm.license_scan import license_scan
@@ -14,9 +15,11 @@ from quarryloom.llm.line_dedup import line_dedup
 from quarryloom.llm.mixing import mix_sources
 from quarryloom.llm.quality_classifier import quality_classifier
 from quarryloom.llm.quality_rules import quality_rules
+from quarryloom.llm.sharding import shard_documents
 from quarryloom.llm.substring_dedup import substring_dedup
 from quarryloom.llm.toxicity import held_out, toxicity
 from quarryloom.llm.url_filter import url_filter
+from quarryloom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_quality_rules, op4_decontaminate, op5_license_scan, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_jaccard_join, op10_substring_dedup, pipeline)}
+    own = (
+        op1_mix_sources, op2_url_filter, op3_quality_rules, op4_decontaminate, op5_license_scan, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_jaccard_join, op10_substring_dedup,
+        op11_sharding, op12_embedding_whitening, op13_conversation_repair, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 OP1_SQL = r"""
@@ -178,5 +197,46 @@ FROM w LEFT JOIN gl ON w.doc_id = gl.doc_id LEFT JOIN kept ON w.doc_id = kept.do
 """
 
 
+def _op13_sql() -> str:
+    """The program by turns: for each of the four states a string of nine digits of cost and the letters, so that the smallest string is the cheapest and least in ASCII."""
+
+    def more(state: str, cost: str, letter: str) -> str:
+        return f"(CASE WHEN {state} = '~' THEN '~' ELSE lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letter}' END)"
+
+    kept = lambda q, initial: f"(CASE WHEN stays AND initial = '{initial}' THEN {more(f'a{q}', 'extra', 'K')} ELSE '~' END)"
+    other = lambda q: f"(CASE WHEN stays THEN {more(f'a{q}', 'extra + 3', 'R')} ELSE '~' END)"
+    gone = lambda q: more(f"a{q}", "4", "D")
+    into2, into3 = ", ".join(f"{kept(q, 'u')}, {other(q)}" for q in (0, 1, 3)), f"{kept(2, 'a')}, {other(2)}"
+    ins = lambda q: more(q, "3", "I")
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS f FROM (SELECT DISTINCT k FROM c)),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c JOIN crc USING (k), range(2) t(again) WHERE f <> 0 AND (again = 0 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS i, left(role, 1) AS initial FROM d),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault,
+      lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+s AS (SELECT conv_id, i, initial, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM g),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+       count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS a0, '~' AS a1, '000000003I' AS a2, '000000006II' AS a3 FROM st
+      UNION ALL
+      SELECT conv_id, i, p0, p1, least(p2, {ins("p0")}, {ins("p1")}, {ins("p3")}), least(p3, {ins("p2")}, {ins(ins("p0"))}, {ins(ins("p1"))})
+      FROM (SELECT r.conv_id, s.i, {gone(0)} AS p0, least({gone(1)}, {kept(0, "s")}) AS p1, least({gone(2)}, {into2}) AS p2, least({gone(3)}, {into3}) AS p3
+            FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = r.i + 1)),
+best AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, left(b, 9)::BIGINT AS cost, substr(b, 10) AS audit
+         FROM (SELECT st.*, least(a0, a3) AS b FROM st JOIN r ON st.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = st.n)),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS pos FROM best WHERE audit <> ''),
+e AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS k FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+x AS (SELECT e.conv_id, pos, letter, k, g.role, g.text, max(CASE WHEN k = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS sys
+      FROM e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id AND e.i = g.i AND letter <> 'I' WHERE letter <> 'D'),
+y AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS t FROM x GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(y.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN y ON a.conv_id IS NOT DISTINCT FROM y.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": _op2_sql(), "op4_decontaminate": OP4_SQL, "op7_line_dedup": line_dedup_sql(), "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": _op2_sql(), "op4_decontaminate": OP4_SQL, "op7_line_dedup": line_dedup_sql(), "op9_jaccard_join": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op13_conversation_repair": _op13_sql()}

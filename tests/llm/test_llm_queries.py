@@ -27,7 +27,7 @@ def test_line_stage_equals_sql(spark, oracle, rows_of):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", ["op2_url_filter", "op3_quality_rules", "op5_license_scan", "op6_quality_classifier", "op8_toxicity"])
