@@ -160,8 +160,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, keep: tuple = (), sam
 
     Copies of one text share a shard unless that would make it larger than
     the others. No shard exceeds an equal share by more than a document, or
-    the largest range, beyond it. A null text has size 1 and the checksum of an
-    empty one, and stands apart from it. Repeated rows get a place each. Two texts of one 64-bit hash count as
+    the largest range, beyond it. A null text counts as an
+    empty one. Repeated rows get a place each. Two texts of one 64-bit hash count as
     neighbours, nothing else. No documents give no rows. The same rows give the same places, in whatever
     order and partitions they come.
     """
@@ -171,7 +171,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, keep: tuple = (), sam
     text = docs["text"].cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
-    rows = docs.select(kept.alias("kept"), docs["doc_id"].cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("same"))
+    rows = docs.select(kept.alias("kept"), docs["doc_id"].cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"))
     sized = settle(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "sharded")  # from here on without the texts
     n, total = sized.agg(F.sum("copies"), F.sum(F.col("size") * F.col("copies"))).first()
     blocks = _blocks(sized, max(1, min(BLOCK, (n or 0) // (shards * 256))))
