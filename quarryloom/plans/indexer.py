@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,18 @@ from pyspark.sql import functions as F
 
 from quarryloom import schemas
 from quarryloom.operators import chunking, embed, merkle, stats, store, symbols
+from quarryloom.operators.versioned import BUCKETS, FOLDERS, Conflict, Spec, VersionedTables
 from quarryloom.scratch import drop_settled, settle
 
+FILE = ("repo_root", "path")
+SPECS = {
+    "merkle": Spec("repo_root string, " + schemas.MERKLE, FILE),
+    "chunk_locations": Spec(schemas.LOCATIONS, FILE),
+    "embedding_cache": Spec(schemas.CACHE, ("content_hash",)),
+    "symbols": Spec(schemas.SYMBOLS, FILE),
+    "chunks": Spec(schemas.CHUNKS, FILE),
+}
+
 
 @dataclass
 class IndexResult:
@@ -19,61 +30,88 @@ class IndexResult:
     deleted: int
     chunks: int
     embedded: int
+    #: Rows that the run wrote to each table.
+    written: dict[str, int]
 
 
 class Index:
-    """The tables of an index under one folder, each a set of snapshots."""
+    """The tables of an index under one folder, of one version at any time.
+
+    A run writes the rows of changed files and the keys of those that changed
+    or went; everything else stays where it is.
+    """
 
-    TABLES = ("merkle", "chunk_locations", "embedding_cache", "symbols", "chunks")
+    TABLES = tuple(SPECS)
 
-    def __init__(self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None, chunker: Callable[[DataFrame], DataFrame] = chunking.structural_chunks,
+        finder: Callable[[DataFrame], DataFrame] = symbols.extract_symbols, buckets: int = BUCKETS,
+    ):
         self.spark = spark
         self.embedder = embedder or embed.hashing_embedder()
-        self.tables = {t: store.Snapshots(spark, f"{path.rstrip('/')}/{t}") for t in self.TABLES}
+        self.chunker, self.finder = chunker, finder
+        self.tables = VersionedTables(spark, path, SPECS, buckets)
 
-    def read(self, table: str) -> DataFrame:
-        rows = self.tables[table].read()
-        schema = schemas.TABLES[table]
-        if table in ("merkle",):
-            schema = "repo_root string, " + schema
-        return rows if rows is not None else self.spark.createDataFrame([], schema)
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        return self.tables.read(table, version)
 
-    def run(self, files: DataFrame, repo_root: str, force: bool = False) -> IndexResult:
+    def run(self, files: DataFrame, repo_root: str, force: bool = False, tries: int = 3) -> IndexResult:
         """Brings the index up to the files of one repository.
 
         Only files whose hash changed are chunked, only hashes that the cache
-        lacks are embedded; rows of changed and deleted files are replaced. The
-        tree is written last: a run that fails is made up for by the next.
+        lacks are embedded; rows of changed and deleted files are replaced in
+        all tables at once. A run that fails changes nothing. If another run of the same repository
+        ends first, this one begins again from what that one left.
         """
+        for n in range(tries):
+            try:
+                return self._run(files, repo_root, force)
+            except Conflict:
+                if n == tries - 1:
+                    raise
+        raise ValueError("tries has to be positive")
+
+    def _run(self, files: DataFrame, repo_root: str, force: bool) -> IndexResult:
+        change = self.tables.begin(repo_root)
         mine = files.filter(F.col("repo_root") == repo_root)
         nodes = merkle.rollup(merkle.file_nodes(mine)).withColumn("repo_root", F.lit(repo_root))
-        old_trees = self.read("merkle")
-        old = old_trees.filter(F.col("repo_root") == repo_root)
+        old = change.read("merkle").filter(F.col("repo_root") == repo_root)
         if not force and (known := merkle.root_hash(old)) is not None and known == merkle.root_hash(nodes) and not merkle.diff(old, nodes).take(1):
-            return IndexResult(0, 0, 0, 0, 0)
-        changes = merkle.diff(None if force else old, nodes).withColumn("repo_root", F.lit(repo_root))
+            return IndexResult(0, 0, 0, 0, 0, change.written())
+        changes = settle(merkle.diff(None if force else old, nodes).withColumn("repo_root", F.lit(repo_root)), "changes")
         fresh = mine.join(merkle.to_reindex(changes), "path", "left_semi")
-        chunks = settle(chunking.structural_chunks(fresh), "chunks")  # parsed once for the three tables made of them
-        cache, locations = self.read("embedding_cache"), self.read("chunk_locations")
-        new_cache, new_locations = embed.embed_with_cache(chunks, cache, self.embedder)
-        touched = changes.select("repo_root", "path")
-        if force:
-            touched = touched.unionByName(locations.filter(F.col("repo_root") == repo_root).select("repo_root", "path"))
-        found = symbols.extract_symbols(fresh)
-        before = cache.count()
-        self.tables["embedding_cache"].write(cache.unionByName(new_cache))
-        self.tables["chunk_locations"].write(store.replace_files(locations, new_locations, touched))
-        self.tables["chunks"].write(store.replace_files(self.read("chunks"), chunks, touched))
-        self.tables["symbols"].write(store.replace_files(self.read("symbols"), found, touched))
+        chunks = settle(self.chunker(fresh), "chunks")  # parsed once for the three tables made of them
+        new_cache, new_locations = embed.embed_with_cache(chunks, change.read("embedding_cache"), self.embedder)
+        was_there = change.read("chunk_locations").filter(F.col("repo_root") == repo_root).select(*FILE) if force else changes.filter("change <> 'added'").select(*FILE)
+        try:
+            embedded = change.append("embedding_cache", new_cache)
+            change.replace("chunk_locations", new_locations, was_there)
+            change.replace("chunks", chunks, was_there)
+            change.replace("symbols", self.finder(fresh), was_there)
+            same = nodes.select("path", "hash", "is_dir")
+            stale = old if force else old.join(same, ["path", "hash", "is_dir"], "left_anti")
+            new_nodes = nodes if force else nodes.join(old.select("path", "hash", "is_dir"), ["path", "hash", "is_dir"], "left_anti")
+            change.replace("merkle", new_nodes, stale.select(*FILE))
+            change.commit()
+        except BaseException:
+            change.abort()
+            raise
         n = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-        n_chunks = self.read("chunk_locations").join(fresh.select("repo_root", "path"), ["repo_root", "path"], "left_semi").count()
-        self.tables["merkle"].write(old_trees.filter(F.col("repo_root") != repo_root).unionByName(nodes.select(*old_trees.columns)))
-        drop_settled(chunks)
-        return IndexResult(n.get("added", 0), n.get("modified", 0), n.get("deleted", 0), n_chunks, self.read("embedding_cache").count() - before)
+        drop_settled(chunks, changes)
+        written = change.written()
+        return IndexResult(n.get("added", 0), n.get("modified", 0), n.get("deleted", 0), written["chunk_locations"], embedded, written)
 
     def stats(self) -> DataFrame:
         return stats.index_stats(self.read("chunk_locations"), self.read("embedding_cache"))
 
     def clean(self) -> None:
         """Drops vectors that no place needs any more."""
-        self.tables["embedding_cache"].write(store.remove_orphans(self.read("embedding_cache"), self.read("chunk_locations")))
+        change = self.tables.begin("embedding_cache")
+        change.replace("embedding_cache", None, store.orphans(change.read("embedding_cache"), change.read("chunk_locations")))
+        change.commit()
+
+    def compact(self, most: int = FOLDERS, keep: int = 2) -> dict[str, int]:
+        """Rewrites buckets that lie in many folders, and deletes versions but the newest ones. Says how many rows of each table were rewritten."""
+        out = self.tables.compact(most)
+        self.tables.vacuum(keep)
+        return out
