@@ -60,12 +60,18 @@ def save_locations(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def put_cache(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New hashes come in; known ones count one access for each row and keep their embedding. Both: content_hash, embedding, created_at, access_count, last_accessed."""
-    both = old.select("content_hash", "embedding", "created_at", "access_count", "last_accessed").withColumn("old", F.lit(0))
-    more = new.select("content_hash", "embedding", "created_at", "access_count", "last_accessed").withColumn("old", F.lit(1))
-    return both.unionByName(more).groupBy("content_hash").agg(
-        F.min_by("embedding", F.struct("old", "created_at")).alias("embedding"), F.min("created_at").alias("created_at"), F.sum("access_count").cast("long").alias("access_count"), F.max("last_accessed").alias("last_accessed"),
+    """New hashes come in; known ones count one access for each row and keep their embedding. Both: content_hash, embedding, created_at, access_count, last_accessed; old has a hash once.
+
+    Only the new rows are grouped. The cache's vectors meet counts by hash, which are few beside them, and aren't
+    dealt out anew unless the new rows are many.
+    """
+    columns = ("content_hash", "embedding", "created_at", "access_count", "last_accessed")
+    seen = new.groupBy("content_hash").agg(F.min_by("embedding", "created_at").alias("embedding"), F.min("created_at").alias("created_at"), F.sum("access_count").cast("long").alias("access_count"), F.max("last_accessed").alias("last_accessed"))
+    told = seen.select("content_hash", F.col("created_at").alias("first"), F.col("access_count").alias("n"), F.col("last_accessed").alias("latest"))
+    known = old.select(*columns).join(told, "content_hash", "left").select(
+        "content_hash", "embedding", F.least("created_at", "first").alias("created_at"), (F.col("access_count") + F.coalesce("n", F.lit(0))).cast("long").alias("access_count"), F.greatest("last_accessed", "latest").alias("last_accessed"),
     )
+    return known.unionByName(seen.join(old.select("content_hash"), "content_hash", "left_anti").select(*columns))
 
 
 def fold_accesses(cache: DataFrame, log: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,15 +84,17 @@ class Index:
         chunks = settle(self.chunker(fresh), "chunks")  # parsed once for the three tables made of them
         new_cache, new_locations = embed.embed_with_cache(chunks, change.read("embedding_cache"), self.embedder)
         was_there = change.read("chunk_locations").filter(F.col("repo_root") == repo_root).select(*FILE) if force else changes.filter("change <> 'added'").select(*FILE)
+        same = ["path", "hash", "is_dir"]
+        stale = old if force else old.join(nodes.select(*same), same, "left_anti")
+        new_nodes = nodes if force else nodes.join(old.select(*same), same, "left_anti")
         try:
-            embedded = change.append("embedding_cache", new_cache)
-            change.replace("chunk_locations", new_locations, was_there)
-            change.replace("chunks", chunks, was_there)
-            change.replace("symbols", self.finder(fresh), was_there)
-            same = nodes.select("path", "hash", "is_dir")
-            stale = old if force else old.join(same, ["path", "hash", "is_dir"], "left_anti")
-            new_nodes = nodes if force else nodes.join(old.select("path", "hash", "is_dir"), ["path", "hash", "is_dir"], "left_anti")
-            change.replace("merkle", new_nodes, stale.select(*FILE))
+            # Independent writes, whose jobs may run beside each other.
+            with ThreadPoolExecutor(6) as pool:
+                jobs = [
+                    pool.submit(change.append, "embedding_cache", new_cache), pool.submit(change.replace, "chunk_locations", new_locations), pool.submit(change.replace, "chunks", chunks),
+                    pool.submit(change.replace, "symbols", self.finder(fresh)), pool.submit(change.replace, "merkle", new_nodes, stale.select(*FILE)), pool.submit(change.forget, ("chunk_locations", "chunks", "symbols"), was_there),
+                ]
+            embedded = [j.result() for j in jobs][0]
             change.commit()
         except BaseException:
             change.abort()

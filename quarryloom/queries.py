@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
 from quarryloom.operators import ann, chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, vector_search
 from quarryloom.plans import hybrid as plans
+from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
 from quarryloom.sources import sinks
 from quarryloom.sources.files import documents_as_files, gitignored, project_of
@@ -247,6 +249,69 @@ def structural_chunks(spark, d):
     return chunking.structural_chunks(rows).select("repo_root", "path", "start_line", "end_line", "node_type", "content_hash")
 
 
+# Index runs by deltas
+
+#: An earlier state of the documents as a tree, a folder for each source: those labelled toxic weren't there, those of low quality had another text, and the benchmark lay beside them.
+TREES = """lb AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+tree AS (SELECT coalesce(source, 'none') || '/' || d.doc_id AS path, text AS now, CASE WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN 'draft of ' || text ELSE text END AS before FROM documents d LEFT JOIN lb USING (doc_id)
+         UNION ALL SELECT 'benchmark/' || item_id, NULL, text FROM benchmark),
+state AS (SELECT 'now' AS v, path, now AS text FROM tree WHERE now IS NOT NULL UNION ALL SELECT 'before', path, before FROM tree WHERE before IS NOT NULL),
+changed AS (SELECT path FROM tree WHERE now IS DISTINCT FROM before),
+k AS (SELECT v, path, string_split(text, chr(10)) AS a, len(string_split(text, chr(10))) AS n FROM state),
+f AS (SELECT v, path, a, n, unnest(range(0, CASE WHEN n <= 50 THEN 1 ELSE (ceil((n - 50) / 40.0)::INT * 40 + 1) END, 40)) AS st FROM k),
+chunk AS (SELECT v, path, (st + 1)::INT AS start_line, least(st + 50, n)::INT AS end_line, sha256(array_to_string(a[st + 1:least(st + 50, n)], chr(10))) AS content_hash FROM f)"""
+
+
+def tree_states(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs, label = table(spark, d, "documents"), table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), "doc_id")
+    rows = docs.join(label, F.col("doc_id") == F.col("id"), "left")
+    shape = lambda t, p, text: t.select(F.lit("all").alias("repo_root"), p.alias("path"), text.alias("text"))
+    earlier = F.when(F.col("quality") == 0, F.concat(F.lit("draft of "), "text")).otherwise(F.col("text"))
+    before = shape(rows.filter("toxic IS DISTINCT FROM 1"), path, earlier).unionByName(shape(table(spark, d, "benchmark"), F.concat_ws("/", F.lit("benchmark"), "item_id"), F.col("text")))
+    return before, shape(docs, path, F.col("text"))
+
+
+def index_of_states(spark, d) -> tuple[Index, dict[str, int]]:
+    """An index of the earlier state that has then been brought up to the documents, and the rows that took."""
+    before, now = tree_states(spark, d)
+    index = Index(spark, scratch.folder(spark, "index"), embed.hashing_embedder(16), chunking.fixed_chunks, lambda f: symbols.extract_symbols(f, "en", EN), buckets=16)
+    index.run(before, "all")
+    return index, index.run(now, "all").written
+
+
+@query(f"""WITH {TREES},
+nodes AS (SELECT v, path, 'f' AS kind FROM state UNION ALL SELECT DISTINCT v, split_part(path, '/', 1), 'd' FROM state UNION ALL SELECT DISTINCT v, '', 'd' FROM state),
+moved AS (SELECT path FROM changed UNION SELECT split_part(path, '/', 1) FROM changed UNION SELECT '' FROM changed),
+line AS (SELECT v, path, unnest(a) AS line FROM k), sy AS (SELECT DISTINCT v, path, n, regexp_extract(line, '^(\\w+)', 1) AS name FROM (SELECT v, path, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM k) WHERE regexp_matches(line, '^(\\w+) (?:the|of) |^(\\w+) and |^(\\w+)[.,] ')),
+hashes AS (SELECT DISTINCT content_hash FROM chunk WHERE v = 'before'), fresh AS (SELECT DISTINCT content_hash FROM chunk WHERE v = 'now' AND path IN (FROM changed) AND content_hash NOT IN (FROM hashes)),
+c AS (SELECT count(*) FILTER (WHERE v = 'before') AS b, count(*) FILTER (WHERE v = 'now') AS n, count(*) FILTER (WHERE v = 'before' AND path IN (FROM changed)) AS g, count(*) FILTER (WHERE v = 'now' AND path IN (FROM changed)) AS w FROM chunk),
+s AS (SELECT count(*) FILTER (WHERE v = 'before') AS b, count(*) FILTER (WHERE v = 'now') AS n, count(*) FILTER (WHERE v = 'before' AND path IN (FROM changed)) AS g, count(*) FILTER (WHERE v = 'now' AND path IN (FROM changed)) AS w FROM sy),
+m AS (SELECT count(*) FILTER (WHERE v = 'before') AS b, count(*) FILTER (WHERE v = 'now') AS n, count(*) FILTER (WHERE v = 'before' AND path IN (FROM moved)) AS g, count(*) FILTER (WHERE v = 'now' AND path IN (FROM moved)) AS w FROM nodes),
+e AS (SELECT (SELECT count(*) FROM hashes) AS b, (SELECT count(*) FROM hashes) + (SELECT count(*) FROM fresh) AS n, 0 AS g, (SELECT count(*) FROM fresh) AS w)
+SELECT t AS table_name, b::BIGINT AS rows_before, g::BIGINT AS rows_gone, w::BIGINT AS rows_written, n::BIGINT AS rows_after FROM (
+SELECT 'chunk_locations' AS t, * FROM c UNION ALL SELECT 'chunks', * FROM c UNION ALL SELECT 'symbols', * FROM s UNION ALL SELECT 'merkle', * FROM m UNION ALL SELECT 'embedding_cache', * FROM e)""")
+def incremental_run(spark, d):
+    index, written = index_of_states(spark, d)
+    now = index.tables.version()
+    count = lambda t, v, name: index.read(t, v).agg(F.lit(t).alias("table_name"), F.count("*").alias(name), F.lit(written[t]).cast("long").alias("rows_written"))
+    each = [count(t, now - 1, "rows_before").join(count(t, now, "rows_after").drop("rows_written"), "table_name") for t in index.TABLES]
+    out = reduce(DataFrame.unionByName, each)
+    return out.select("table_name", "rows_before", (F.col("rows_before") + F.col("rows_written") - F.col("rows_after")).alias("rows_gone"), "rows_written", "rows_after")
+
+
+@query(f"WITH {TREES} SELECT path, start_line, end_line, content_hash FROM chunk WHERE v = 'now'")
+def incremental_locations(spark, d):
+    return index_of_states(spark, d)[0].read("chunk_locations").select("path", "start_line", "end_line", "content_hash")
+
+
+@query(f"WITH {TREES} SELECT path, start_line, end_line, content_hash FROM chunk WHERE v = 'now'")
+def compacted_locations(spark, d):
+    index = index_of_states(spark, d)[0]
+    index.compact(0, keep=1)
+    return index.read("chunk_locations").select("path", "start_line", "end_line", "content_hash")
+
+
 # Vectors
 
 
