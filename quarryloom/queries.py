@@ -14,7 +14,7 @@ from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
-from quarryloom.operators import ann, chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, vector_search
+from quarryloom.operators import ann, chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, trigrams, vector_search
 from quarryloom.plans import hybrid as plans
 from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
@@ -73,6 +73,35 @@ def keyword_per_file_cap(spark, d):
     return search.keyword_search(files(spark, d), "tion[ .,]", 500, per_file=2)
 
 
+#: Patterns with what their trigrams ask of a text, as a condition in SQL.
+INDEXED = {
+    PATTERN: " AND ".join(f"contains(t, '{x}')" for x in ("lic", "ice", "cen", "ens", "nse")),
+    "(under the mit|permission is) ?(licen[cs]e|hereby)": f"({' AND '.join(f"contains(t, '{'under the mit'[i : i + 3]}')" for i in range(11))} OR {' AND '.join(f"contains(t, '{'permission is'[i : i + 3]}')" for i in range(11))}) AND (contains(t, 'lic') AND contains(t, 'ice') AND contains(t, 'cen') OR {' AND '.join(f"contains(t, '{x}')" for x in ("her", "ere", "reb", "eby"))})",
+    "[A-Z][a-z]*ing[.,]": "contains(t, 'ing')",
+    "^[A-Z]\\w+[.]$": "true",
+}
+
+
+def trigram_index(spark, d) -> trigrams.TrigramIndex:
+    index = trigrams.TrigramIndex(spark, scratch.folder(spark, "trigrams"), 16)
+    index.put(files(spark, d))
+    return index
+
+
+@query(KEYWORD)
+def indexed_keyword_search(spark, d):
+    return trigram_index(spark, d).keyword_search(files(spark, d), PATTERN, 20)
+
+
+@query(f"WITH {LINES}, low AS (SELECT lower(text) AS t FROM files WHERE text IS NOT NULL) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS pattern, (SELECT count(*) FROM lines WHERE regexp_matches(line, '{p}'))::BIGINT AS lines, (SELECT count(*) FROM low WHERE {c})::BIGINT AS opened, (SELECT count(*) FROM low)::BIGINT AS texts" for p, c in INDEXED.items()))
+def indexed_texts_opened(spark, d):
+    """How many texts a search opens, of how many, and the lines that it finds."""
+    index, own = trigram_index(spark, d), files(spark, d)
+    rows = [f.select(F.lit(p).alias("pattern"), F.lit(what).alias("what")) for p in INDEXED for what, f in (("lines", index.matching_lines(own, p)), ("opened", index.candidates(p)), ("texts", own.filter("text IS NOT NULL")))]
+    return reduce(DataFrame.unionByName, rows).groupBy("pattern").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("lines", "opened", "texts")])
+
+
 @query(f"WITH {LINES} SELECT repo_root, path, n::INT AS line, line AS text FROM lines WHERE regexp_matches(line, 'tion[ .,]')")
 def matching_lines(spark, d):
     return search.matching_lines(files(spark, d), "tion[ .,]")
