@@ -14,7 +14,7 @@ from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
-from quarryloom.operators import ann, chunking, embed, evals, fusion, lookup, merkle, rerank, search, stats, store, symbols, trigrams, vector_search
+from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_index, lookup, merkle, rerank, search, stats, store, symbols, trigrams, vector_search
 from quarryloom.plans import hybrid as plans
 from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
@@ -421,6 +421,20 @@ def ivf_topk(spark, d):
     return ann_topk(spark, d, *IVF)
 
 
+@query()
+def graph_recall(spark, d):
+    """Two rows: the share of the exact ten nearest that the graph finds for all ids divisible by 20, and the share of the vectors that a query was compared with."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = graph_index.GraphIndex(spark, scratch.folder(spark, "graph")).build(rows)
+    found = scratch.settle(index.search_many(ann_queries(spark, d), 10), "found")
+    exact = vector_search.batch_knn(rows, ann_queries(spark, d), 10)
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    visits = found.groupBy("query_id").agg(F.max("visited").alias("visited")).agg(F.avg("visited").alias("mean"))
+    shares = hits.agg((F.count("hit") / F.count("*")).alias("recall")).select(F.lit("recall").alias("what"), F.col("recall").alias("share"))
+    seen = visits.select(F.lit("visited").alias("what"), (F.col("mean") / F.lit(float(max(1, rows.count())))).alias("share"))
+    return shares.unionByName(seen)
+
+
 @query("SELECT * FROM (VALUES ('ivf', true), ('lsh', true)) AS t(kind, enough)")
 def ann_recall(spark, d):
     """Whether 0.9 of the exact neighbours are found."""
