@@ -323,9 +323,9 @@ SELECT 'chunk_locations' AS t, * FROM c UNION ALL SELECT 'chunks', * FROM c UNIO
 def incremental_run(spark, d):
     index, written = index_of_states(spark, d)
     now = index.tables.version()
-    count = lambda t, v, name: index.read(t, v).agg(F.lit(t).alias("table_name"), F.count("*").alias(name), F.lit(written[t]).cast("long").alias("rows_written"))
-    each = [count(t, now - 1, "rows_before").join(count(t, now, "rows_after").drop("rows_written"), "table_name") for t in index.TABLES]
-    out = reduce(DataFrame.unionByName, each)
+    count = lambda t, v, name: index.read(t, v).select(F.lit(t).alias("table_name"), F.lit(name).alias("state"), F.lit(written[t]).cast("long").alias("rows_written"))
+    each = reduce(DataFrame.unionByName, [count(t, v, name) for t in index.TABLES for v, name in ((now - 1, "before"), (now, "after"))])
+    out = each.groupBy("table_name", "rows_written").agg(F.count_if(F.col("state") == "before").alias("rows_before"), F.count_if(F.col("state") == "after").alias("rows_after"))
     return out.select("table_name", "rows_before", (F.col("rows_before") + F.col("rows_written") - F.col("rows_after")).alias("rows_gone"), "rows_written", "rows_after")
 
 

@@ -206,12 +206,17 @@ def in_order(projects: DataFrame) -> DataFrame:
     return projects.select(F.col("path").alias("project"), F.coalesce(since, F.timestamp_seconds(F.lit(0))).alias("since"))
 
 
-def project_of(paths: DataFrame, projects: DataFrame) -> DataFrame:
-    """paths (path, ...) with the first project, as they were added, that contains each; what lies in a hidden part right below it doesn't count.
+def owner(path: Column, projects: DataFrame) -> Column:
+    """The first project, as they were added, that contains a path; what lies in a hidden part right below it doesn't count. Null if none does.
 
-    projects is limited by add_project(), so it goes to all tasks.
+    One expression over the projects, which add_project() limits, so paths are neither joined nor moved.
     """
-    inside = F.expr("startswith(path, concat(project, '/')) and not startswith(path, concat(project, '/.'))")
-    keyed = paths.withColumn("_row", F.struct(*paths.columns)).withColumn("_id", F.monotonically_increasing_id())
-    named = keyed.join(F.broadcast(in_order(projects)), inside, "left")
-    return named.groupBy("_id", "_row").agg(F.min_by("project", F.struct("since", "project")).alias("project")).select("_row.*", "project")
+    out = F.lit(None).cast("string")
+    for p in reversed([r["project"] for r in in_order(projects).orderBy("since", "project").collect()]):
+        out = F.when(path.startswith(p + "/") & ~path.startswith(p + "/."), F.lit(p)).otherwise(out)
+    return out
+
+
+def project_of(paths: DataFrame, projects: DataFrame) -> DataFrame:
+    """paths (path, ...) with the project that owns each."""
+    return paths.withColumn("project", owner(F.col("path"), projects))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarryloom.functions import text as X
-from quarryloom.sources.files import in_order
+from quarryloom.sources.files import owner
 
 QUIET = "500 milliseconds"
 
@@ -64,13 +64,8 @@ def watch(events: DataFrame, projects: DataFrame, reindex: Callable[[str], None]
 
 
 def project_of_stream(events: DataFrame, projects: DataFrame) -> DataFrame:
-    """Events with the first project, as they were added, that contains their path: one expression, since a stream can't be grouped twice. Others are dropped."""
-    paths = [r["project"] for r in in_order(projects).orderBy("since", "project").collect()]  # limited by the registry
-    out = F.lit(None).cast("string")
-    for p in reversed(paths):
-        inside = F.col("path").startswith(p + "/") & ~F.col("path").startswith(p + "/.")
-        out = F.when(inside, F.lit(p)).otherwise(out)
-    return events.withColumn("project", out).filter("project is not null")
+    """Events with the first project, as they were added, that contains their path. Others are dropped."""
+    return events.withColumn("project", owner(F.col("path"), projects)).filter("project is not null")
 
 
 def status(query: StreamingQuery, projects: DataFrame | None = None) -> dict:
