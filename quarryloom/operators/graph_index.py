@@ -25,8 +25,8 @@ from quarryloom.functions import vectors as V
 from quarryloom.operators.versioned import Spec, VersionedTables
 from quarryloom.scratch import drop_settled, settle
 
-#: Neighbours of a node that are looked for, and the nearest of these along which a search walks, and against which, to twice as many at most.
-WIDTH, WALK = 24, 10
+#: Neighbours of a node that are looked for.
+WIDTH = 24
 #: Blocks in which lists begin, and random directions along which they are cut.
 BLOCK, DEALS = 256, 3
 #: A share of new entries at which descent stops, and the rounds it takes at most.
@@ -43,9 +43,14 @@ SPECS = {
 LINK = "node bigint, id bigint, d double"
 
 
+def walk_for(n: int, width: int = WIDTH) -> int:
+    """Along how many of a node's nearest neighbours a search among n walks; and against as many, to twice that number in all. Small graphs need few, in which many would be most of the nodes."""
+    return min(width, int(10 * (max(n, 500) / 2_000) ** 0.27))
+
+
 def beam_for(n: int, k: int) -> int:
     """The nearest nodes that a search among n keeps, k at least. More of them find more and visit more; vectors without clusters, as those here, ask for a beam that grows with n."""
-    return max(k, int(n**0.4 / 1.75))
+    return max(k, int(n**0.6 / 8.36))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -160,11 +165,12 @@ class GraphIndex:
         self.spark, self.id, self.vector = spark, id_column, vector_column
         self.tables = VersionedTables(spark, path, SPECS, buckets)
 
-    def build(self, vectors: DataFrame, width: int = WIDTH, walk: int = WALK, seed: int = SEED) -> GraphIndex:
+    def build(self, vectors: DataFrame, width: int = WIDTH, walk: int | None = None, seed: int = SEED) -> GraphIndex:
         """Replaces the graph by one of these rows (id, vector); rows without a vector are left out. Vectors have one length."""
         own = vectors.filter(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("id"), V.normalized(F.col(self.vector)).alias("v"))
         nodes = settle(own.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")).select("node", "v", "n"), "nodes")
         lists = neighbour_lists(nodes.select("node", "v"), width, seed)
+        walk = walk or walk_for(nodes.count(), width)
         w = Window.partitionBy("node").orderBy("d", "id")
         some = _edges(lists.select("node", F.slice("near", 1, walk).alias("near")))
         wide = _around(some, walk).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= 2 * walk)

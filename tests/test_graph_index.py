@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.operators import ann, vector_search
 from quarryloom.operators import graph_index as G
-from quarryloom.operators.graph_index import GraphIndex, beam_for, neighbour_lists
+from quarryloom.operators.graph_index import GraphIndex, beam_for, neighbour_lists, walk_for
 
 VEC = "id long, embedding array<float>, v int, node string"
 
@@ -75,4 +75,5 @@ def test_comparisons_around_a_center_cross_batches(vectors):
 
 
 def test_beams_grow_slower_than_tables():
-    assert beam_for(500, 10) == 10 and beam_for(2000, 10) == 11 and beam_for(10**6, 10) == 143
+    assert beam_for(500, 10) == 10 and beam_for(2000, 10) == 11 and beam_for(51_282, 10) == 80
+    assert walk_for(1) == walk_for(500) == 6 and walk_for(2000) == 10 and walk_for(10**9) == 24
