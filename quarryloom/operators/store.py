@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.operators.ordering import numbered, row_at
+from quarryloom.operators.ordering import as_whole, numbered, row_at, text_at, whole_at
 
 LOCATION_KEY = ("repo_root", "path", "start_line", "end_line")
 
@@ -81,10 +81,14 @@ def fold_accesses(cache: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def evict(cache: DataFrame, keep: int, key: str = "content_hash", used: str = "last_accessed") -> DataFrame:
-    """The keep most recently used rows, by key among equals. The last that stays is found among times and keys alone; rows are only filtered by it."""
+    """The keep most recently used rows, by key among equals; rows are only filtered by the last that stays.
+
+    It is found by counting in ever smaller ranges of times and then of keys, without a sort; of types that have no such ranges,
+    by a sort of times and keys alone.
+    """
     if keep <= 0:
         return cache.limit(0)
-    last = row_at(cache.select(used, key), [F.col(used).desc_nulls_last(), F.col(key)], keep)
+    last = _last_kept(cache, keep, key, used)
     if last is None:
         return cache
     at, name = F.lit(last[0]).cast(cache.schema[used].dataType), F.lit(last[1])
@@ -92,6 +96,31 @@ def evict(cache: DataFrame, keep: int, key: str = "content_hash", used: str = "l
     return cache.filter(later | (F.col(used).eqNullSafe(at) & (F.col(key) <= name)))
 
 
+def _last_kept(cache: DataFrame, keep: int, key: str, used: str) -> tuple | None:
+    """(time, key) of the last row that stays; None if all do."""
+    kinds = dict(cache.dtypes)
+    value, number = as_whole(used, kinds[used]), as_whole(key, kinds[key]) if kinds[key] not in ("date", "timestamp") else None
+    sorted_ = lambda: row_at(cache.select(used, key), [F.col(used).desc_nulls_last(), F.col(key)], keep)
+    n, timed, keyed = cache.agg(F.count("*"), F.count(used), F.count(key)).first()
+    if keep >= n:
+        return None
+    if value is None or keyed < n or (number is None and kinds[key] != "string"):
+        return sorted_()
+    if keep > timed:
+        at, place, equal = None, keep - timed, cache.filter(F.col(used).isNull())
+    else:
+        found = whole_at(cache, value, keep, descending=True)
+        if found is None:
+            return sorted_()
+        at, place, _ = found
+        equal = cache.filter(value == at)
+        at = {"timestamp": F.timestamp_micros(F.lit(at)), "date": F.date_from_unix_date(F.lit(at).cast("int"))}.get(kinds[used], at)
+    if number is None:
+        return at, text_at(equal, key, place)
+    found = whole_at(equal, number, place)
+    return (at, found[0]) if found else sorted_()
+
+
 def orphans(cache: DataFrame, locations: DataFrame) -> DataFrame:
     """Hashes that no location names."""
     return cache.select("content_hash").join(locations.select("content_hash"), "content_hash", "left_anti").distinct()
