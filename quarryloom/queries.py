@@ -731,6 +731,22 @@ def merkle_diff(spark, d):
     return merkle.diff(nodes.filter("hash not like '0%'"), new)
 
 
+DEEP = "n AS (SELECT source AS top, source || '/d' || (doc_id % 50) AS dir, source || '/d' || (doc_id % 50) || '/' || doc_id AS path FROM documents), m AS (SELECT min(path) AS gone, max(path) AS other FROM n), t AS (SELECT n.* FROM n, m WHERE path IN (gone, other))"
+
+
+@query(f"""WITH {DEEP}, c AS (SELECT 1 + (SELECT count(DISTINCT top) FROM n) + (SELECT count(DISTINCT dir) FROM n WHERE top IN (SELECT top FROM t)) + (SELECT count(*) FROM n WHERE dir IN (SELECT dir FROM t)) AS compared)
+SELECT gone AS path, 'deleted' AS change, compared::BIGINT AS compared FROM m, c UNION ALL SELECT other, 'modified', compared::BIGINT FROM m, c""")
+def merkle_pruned_diff(spark, d):
+    """One file gone and one changed: the changes, and how many rows of the two trees were compared to find them."""
+    names = F.concat_ws("/", "source", F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")), F.col("doc_id").cast("string"))
+    nodes = scratch.settle(merkle.file_nodes(table(spark, d, "documents").select(names.alias("path"), "text")), "nodes")
+    gone, other = nodes.agg(F.min("path"), F.max("path")).first()
+    after = nodes.filter(F.col("path") != gone).withColumn("hash", F.when(F.col("path") == other, X.content_hash("hash")).otherwise(F.col("hash")))
+    old, new = (merkle.save_tree(merkle.rollup(t, names=True), scratch.folder(spark, "tree")) for t in (nodes, after))
+    changes, compared = merkle.pruned_diff(old, new)
+    return changes.withColumn("compared", F.lit(compared).cast("long"))
+
+
 @query(f"WITH {TREE} SELECT parent AS path, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM n GROUP BY 1 UNION ALL SELECT '', count(*), sum(size)::BIGINT FROM n")
 def dir_sizes(spark, d):
     return merkle.directory_sizes(merkle.file_nodes(tree_files(spark, d)))
