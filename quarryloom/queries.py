@@ -14,7 +14,7 @@ from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
-from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_index, lookup, merkle, rerank, search, stats, store, symbols, trigrams, vector_search
+from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_index, lookup, merkle, rerank, search, stats, store, symbols, threshold, trigrams, vector_search
 from quarryloom.plans import hybrid as plans
 from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
@@ -607,13 +607,17 @@ c AS (SELECT doc_id::VARCHAR AS id, quality::DOUBLE AS score, 'label' AS source,
 FUSED = LISTS + ", f AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, max(score) AS score, count(*) AS k FROM al GROUP BY id)"
 
 
-def three_lists(spark, d) -> list[DataFrame]:
+def scored_lists(spark, d) -> dict[str, DataFrame]:
     docs, vecs, marks = (table(spark, d, t) for t in ("documents", "embeddings", "labels"))
-    return [
-        fusion.ranked(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")), "size"),
-        fusion.ranked(vecs.select(F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score")), "vector"),
-        fusion.ranked(marks.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("score")), "label"),
-    ]
+    return {
+        "size": docs.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")),
+        "vector": vecs.select(F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 17).cast("double").alias("score")),
+        "label": marks.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("score")),
+    }
+
+
+def three_lists(spark, d) -> list[DataFrame]:
+    return [fusion.ranked(hits, source) for source, hits in scored_lists(spark, d).items()]
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -640,6 +644,20 @@ def rrf_topn(spark, d):
     return _rounded(fusion.top_n(fusion.rrf(*three_lists(spark, d)), 25))
 
 
+@query(f"WITH {FUSED} SELECT id, round(rrf, 9) AS rrf_score, score, k::BIGINT AS n_sources FROM f ORDER BY round(rrf, 12) DESC, score DESC, k DESC, id LIMIT 25")
+def rrf_topn_threshold(spark, d):
+    return _rounded(threshold.top_n_by_threshold(scored_lists(spark, d), 25))
+
+
+@query()
+def rrf_depth_read(spark, d):
+    """How far each list was read in order for the 25 best of all, and how long the lists are."""
+    lists = scored_lists(spark, d)
+    depth = threshold.top_n_by_threshold(lists, 25).first()["depth"]
+    sizes = reduce(DataFrame.unionByName, [hits.agg(F.count("*").alias("rows")).withColumn("list", F.lit(s)) for s, hits in lists.items()])
+    return sizes.select("list", "rows", F.lit(depth).alias("depth"))
+
+
 KW = KEYWORD.replace("WITH ", "", 1)
 KW_CTE = KW[: KW.index("SELECT repo_root, path, n::INT AS line_start")].rstrip()
 
