@@ -14,7 +14,7 @@ from quarryloom.functions import blobs, formats
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
 from quarryloom.functions import vectors as V
-from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_index, lookup, merkle, rerank, search, stats, store, symbols, threshold, trigrams, vector_search
+from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_index, lookup, merkle, quantized, rerank, search, stats, store, symbols, threshold, trigrams, vector_search
 from quarryloom.plans import hybrid as plans
 from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
@@ -435,6 +435,19 @@ def graph_recall(spark, d):
     return shares.unionByName(seen)
 
 
+@query()
+def quantized_recall(spark, d):
+    """Two rows: the share of the exact ten nearest that byte codes find for all ids divisible by 20, and the codes' share of the vectors' bytes."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = quantized.QuantizedIndex(spark, scratch.folder(spark, "quantized")).build(rows)
+    found = index.search_many(rows, ann_queries(spark, d), 10)
+    exact = vector_search.batch_knn(rows, ann_queries(spark, d), 10)
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hits.agg((F.count("hit") / F.count("*")).alias("share")).select(F.lit("recall").alias("what"), "share")
+    coded = index.tables.read("codes").agg(F.sum(F.octet_length("code")).alias("coded")).crossJoin(rows.agg(F.sum(4 * F.size("embedding")).alias("whole")))  # one row each
+    return recall.unionByName(coded.select(F.lit("bytes").alias("what"), (F.col("coded") / F.col("whole")).alias("share")))
+
+
 @query("SELECT * FROM (VALUES ('ivf', true), ('lsh', true)) AS t(kind, enough)")
 def ann_recall(spark, d):
     """Whether 0.9 of the exact neighbours are found."""
