@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine from byte codes, with exact distances for the few best.
 
 A unit vector is cut into short parts, and each part becomes the number of the
-nearest of 256 centres: a byte for four numbers. A query has a table of its
+nearest of 256 centres: a byte for three numbers. A query has a table of its
 products with all centres, so its product with a coded vector is a sum of table
 entries. That pass reads codes only; the best of it are compared exactly.
 """
@@ -23,7 +23,7 @@ from quarryloom.operators.versioned import Spec, VersionedTables
 from quarryloom.operators.vector_search import BLOCK_BYTES
 
 #: Numbers in a part, centres of a part, and vectors that centres are fitted to at most.
-WIDTH, CENTERS, SAMPLE = 4, 256, 8_192
+WIDTH, CENTERS, SAMPLE = 3, 256, 8_192
 #: How many times k rows are compared exactly, and the queries that a task looks at together.
 OVER, PIECE = 5, 64
 ROUNDS = 12

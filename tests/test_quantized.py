@@ -19,12 +19,12 @@ def test_search(spark, tmp_path):
     index = Q.QuantizedIndex(spark, f"file://{tmp_path}/q").build(rows)
     codes = {r["id"]: np.frombuffer(r["code"], np.uint8) for r in index.tables.read("codes").collect()}
     books = index._books(index.tables.version())
-    assert len(codes) == 981 and {len(c) for c in codes.values()} == {6}
+    assert len(codes) == 981 and {len(c) for c in codes.values()} == {8}
     # Each part has the nearest centre.
     unit = Q.parted(x / np.linalg.norm(x, axis=1, keepdims=True))
     for i in range(0, 900, 90):
         far = ((unit[i][:, None] - books) ** 2).sum(2)
-        assert np.allclose(far[np.arange(6), codes[i]], far.min(1))
+        assert np.allclose(far[np.arange(8), codes[i]], far.min(1))
     asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding").cache()
     # The first pass by its definition: all products of decoded vectors.
     ids = np.array(sorted(codes))
