@@ -39,6 +39,8 @@ BINS = 3000
 PASSED = 0.5
 FOLDS = 5
 RIDGE = 1e-2
+#: Rows of sums that one task or the driver takes, 24 KB each at most.
+MERGED = 256
 SOURCES, LANGS = 32, 8
 OUT = "doc_id long, score double, text_score double, meta_score double, predicted int, kept boolean"
 
@@ -229,8 +231,19 @@ def _newton(views: list, rounds: list, weight: np.ndarray, x: tuple, ids: np.nda
     return np.concatenate([views[v].sums(x[v][to == v], mark[to == v], np.full(int((to == v).sum()), weight[v])) for v in (0, 1)])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for sums in batch["sums"]:
+            part = np.frombuffer(sums.as_buffer())
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
 def summed_over(table: DataFrame) -> Callable:
-    """over() of CoTrained for a table of doc_id, x and m: a row of sums from each task."""
+    """over() of CoTrained for a table of doc_id, x and m: a row of sums from each task, of which tasks add MERGED at a time until the driver gets no more than MERGED."""
+    tasks = table.select(F.spark_partition_id().alias("task")).distinct().count()
 
     def over(f: Callable) -> np.ndarray | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +255,11 @@ def summed_over(table: DataFrame) -> Callable:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total, float).tobytes()], pa.binary())], ["sums"])
 
-        parts = [np.frombuffer(bytes(r[0])) for r in table.mapInArrow(run, "sums binary").collect()]
+        sums, n = table.mapInArrow(run, "sums binary"), tasks
+        while n > MERGED:
+            n = -(-n // MERGED)
+            sums = sums.repartition(n).mapInArrow(_added, "sums binary")
+        parts = [np.frombuffer(bytes(r[0])) for r in sums.collect()]
         return np.sum(parts, axis=0) if parts else None
 
     return over
