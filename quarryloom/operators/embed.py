@@ -8,6 +8,7 @@ import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
+from quarryloom.scratch import drop_settled, settle
 
+#: Texts that are embedded between two commits of their vectors.
+SLICE = 1_000_000
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -79,6 +83,8 @@ class Embedder:
     embed_text: Callable[[str], list[float]] | None = None
     #: Asks whoever makes the vectors whether that works now; None if there is nobody to ask.
     probe: Callable[[], bool] | None = None
+    #: Like embed, with a column error: of a text without a vector why it has none. For those that call a server.
+    attempt: Callable[[DataFrame, str, str], DataFrame] | None = None
 
     def available(self) -> bool:
         if self.name == "off":
@@ -120,13 +126,27 @@ def in_batches(url: str, model: str, key: str | None = None, timeout: float = 60
     return call
 
 
-def http_embedder(name: str, model: str, call: Callable[[list[str]], list[list[float]]], batch: int = 32, on_error: str = "raise", dimensions: int | None = None, tries: int = 3, wait: float = 0.5) -> Embedder:
-    """Calls a model server from the tasks, batch texts at a time.
+class EmbeddingFailed(RuntimeError):
+    """Calls failed for good. The vectors of all others have been kept."""
+
+
+NOT_ASKED = "not asked after a failure"
+
+
+def http_embedder(
+    name: str, model: str, call: Callable[[list[str]], list[list[float]]], batch: int = 32, on_error: str = "raise", dimensions: int | None = None, tries: int = 3, wait: float = 0.5, in_flight: int = 1, most_calls: int | None = None,
+) -> Embedder:
+    """Calls a model server from the tasks, batch texts at a time, in_flight calls of a task at once.
 
     A call that fails is made again, up to tries in all, after wait seconds and
-    twice as long each time; on_error "skip" then leaves its texts out.
+    twice as long each time; on_error "skip" then leaves its texts out. With
+    most_calls the texts are dealt to so few tasks that no more calls than that are under way at any time
+    (a task that Spark runs twice at once counts twice).
     """
     size = dimensions or L.MODEL_DIMENSIONS.get(model.removesuffix(":latest"), L.DEFAULT_DIMENSIONS)
+    window = min(in_flight, most_calls or in_flight)
+    if window < 1 or tries < 1:
+        raise ValueError("in_flight, most_calls and tries have to be positive")
 
     def again(texts: list[str]) -> list[list[float]]:
         for n in range(tries):
@@ -136,25 +156,68 @@ def http_embedder(name: str, model: str, call: Callable[[list[str]], list[list[f
                 if n == tries - 1:
                     raise
                 time.sleep(wait * 2**n)
-        raise ValueError("tries has to be positive")
+        raise AssertionError
 
-    def embed(df: DataFrame, id_column: str, content: str) -> DataFrame:
+    def attempt(df: DataFrame, id_column: str, content: str) -> DataFrame:
         def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for i in range(0, len(pdf), batch):
-                    part = pdf.iloc[i : i + batch]
-                    try:
-                        vectors = again(part[content].fillna("").tolist())
-                    except Exception:
-                        if on_error == "skip":
-                            continue
-                        raise
-                    yield pd.DataFrame({id_column: part[id_column].to_numpy(), "embedding": vectors})
+            failed = False
+
+            def answer(future: Future, ids: pd.Series) -> pd.DataFrame:
+                nonlocal failed
+                try:
+                    return pd.DataFrame({id_column: ids.to_numpy(), "embedding": future.result(), "error": None})
+                except Exception as e:
+                    failed = True
+                    return refused(ids, f"{type(e).__name__}: {e}")
+
+            def refused(ids: pd.Series, why: str) -> pd.DataFrame:
+                return pd.DataFrame({id_column: ids.to_numpy(), "embedding": [None] * len(ids), "error": why})
+
+            with ThreadPoolExecutor(window) as pool:
+                for part, ended in _windowed(pool, window, again, _parts(frames, content, batch), lambda: failed and on_error == "raise"):
+                    yield refused(part[id_column], NOT_ASKED) if ended is None else answer(ended, part[id_column])
 
         kind = dict(df.dtypes)[id_column]
-        return df.select(id_column, content).mapInPandas(ask, f"{id_column} {kind}, embedding array<float>")
+        rows = df.select(id_column, content)
+        if most_calls:
+            rows = rows.repartition(most_calls // window)
+        out = rows.mapInPandas(ask, f"{id_column} {kind}, embedding array<float>, error string")
+        return out.filter("error is null") if on_error == "skip" else out
+
+    def embed(df: DataFrame, id_column: str, content: str) -> DataFrame:
+        rows = attempt(df, id_column, content)
+        if on_error == "skip":
+            return rows.drop("error")
+        good = F.when(F.col("error").isNull(), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("embedding failed: "), "error")).cast("array<float>"))
+        return rows.select(id_column, good.alias("embedding"))
+
+    return Embedder(f"{name}:{model}", size, embed, lambda t: again([t])[0], lambda: len(call(["probe"])[0]) == size, attempt)
+
 
-    return Embedder(f"{name}:{model}", size, embed, lambda t: again([t])[0], lambda: len(call(["probe"])[0]) == size)
+def _parts(frames: Iterator[pd.DataFrame], content: str, batch: int) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    for pdf in frames:
+        for i in range(0, len(pdf), batch):
+            part = pdf.iloc[i : i + batch]
+            yield part, part[content].fillna("").tolist()
+
+
+def _windowed(pool: ThreadPoolExecutor, window: int, call: Callable, parts: Iterator[tuple[pd.DataFrame, list[str]]], stop: Callable[[], bool]) -> Iterator[tuple[pd.DataFrame, Future | None]]:
+    """Parts with their calls as these end, window under way at most; once stop() holds, parts that haven't begun come without one."""
+    running: dict[Future, pd.DataFrame] = {}
+
+    def ended() -> Iterator[tuple[pd.DataFrame, Future]]:
+        for f in wait(running, return_when=FIRST_COMPLETED).done:
+            yield running.pop(f), f
+
+    for part, texts in parts:
+        if len(running) >= window:
+            yield from ended()
+        if stop():
+            yield part, None
+        else:
+            running[pool.submit(call, texts)] = part
+    while running:
+        yield from ended()
 
 
 def embedder(kind: str = "hashing", **options) -> Embedder:
@@ -182,12 +245,46 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame, by: Embedder, now: Col
     """(new cache rows, locations of all chunks). chunks have repo_root, path, lines, content, content_hash, node_type, node_name, language."""
     now = F.current_timestamp() if now is None else now
     _, missing = split_by_cache(chunks, cache)
-    vectors = by.embed(missing, "content_hash", "content")
-    new = vectors.select("content_hash", "embedding", now.alias("created_at"), F.lit(1).cast("long").alias("access_count"), now.alias("last_accessed"), F.lit(by.name).alias("model"), F.lit(by.dimensions).alias("dimensions"))
+    new = cache_rows(by.embed(missing, "content_hash", "content"), by, now)
     locations = chunks.select("repo_root", "path", "start_line", "end_line", "content_hash", *[X.null_if_empty(c).alias(c) for c in ("node_type", "node_name", "language")], now.alias("created_at"))
     return new, locations
 
 
+def slices_of(rows: DataFrame, key: str, most: int) -> list[Column]:
+    """Conditions that deal rows to parts of about so many by a hash of key, one part after the other."""
+    n = max(1, -(-rows.count() // most))
+    return [F.pmod(F.xxhash64(key, F.lit(n)), F.lit(n)) == i for i in range(n)]
+
+
+def embed_in_slices(missing: DataFrame, by: Embedder, keep: Callable[[DataFrame], int], most: int = SLICE, name: str = "slice") -> int:
+    """Embeds missing (content_hash, content) slice by slice; keep() puts each slice's (content_hash, embedding) where the next run finds them.
+
+    A call that fails for good ends its task's calls, but the vectors that the
+    slice has by then are kept before EmbeddingFailed is raised, so a run that begins again without the
+    hashes that were kept asks for none of them twice. What a lost driver loses is one slice. Returns
+    how many were embedded.
+    """
+    todo, done = settle(missing.select("content_hash", "content"), "missing"), 0
+    ask = by.attempt or (lambda df, i, c: by.embed(df, i, c).withColumn("error", F.lit(None).cast("string")))
+    for part in slices_of(todo, "content_hash", most):
+        got = settle(ask(todo.filter(part), "content_hash", "content"), name)  # once: what was asked isn't asked again by a second pass
+        good = got.filter("error is null")
+        done += keep(good.drop("error"))
+        bad = got.filter("error is not null").agg(F.count("*").alias("n"), F.min(F.when(F.col("error") != NOT_ASKED, F.col("error"))).alias("why")).first()
+        drop_settled(got)
+        if bad["n"]:
+            drop_settled(todo)
+            raise EmbeddingFailed(f"{bad['n']} texts have no vector: {bad['why']}")
+    drop_settled(todo)
+    return done
+
+
+def cache_rows(vectors: DataFrame, by: Embedder, now: Column | None = None) -> DataFrame:
+    """Vectors (content_hash, embedding) as new rows of the cache."""
+    now = F.current_timestamp() if now is None else now
+    return vectors.select("content_hash", "embedding", now.alias("created_at"), F.lit(1).cast("long").alias("access_count"), now.alias("last_accessed"), F.lit(by.name).alias("model"), F.lit(by.dimensions).alias("dimensions"))
+
+
 def embed_statistics(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     """One row: chunks, distinct hashes, hits by hash and by chunk, hashes to embed, hit rate of chunks (0 without any)."""
     known = cache.select("content_hash").distinct().withColumn("hit", F.lit(1))

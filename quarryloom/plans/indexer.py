@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryloom import schemas
 from quarryloom.operators import chunking, embed, merkle, stats, store, symbols
-from quarryloom.operators.versioned import BUCKETS, FOLDERS, Conflict, Spec, VersionedTables
+from quarryloom.operators.versioned import BUCKETS, FOLDERS, Conflict, Spec, Transaction, VersionedTables
 from quarryloom.scratch import drop_settled, settle
 
 FILE = ("repo_root", "path")
@@ -22,6 +22,8 @@ SPECS = {
     "symbols": Spec(schemas.SYMBOLS, FILE),
     "chunks": Spec(schemas.CHUNKS, FILE),
 }
+#: What the index knows of each file's chunks, kept beside the tables.
+KEPT = {"file_stats": Spec(schemas.FILE_STATS, FILE)}
 
 
 @dataclass
@@ -31,7 +33,7 @@ class IndexResult:
     deleted: int
     chunks: int
     embedded: int
-    #: Rows that the run wrote to each table.
+    #: Rows that the run wrote to each table of Index.TABLES.
     written: dict[str, int]
 
 
@@ -46,12 +48,12 @@ class Index:
 
     def __init__(
         self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None, chunker: Callable[[DataFrame], DataFrame] = chunking.structural_chunks,
-        finder: Callable[[DataFrame], DataFrame] = symbols.extract_symbols, buckets: int = BUCKETS,
+        finder: Callable[[DataFrame], DataFrame] = symbols.extract_symbols, buckets: int = BUCKETS, slice_rows: int = embed.SLICE,
     ):
         self.spark = spark
         self.embedder = embedder or embed.hashing_embedder()
-        self.chunker, self.finder = chunker, finder
-        self.tables = VersionedTables(spark, path, SPECS, buckets)
+        self.chunker, self.finder, self.slice = chunker, finder, slice_rows
+        self.tables = VersionedTables(spark, path, SPECS | KEPT, buckets)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.tables.read(table, version)
@@ -61,7 +63,7 @@ class Index:
 
         Only files whose hash changed are chunked, only hashes that the cache
         lacks are embedded; rows of changed and deleted files are replaced in
-        all tables at once. A run that fails changes nothing. If another run of the same repository
+        all tables at once. A run that fails changes nothing but that vectors which a server gave by then stay in the cache. If another run of the same repository
         ends first, this one begins again from what that one left.
         """
         for n in range(tries):
@@ -78,10 +80,12 @@ class Index:
         nodes = merkle.rollup(merkle.file_nodes(mine)).withColumn("repo_root", F.lit(repo_root))
         old = change.read("merkle").filter(F.col("repo_root") == repo_root)
         if not force and (known := merkle.root_hash(old)) is not None and known == merkle.root_hash(nodes) and not merkle.diff(old, nodes).take(1):
-            return IndexResult(0, 0, 0, 0, 0, change.written())
+            return IndexResult(0, 0, 0, 0, 0, self._written(change))
         changes = settle(merkle.diff(None if force else old, nodes).withColumn("repo_root", F.lit(repo_root)), "changes")
         fresh = mine.join(merkle.to_reindex(changes), "path", "left_semi")
         chunks = settle(self.chunker(fresh), "chunks")  # parsed once for the three tables made of them
+        asks = self.embedder.attempt is not None
+        embedded_before = self._embed_first(chunks) if asks else 0
         new_cache, new_locations = embed.embed_with_cache(chunks, change.read("embedding_cache"), self.embedder)
         was_there = change.read("chunk_locations").filter(F.col("repo_root") == repo_root).select(*FILE) if force else changes.filter("change <> 'added'").select(*FILE)
         same = ["path", "hash", "is_dir"]
@@ -89,24 +93,47 @@ class Index:
         new_nodes = nodes if force else nodes.join(old.select(*same), same, "left_anti")
         try:
             # Independent writes, whose jobs may run beside each other.
-            with ThreadPoolExecutor(6) as pool:
+            with ThreadPoolExecutor(7) as pool:
                 jobs = [
-                    pool.submit(change.append, "embedding_cache", new_cache), pool.submit(change.replace, "chunk_locations", new_locations), pool.submit(change.replace, "chunks", chunks),
-                    pool.submit(change.replace, "symbols", self.finder(fresh)), pool.submit(change.replace, "merkle", new_nodes, stale.select(*FILE)), pool.submit(change.forget, ("chunk_locations", "chunks", "symbols"), was_there),
+                    pool.submit(lambda: 0 if asks else change.append("embedding_cache", new_cache)), pool.submit(change.replace, "chunk_locations", new_locations), pool.submit(change.replace, "chunks", chunks),
+                    pool.submit(change.replace, "symbols", self.finder(fresh)), pool.submit(change.replace, "merkle", new_nodes, stale.select(*FILE)),
+                    pool.submit(change.forget, ("chunk_locations", "chunks", "symbols", "file_stats"), was_there), pool.submit(change.replace, "file_stats", stats.file_stats(new_locations)),
                 ]
-            embedded = [j.result() for j in jobs][0]
+            embedded = [j.result() for j in jobs][0] + embedded_before
             change.commit()
         except BaseException:
             change.abort()
             raise
         n = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         drop_settled(chunks, changes)
-        written = change.written()
+        written = self._written(change)
+        written["embedding_cache"] += embedded_before
         return IndexResult(n.get("added", 0), n.get("modified", 0), n.get("deleted", 0), written["chunk_locations"], embedded, written)
 
+    def _written(self, change: Transaction) -> dict[str, int]:
+        return {t: n for t, n in change.written().items() if t in self.TABLES}
+
+    def _embed_first(self, chunks: DataFrame) -> int:
+        """Vectors that come from a server are kept slice by slice, in versions of their own before that of the run: the cache is the ledger from which a run
+        that failed is taken up again. Until the run ends no place refers to them."""
+
+        def keep(vectors: DataFrame) -> int:
+            change = self.tables.begin()
+            rows = change.append("embedding_cache", embed.cache_rows(vectors, self.embedder))
+            if rows:
+                change.commit()
+            return rows
+
+        _, missing = embed.split_by_cache(chunks, self.read("embedding_cache"))
+        return embed.embed_in_slices(missing, self.embedder, keep, self.slice)
+
     def stats(self) -> DataFrame:
         return stats.index_stats(self.read("chunk_locations"), self.read("embedding_cache"))
 
+    def kept_stats(self, repo: str | None = None) -> DataFrame:
+        """stats() from what runs have kept of each file, without reading places or vectors (the cache is counted, by its files' footers where no hash has gone); distinct hashes are an estimate."""
+        return stats.merged_stats(self.read("file_stats"), self.read("embedding_cache"), repo)
+
     def clean(self) -> None:
         """Drops vectors that no place needs any more."""
         change = self.tables.begin("embedding_cache")

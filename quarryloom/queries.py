@@ -18,7 +18,7 @@ from quarryloom.operators import ann, chunking, embed, evals, fusion, graph_inde
 from quarryloom.plans import hybrid as plans
 from quarryloom.plans.indexer import Index
 from quarryloom.sources import files as sources
-from quarryloom.sources import sinks
+from quarryloom.sources import sinks, trees
 from quarryloom.sources.files import documents_as_files, gitignored, project_of
 from quarryloom.streaming import watch
 
@@ -341,6 +341,56 @@ def compacted_locations(spark, d):
     return index.read("chunk_locations").select("path", "start_line", "end_line", "content_hash")
 
 
+@query(f"""WITH {TREES}, c AS (SELECT * FROM chunk WHERE v = 'now'), hashes AS (SELECT content_hash FROM chunk WHERE v = 'before' UNION SELECT content_hash FROM c WHERE path IN (FROM changed))
+SELECT 'total' AS metric, 'chunks' AS value, count(*)::BIGINT AS n FROM c UNION ALL SELECT 'total', 'files', count(DISTINCT path) FROM c UNION ALL SELECT 'total', 'cached', count(*) FROM hashes
+UNION ALL SELECT 'type', 'block', count(*) FROM c UNION ALL SELECT 'language', 'unknown', count(*) FROM c""")
+def kept_stats(spark, d):
+    """Distinct hashes, an estimate, are left out here."""
+    return index_of_states(spark, d)[0].kept_stats().filter("value <> 'hashes'")
+
+
+def documents_on_disk(spark, d) -> str:
+    """Each document with a text as a file source/doc_id.txt, written by the tasks to a scratch folder."""
+    root = scratch.folder(spark, "tree")
+    rows = table(spark, d, "documents").filter("text is not null").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("body"))
+    trees.write_files(rows, root)
+    return root
+
+
+ON_DISK = "SELECT 'r' AS repo_root, coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size"
+
+
+@query(f"{ON_DISK} FROM documents WHERE text IS NOT NULL")
+def tree_listing(spark, d):
+    return trees.scan_tree(spark, documents_on_disk(spark, d), None, repo_root="r").drop("mtime")
+
+
+@query(f"{ON_DISK}, sha256(text) AS content_hash FROM documents WHERE contains(text, chr(0)) IS FALSE AND lang <> 'en'")
+def tree_texts_of_changed(spark, d):
+    """Only files that an index of the English documents doesn't have are opened."""
+    root = documents_on_disk(spark, d)
+    known = table(spark, d, "documents").filter("coalesce(lang, 'en') = 'en'").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"))
+    now = trees.scan_tree(spark, root, None, repo_root="r")
+    return trees.with_text(sources.changed_files(now, now.join(known, "path", "left_semi")), root).select("repo_root", "path", "size", X.content_hash("text").alias("content_hash"))
+
+
+@query("""WITH t AS (SELECT sha256(text) AS content_hash, min(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT content_hash, 8 AS dimensions, round(((strlen(text)) / 8.0)::FLOAT::DOUBLE, 4) AS head, round(((strlen(text) + 7) / 8.0)::FLOAT::DOUBLE, 4) AS tail FROM t""")
+def embed_in_slices(spark, d):
+    """Through the window of calls and the slices, with a stand-in for the server: all texts once."""
+    docs = table(spark, d, "documents").filter("text is not null").select(X.content_hash("text").alias("content_hash"), F.col("text").alias("content"))
+    missing = docs.groupBy("content_hash").agg(F.min("content").alias("content"))
+    by = embed.http_embedder("stand-in", "length", lambda texts: [[(len(t.encode()) + j) / 8.0 for j in range(8)] for t in texts], dimensions=8, in_flight=4, most_calls=16)
+    kept = []
+
+    def keep(vectors: DataFrame) -> int:
+        kept.append(scratch.settle(vectors, "kept"))
+        return kept[-1].count()
+
+    embed.embed_in_slices(missing, by, keep, most=100_000)
+    out = reduce(DataFrame.unionByName, kept)
+    return out.select("content_hash", F.size("embedding").alias("dimensions"), F.round(F.col("embedding")[0].cast("double"), 4).alias("head"), F.round(F.col("embedding")[7].cast("double"), 4).alias("tail"))
+
+
 # Vectors
 
 

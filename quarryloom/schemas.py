@@ -9,6 +9,7 @@ SYMBOLS = "repo_root string, name string, kind string, path string, line int, la
 CHUNKS = "repo_root string, path string, start_line int, end_line int, start_byte long, end_byte long, content string, content_hash string, node_type string, node_name string, language string"
 CACHE = "content_hash string, embedding array<float>, created_at timestamp, access_count long, last_accessed timestamp, model string, dimensions int"
 LOCATIONS = "repo_root string, path string, start_line int, end_line int, content_hash string, node_type string, node_name string, language string, created_at timestamp"
+FILE_STATS = "repo_root string, path string, chunks long, types map<string,long>, languages map<string,long>, hashes binary"
 MERKLE = "path string, parent string, depth int, is_dir boolean, hash string, size long"
 RANKED = "id string, path string, line int, end_line int, score double, source string, rank int, snippet string, metadata map<string,string>"
 PROJECTS = "path string, name string, watch_enabled boolean, added_at timestamp, last_indexed timestamp, symbols long, embeddings long, db_bytes long"

@@ -252,6 +252,25 @@ def with_text(files: DataFrame, root: str) -> DataFrame:
     return out.withColumn("text", F.make_valid_utf8(F.col("_body").cast("string"))).drop("_body")
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes each row (path below root, body) as a file, by the tasks. A file that is there already is written anew, so a repeated task does no harm."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"], strict=True):
+                at = f"{base}/{path}"
+                if (folder := at.rpartition("/")[0]) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(at) as out:
+                    out.write(body.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files.select("path", "body").mapInArrow(written, "n long").agg(F.sum("n")).collect()
+
+
 def tree_events(spark: SparkSession, root: str, state: str, parts: int = PARTS, depth: int = DEPTH, skip: Iterable[str] = (".git",)) -> DataFrame:
     """A stream of (ts, path below root, op): each micro-batch lists the tree and gives what was created, written or removed since the last.
 
