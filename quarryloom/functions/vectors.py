@@ -38,6 +38,16 @@ def normalized(a: Column) -> Column:
     return F.when(m == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / m))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits in double arithmetic, as C and SQL engines do it: away from zero where two are as near, and with the sign of what becomes zero.
+
+    F.round goes by the decimal digits of x, and its zeros have no sign.
+    """
+    unit = F.lit(10.0**digits)
+    up = lambda y: F.round(y * unit, 0) / unit
+    return F.when(x < 0, -up(-x)).when(x == 0, x).otherwise(up(x))
+
+
 def cosine(a: Column, b: Column) -> Column:
     norms = magnitude(a) * magnitude(b)
     return F.when(_same(a, b) & (norms > 0), dot(a, b) / F.nullif(norms, F.lit(0.0))).otherwise(F.lit(0.0))

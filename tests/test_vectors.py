@@ -138,3 +138,13 @@ def test_sync(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, embedding array<float>")
     b = spark.createDataFrame([(2, [2.0]), (3, [3.0]), (4, None)], "id int, embedding array<float>")
     assert sorted(r["id"] for r in S.sync_index(a, b).collect()) == [2, 3]
+
+
+def test_rounded_as_sql_does(spark):
+    import duckdb
+
+    rng = random.Random(2)
+    given = [-3e-7, 3e-7, -0.0, 0.0, 0.0000005, -0.0000005, 1.0000005, -2.5e-6, 1e300, float("nan"), None] + [(rng.randrange(-(10**9), 10**9) + 0.5) / 1e6 for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(V.rounded(F.col("x"), 6)).collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x, generate_subscripts($1::DOUBLE[], 1) AS i) ORDER BY i", [given]).fetchall()]
+    assert list(map(repr, got)) == list(map(repr, want))  # repr tells -0.0 from 0.0
