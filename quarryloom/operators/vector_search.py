@@ -14,6 +14,8 @@ from quarryloom.functions import vectors as V
 
 #: A block of queries that tasks hold at a time, in bytes, and how many of them are multiplied at once.
 BLOCK_BYTES, PIECE = 32 << 20, 256
+#: Vectors that a piece is multiplied with at once.
+ROWS = 2048
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", mode: str = "metric", id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
@@ -40,9 +42,9 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     """(query_id, id, distance, rank): the k nearest rows of each query, for many queries.
 
     Queries go to the tasks in blocks of BLOCK_BYTES, one for most query sets,
-    and vectors are read once for each; a task multiplies its vectors with
-    PIECE queries at a time and keeps k for each, and those of all tasks are
-    ranked. queries: query_id and the vector column.
+    and vectors are read once for each; a task multiplies ROWS of its vectors
+    with PIECE queries at a time and keeps k for each, at no time more, and
+    those of all tasks are ranked. queries: query_id and the vector column.
     """
     spark = vectors.sparkSession
     kinds = dict(vectors.dtypes)[id_column], dict(queries.dtypes)[query_column]
@@ -51,32 +53,34 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
 
     def ask(block: list) -> DataFrame:
         ids = [r[0] for r in block]
-        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in block], np.float32))  # BLOCK_BYTES at most
+        matrix = spark.sparkContext.broadcast(np.stack([r[1] for r in block]))  # BLOCK_BYTES at most
         names = np.array(ids)
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = []
+            # Of each piece of queries the best that were seen: (place of the query, distance, id) in that order, k of a query at most, and the distance to fall below.
+            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            worst = np.full(len(names), np.inf)
             for pdf in frames:
-                x = np.array(pdf[vector_column].tolist(), np.float64)
-                if not len(x):
-                    continue
-                own = pdf[id_column].to_numpy()
-                order = np.argsort(own, kind="stable")
-                x, own, n = x[order], own[order], min(k, len(own))
-                for at in range(0, len(names), PIECE):
-                    d = distances(matrix.value[at : at + PIECE].astype(np.float64), x, metric)
-                    places = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :n]
-                    best.append(pd.DataFrame({query_column: np.repeat(names[at : at + PIECE], n), id_column: own[places].ravel(), "distance": np.take_along_axis(d, places, 1).ravel()}))
-                if len(best) > 4 * (1 + len(names) // PIECE):
-                    best = [_head(best, k, query_column, id_column)]
-            if best:
-                yield _head(best, k, query_column, id_column)
+                for first in range(0, len(pdf), ROWS):
+                    part = pdf.iloc[first : first + ROWS]
+                    x, own = np.array(part[vector_column].tolist(), np.float64), part[id_column].to_numpy()
+                    for at in range(0, len(names), PIECE):
+                        d = distances(matrix.value[at : at + PIECE].astype(np.float64), x, metric)
+                        fresh = nearest(d, own, worst[at : at + PIECE], k)
+                        if len(fresh[0]):
+                            kept = best_of(best[at], fresh, k) if at in best else fresh
+                            full = np.flatnonzero(np.bincount(kept[0]) == k)
+                            last = np.searchsorted(kept[0], full, "right") - 1
+                            worst[at + full] = np.round(kept[1][last], 12)
+                            best[at] = kept
+            for at, (i, d, own) in best.items():
+                yield pd.DataFrame({query_column: names[at + i], id_column: own, "distance": d})
 
         return vectors.filter(F.col(vector_column).isNotNull()).select(id_column, vector_column).mapInPandas(near, f"{query_column} {kinds[1]}, {id_column} {kinds[0]}, distance double")
 
     for r in rows:
-        block.append(r)
-        if len(block) * max(1, len(r[1] or ())) * 4 >= BLOCK_BYTES:
+        block.append((r[0], np.array(r[1], np.float32)))
+        if len(block) * max(1, len(r[1])) * 4 >= BLOCK_BYTES:
             found, block = ask(block) if found is None else found.union(ask(block)), []
     if block or found is None:
         part = ask(block) if block else spark.createDataFrame([], f"{query_column} {kinds[1]}, {id_column} {kinds[0]}, distance double")
@@ -85,8 +89,22 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _head(parts: list[pd.DataFrame], k: int, query_column: str, id_column: str) -> pd.DataFrame:
-    return pd.concat(parts).assign(_d=lambda p: p["distance"].round(12)).sort_values([query_column, "_d", id_column]).groupby(query_column).head(k).drop(columns="_d")
+def nearest(d: np.ndarray, ids: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance, id) of the k smallest of each row of d, equal ones by id, of those no farther than the row's worst."""
+    near = d <= (worst + 1e-12)[:, None]
+    if np.count_nonzero(near) > 4 * k * len(d) and d.shape[1] > k:
+        near &= d <= (np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-12)[:, None]  # as near as the k-th once rounded
+    i, j = np.nonzero(near)
+    return best_of((i[:0], d[:0, :0].ravel(), ids[:0]), (i, d[i, j], ids[j]), k)
+
+
+def best_of(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row of both, in order."""
+    i, d, ids = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((ids, np.round(d, 12), i))
+    i, d, ids = i[order], d[order], ids[order]
+    some = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[some], d[some], ids[some]
 
 
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:

@@ -148,3 +148,23 @@ def test_rounded_as_sql_does(spark):
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(V.rounded(F.col("x"), 6)).collect()]
     want = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x, generate_subscripts($1::DOUBLE[], 1) AS i) ORDER BY i", [given]).fetchall()]
     assert list(map(repr, got)) == list(map(repr, want))  # repr tells -0.0 from 0.0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "manhattan"])
+def test_batch_keeps_k_of_each_query_at_any_time(spark, monkeypatch, metric):
+    """Vectors come in many pieces, with copies among them: the best by distance, then id, as of all at once."""
+    monkeypatch.setattr(S, "ROWS", 7)
+    monkeypatch.setattr(S, "PIECE", 4)
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(9, 4))
+    v = np.concatenate([rng.normal(size=(60, 4)), few[rng.integers(0, 9, 140)]])[rng.permutation(200)].astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>").coalesce(2)
+    got = S.batch_knn(rows, rows.filter("id % 9 = 0").withColumnRenamed("id", "query_id"), 12, metric).orderBy("query_id", "rank").collect()
+    d = np.round(S.distances(v[::9].astype(float), v.astype(float), metric), 12)
+    assert [r["id"] for r in got] == np.argsort(d, axis=1, kind="stable")[:, :12].ravel().tolist()
+
+
+def test_nearest_gives_no_more_than_k(monkeypatch):
+    d = np.random.default_rng(6).normal(size=(5, 3000))
+    i, near, ids = S.nearest(d, np.arange(3000)[::-1], np.full(5, np.inf), 10)
+    assert i.tolist() == np.repeat(np.arange(5), 10).tolist() and near.tolist() == np.sort(d, axis=1)[:, :10].ravel().tolist() and ids.tolist() == (2999 - np.argsort(d, axis=1)[:, :10]).ravel().tolist()
