@@ -34,8 +34,8 @@ def magnitude(a: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The unit vector; a zero vector stays as it is."""
-    m = magnitude(a)
-    return F.when(m == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / m))
+    scaled = lambda m: F.when(m == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / m))
+    return F.element_at(F.transform(F.array(magnitude(a)), scaled), 1)  # so that the magnitude is computed once, not for each entry
 
 
 def rounded(x: Column, digits: int) -> Column:

@@ -1,23 +1,30 @@
-"""Approximate nearest neighbours by cosine from a graph of neighbours.
-
-The graph is found by descent: lists of near vectors, begun in blocks along
-random directions, get better by comparing the neighbours of each vector with
-one another, until hardly any entry changes. A search keeps a beam of the
-nearest vectors that it has seen, for all queries at once, and each round joins
-what it hasn't opened yet with the lists. Equal vectors are one node.
-
-A vector compares with 3 * width others at most in a round, whatever the
-table's size; nothing is gathered by a key beyond that.
+"""Approximate nearest neighbours by cosine from graphs of neighbours.
+
+Nodes are dealt to segments of SEGMENT at most, by a hash; each segment has a
+graph of its own, whose lists one task finds by comparing the segment's nodes
+with one another. A search asks every segment: a task holds one segment and
+takes the queries batch by batch, keeps a beam of the nearest nodes that each
+has seen and opens what it hasn't opened yet. The best of all segments are
+ranked. Equal vectors are one node.
+
+So vectors move once to their segment, and queries once to each; no vector
+moves for a comparison. neighbour_lists() finds lists across a whole table by
+descent: lists of near vectors, begun in blocks along random directions, get
+better by comparing the neighbours of each vector with one another, until
+hardly any entry changes. There a vector compares with 3 * width others at
+most in a round, but moves to each of them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,14 +38,17 @@ WIDTH = 24
 BLOCK, DEALS = 256, 3
 #: A share of new entries at which descent stops, and the rounds it takes at most.
 STOP, ROUNDS = 0.003, 12
-#: Nodes from which searches begin.
-ENTRIES = 32
+#: Nodes from which searches begin in a segment, and a segment's nodes, about.
+ENTRIES, SEGMENT = 32, 32_768
+#: By how much beams are wider where there are several segments: there each finds a few of the nearest only, all of which count.
+WIDER = 1.5
+#: Rows that are compared with a segment at once, and queries that are taken through it side by side.
+ROWS, SIDE = 128, 64
 SEED = 7
 
 SPECS = {
-    "graph": Spec("node bigint, v array<double>, near array<bigint>", ("node",)),
+    "graph": Spec("node bigint, segment int, v array<double>, near array<bigint>", ("node",)),
     "copies": Spec("node bigint, id bigint", ("node",)),
-    "entries": Spec("node bigint, v array<double>", ("node",)),
 }
 LINK = "node bigint, id bigint, d double"
 
@@ -154,8 +164,97 @@ def neighbour_lists(nodes: DataFrame, width: int = WIDTH, seed: int = SEED) -> D
     return lists.drop("fresh")
 
 
-def _ordered(d: Column, node: Column, done: bool) -> Column:
-    return F.struct(d.alias("d"), node.alias("node"), F.lit(done).alias("done"))
+def by_segment(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """Rows of each of n segments together in a partition, in order."""
+    return rows.repartition(n, "segment").sortWithinPartitions("segment", *order)
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The batches of each segment, of rows sorted by segment. A segment's have to be read before the next one's."""
+    pieces = (batch.slice(i, j - i) for batch in batches if batch.num_rows for i, j in itertools.pairwise(np.flatnonzero(np.diff(batch["segment"].to_numpy(), prepend=-1, append=-1))))
+    return itertools.groupby(pieces, lambda b: b["segment"][0].as_py())
+
+
+def within_segments(width: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For rows of (segment, node, v) the nearest of each in its segment."""
+        for _, parts in segments(batches):
+            held = [(b["node"].to_numpy(), _vectors(b["v"])) for b in parts]
+            ids, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            if (k := min(width, len(ids) - 1)) < 1:
+                continue
+            for at in range(0, len(ids), ROWS):
+                d = 1 - v[at : at + ROWS] @ v.T
+                d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+                best = np.argpartition(d, k - 1, axis=1)[:, :k]
+                yield _links(np.repeat(ids[at : at + ROWS], k), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel())
+
+    return near
+
+
+def lists_in_segments(nodes: DataFrame, n: int, width: int = WIDTH) -> DataFrame:
+    """(node, near) as neighbour_lists(), of nodes (segment, node, v) in n segments: the nearest of a node's segment."""
+    links = by_segment(nodes.select("segment", "node", "v"), n).mapInArrow(within_segments(width), LINK)
+    return links.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("near"))
+
+
+def searched(k: int, beam: int | None, wider: float = 1.0):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For rows of (segment, q, node, v, near), in each segment nodes (q null) before queries, the k nearest nodes to each query; visited, how many it was compared with, stands in the first of its rows, the others have 0."""
+        for _, parts in segments(batches):
+            held, v, near = [], None, None
+            for batch in parts:
+                own = batch.filter(batch["q"].is_null())
+                if own.num_rows:
+                    held.append((own["node"].to_numpy(), _vectors(own["v"]), own["near"]))
+                asked = batch.filter(batch["q"].is_valid())
+                if not asked.num_rows or not held:
+                    continue
+                if v is None:
+                    ids, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                    near = _places(ids, [h[2] for h in held])
+                    wide = max(beam or int(wider * beam_for(len(ids), k)), k)
+                for at in range(0, asked.num_rows, SIDE):
+                    some = asked.slice(at, SIDE)
+                    i, d, j, visited = _walked(_vectors(some["v"]), v, near, ids, wide)
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, d, j, place = (x[place < k] for x in (i, d, j, place))
+                    yield pa.RecordBatch.from_arrays([some["q"].take(pa.array(i)), pa.array(d), pa.array(ids[j]), pa.array(np.where(place == 0, visited[i], 0))], ["q", "d", "node", "visited"])
+
+    return found
+
+
+def _places(ids: np.ndarray, near: list[pa.ListArray]) -> np.ndarray:
+    """Lists of nodes as a matrix of their places in ids, -1 where a list is shorter."""
+    order = np.argsort(ids)
+    length = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in near])
+    out = np.full((len(ids), max(1, int(length.max(initial=0)))), -1, np.int32)
+    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in near])
+    out[np.arange(out.shape[1])[None] < length[:, None]] = order[np.searchsorted(ids, flat, sorter=order)]
+    return out
+
+
+def _walked(asked: np.ndarray, v: np.ndarray, near: np.ndarray, ids: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, place) of the beams of these queries, nearest first, and how many nodes each was compared with. Searches begin at the first ENTRIES nodes."""
+    n, begin = len(v), min(ENTRIES, len(v))
+    seen = np.zeros(len(asked) * n, bool)
+    i, j = np.repeat(np.arange(len(asked)), begin), np.tile(np.arange(begin), len(asked))
+    d, done = np.empty(0), np.empty(0, bool)
+    kept_i, kept_j = np.empty(0, np.int64), np.empty(0, np.int64)
+    while len(i):
+        seen[i * n + j] = True
+        measured = 1 - np.einsum("xy,xy->x", asked[i], v[j])
+        i, j, d = np.concatenate((kept_i, i)), np.concatenate((kept_j, j)), np.concatenate((d, measured))
+        done = np.concatenate((np.ones(len(kept_i), bool), np.zeros(len(measured), bool)))
+        order = np.lexsort((ids[j], d, i))
+        kept_i = i[order]
+        order = order[np.arange(len(order)) - np.searchsorted(kept_i, kept_i) < beam]
+        kept_i, kept_j, d, done = i[order], j[order], d[order], done[order]
+        to = near[kept_j[~done]]
+        reached = (kept_i[~done, None] * n + to)[to >= 0]
+        reached = np.unique(reached[~seen[reached]])
+        i, j = reached // n, reached % n
+    return kept_i, d, kept_j, seen.reshape(len(asked), n).sum(1)
 
 
 class GraphIndex:
@@ -169,16 +268,19 @@ class GraphIndex:
         """Replaces the graph by one of these rows (id, vector); rows without a vector are left out. Vectors have one length."""
         own = vectors.filter(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("id"), V.normalized(F.col(self.vector)).alias("v"))
         nodes = settle(own.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")).select("node", "v", "n"), "nodes")
-        lists = neighbour_lists(nodes.select("node", "v"), width, seed)
-        walk = walk or walk_for(nodes.count(), width)
+        count = nodes.count()
+        n = max(1, -(-count // SEGMENT))
+        dealt = nodes.withColumn("segment", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(n)).cast("int"))
+        lists = settle(lists_in_segments(dealt, n, width), "near")
+        walk = walk or walk_for(count // n, width)
         w = Window.partitionBy("node").orderBy("d", "id")
         some = _edges(lists.select("node", F.slice("near", 1, walk).alias("near")))
         wide = _around(some, walk).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= 2 * walk)
         near = wide.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("near"))
-        graph = nodes.join(near, "node", "left").select("node", "v", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+        graph = dealt.join(near, "node", "left").select("node", "segment", "v", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
         copies = own.join(nodes.filter("n > 1").select("node", "v"), "v").select("node", "id")
         change = self.tables.begin("graph")
-        for table, rows in (("graph", graph), ("copies", copies), ("entries", nodes.orderBy(F.xxhash64("node")).limit(ENTRIES).select("node", "v"))):
+        for table, rows in (("graph", graph), ("copies", copies)):
             old = change.read(table).select("node").distinct()
             change.replace(table, rows, old if self.tables.version() else None)
         change.commit()
@@ -188,31 +290,19 @@ class GraphIndex:
     def search_many(self, queries: DataFrame, k: int, beam: int | None = None, query_column: str = "query_id") -> DataFrame:
         """(query_id, id, distance, rank, visited): about the k nearest rows of each query, and how many different vectors it was compared with.
 
-        beam is beam_for() the number of nodes unless given, and k at least. A query without a vector has no rows.
+        beam, of each segment, is beam_for() the number of its nodes, WIDER if there are several, unless given, and k at least. A query without a vector has no rows.
         """
         version = self.tables.version()
-        nodes = sum(sum(e["rows"].values()) for e in self.tables.manifest(version)["tables"]["graph"] if e["kind"] == "rows")
-        beam = max(beam or beam_for(nodes, k), k)
         graph = self.tables.read("graph", version)
-        entries = self.tables.read("entries", version).collect()  # ENTRIES rows at most
-        asked = queries.filter(F.col(self.vector).isNotNull()).select(F.col(query_column).alias("q"), V.normalized(F.col(self.vector)).alias("asked"))
-        start = [_ordered(1 - V.dot(F.col("asked"), F.lit(e["v"])), F.lit(e["node"]).cast("long"), False) for e in entries]
-        none = "array<struct<d:double,node:bigint,done:boolean>>"
-        state = asked.withColumn("beam", F.slice(F.array_sort(F.array(*start)), 1, beam) if start else F.array().cast(none))
-        state = settle(state.withColumn("seen", F.lit([e["node"] for e in entries]).cast("array<bigint>") if entries else F.array().cast("array<bigint>")), "beam")
-        while not (open_ := state.filter(F.exists("beam", lambda x: ~x["done"]))).isEmpty():
-            opened = open_.select("q", F.explode(F.filter("beam", lambda x: ~x["done"])).alias("x")).select("q", F.col("x.node").alias("node"))
-            reached = opened.join(graph.select("node", "near"), "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("reached"))
-            fresh = state.select("q", "asked", "seen").join(reached, "q").select("q", "asked", F.array_except("reached", "seen").alias("fresh"))
-            measured = fresh.select("q", "asked", F.explode("fresh").alias("node")).join(graph.select("node", "v"), "node").select("q", _ordered(1 - V.dot(F.col("asked"), F.col("v")), F.col("node"), False).alias("x"))
-            more = measured.groupBy("q").agg(F.collect_list("x").alias("more"))
-            known = F.transform("beam", lambda x: _ordered(x["d"], x["node"], True))
-            both = state.join(more, "q", "left").withColumn("more", F.coalesce("more", F.array().cast(none)))
-            after = both.select("q", "asked", F.slice(F.array_sort(F.concat(known, "more")), 1, beam).alias("beam"), F.concat("seen", F.transform("more", lambda x: x["node"])).alias("seen"))
-            after = settle(after, "beam")
-            drop_settled(state)
-            state = after
-        hits = state.select("q", F.size("seen").alias("visited"), F.explode("beam").alias("x")).select("q", "visited", F.col("x.d").alias("distance"), F.col("x.node").alias("node"))
+        n = (graph.agg(F.max("segment")).first()[0] or 0) + 1
+        kind = dict(queries.dtypes)[query_column]
+        asked = queries.filter(F.col(self.vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("segment"), F.col(query_column).alias("q"), F.lit(None).cast("long").alias("node"), V.normalized(F.col(self.vector)).alias("v"), F.lit(None).cast("array<bigint>").alias("near"))
+        both = graph.select("segment", F.lit(None).cast(kind).alias("q"), "node", "v", "near").unionByName(asked)
+        # Nodes come first, in the order of their hashes.
+        rows = by_segment(both.withColumn("asks", F.col("node").isNull()).withColumn("at", F.xxhash64("node")), n, "asks", "at")
+        reached = rows.drop("asks", "at").mapInArrow(searched(k, beam, WIDER if n > 1 else 1.0), f"q {kind}, d double, node bigint, visited bigint")
+        of_all = Window.partitionBy("q").orderBy(F.round("d", 12), "node")
+        hits = reached.withColumn("i", F.row_number().over(of_all)).withColumn("visited", F.sum("visited").over(Window.partitionBy("q"))).filter(F.col("i") <= k).select("q", "visited", F.col("d").alias("distance"), "node")
         # Of a vector's copies no more than k can be among the k nearest.
         some = self.tables.read("copies", version).withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("i") <= k).drop("i")
         rows = hits.join(some, "node", "left").select(F.col("q").alias(query_column), F.coalesce("id", "node").alias(self.id), "distance", "visited")

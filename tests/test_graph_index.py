@@ -77,3 +77,21 @@ def test_comparisons_around_a_center_cross_batches(vectors):
 def test_beams_grow_slower_than_tables():
     assert beam_for(500, 10) == 10 and beam_for(2000, 10) == 11 and beam_for(51_282, 10) == 80
     assert walk_for(1) == walk_for(500) == 6 and walk_for(2000) == 10 and walk_for(10**9) == 24
+
+
+def test_segments(spark, tmp_path, vectors, monkeypatch):
+    """Several graphs, each in one task: lists of the own segment, hits and visits of all."""
+    monkeypatch.setattr(G, "SEGMENT", 128)
+    rows = table(spark, list(enumerate(vectors)) + [(5000 + i, vectors[3]) for i in range(3)])
+    index = GraphIndex(spark, f"file://{tmp_path}/g").build(rows)
+    graph = index.tables.read("graph").collect()
+    own = {r["node"]: r["segment"] for r in graph}
+    assert set(own.values()) == set(range(5)) and all(own[j] == r["segment"] and j != r["node"] for r in graph for j in r["near"])
+    asked = rows.filter("id % 20 = 0").select(F.col("id").cast("string").alias("query_id"), "embedding").cache()
+    found = index.search_many(asked, 10).cache()
+    assert ann.recall(found, vector_search.batch_knn(rows, asked, 10)) >= 0.9
+    seen = {r["query_id"]: r["visited"] for r in found.collect()}
+    assert len(seen) == 31 and 5 * G.ENTRIES < min(seen.values()) and max(seen.values()) < 600
+    # No vector moves for a comparison: neither a join nor an exchange of pairs.
+    plan = G.lists_in_segments(spark.createDataFrame([(0, 1, [1.0])], "segment int, node long, v array<double>"), 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
