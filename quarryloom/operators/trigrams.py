@@ -1,7 +1,9 @@
 """Keyword search through a table of trigrams.
 
 Every file is listed under each run of three printable ASCII characters, in
-lower case, that its text has. What a regular expression can't match without is
+lower case, that its text has: files have places in blocks of about BLOCK bytes
+of text, and a row holds the places of all files of a block that have a
+trigram. What a regular expression can't match without is
 read off its own syntax tree; files that have it are opened and searched as
 ever, so the result is that of a search through all files.
 """
@@ -9,20 +11,27 @@ ever, so the result is that of a search through all files.
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from re import _constants as C
 from re import _parser
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.operators import search
 from quarryloom.operators.versioned import BUCKETS, FOLDERS, Spec, VersionedTables
+from quarryloom.scratch import drop_settled, settle
 
 KEYS = ("repo_root", "path")
-TRIGRAM = r"(?=([\x20-\x7e]{3}))"
+#: Bytes of text in a block, but for a longer text alone, its files at most, and the bytes that are taken apart at once.
+BLOCK, FILES, WINDOW = 8 << 20, 32_000, 1 << 20
+LISTED = "trigram string, block bigint, places array<smallint>, repo_root string, path string, place smallint"
 #: What this and the JVM's expressions read differently: intersections of classes and octal numbers.
 READ_OTHERWISE = re.compile(r"&&|\\0")
 REPEATS = (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT)
@@ -32,9 +41,51 @@ Needed = str | tuple[str, tuple]
 ANYTHING: Needed = ("all", ())
 
 
-def trigrams_of(text: str | Column) -> Column:
-    """The distinct trigrams of a text, in one pass."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TRIGRAM), F.lit(1)))
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of (repo_root, path, text), text in lower case, those of both tables: a block's postings, its places under the empty trigram too, and its files."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch["text"]).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + BLOCK, "right"))), at + FILES, batch.num_rows)
+            yield from _block(batch.slice(at, to - at))
+            at = to
+
+
+def _block(files: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    n, block = files.num_rows, uuid.uuid4().int >> 65
+    places = pa.array(np.arange(n), pa.int16())
+    keys = trigrams_of(files["text"])  # trigram * n + place, rising
+    code, place = keys // n, keys % n
+    edge = np.flatnonzero(np.diff(code, prepend=-1))
+    chars = (np.stack((code[edge] // 9025, code[edge] // 95 % 95, code[edge] % 95), 1) + 32).astype(np.uint8)
+    names = pa.StringArray.from_buffers(len(edge), pa.py_buffer(np.arange(0, 3 * len(edge) + 1, 3, np.int32)), pa.py_buffer(np.ascontiguousarray(chars)))
+    of_all = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), places)
+    lists = pa.concat_arrays([of_all, pa.ListArray.from_arrays(pa.array(np.append(edge, len(keys)), pa.int32()), pa.array(place, pa.int16()))])
+    columns = ["trigram", "block", "places", "repo_root", "path", "place"]
+    m = len(lists)
+    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([""]), names]), pa.array(np.full(m, block)), lists, pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int16())], columns)
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(np.full(n, block)), pa.nulls(n, lists.type), files["repo_root"].cast(pa.string()), files["path"].cast(pa.string()), places], columns)
+
+
+def trigrams_of(texts: pa.StringArray) -> np.ndarray:
+    """Each distinct trigram of each of n texts in lower case, as its number * n + the text's place, in order."""
+    n = len(texts)
+    wide = texts.cast(pa.large_binary())
+    start = np.frombuffer(wide.buffers()[1], np.int64, n + 1, 8 * wide.offset)
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)[start[0] : start[-1]]
+    last = start[1:] - start[0]
+    found = [np.empty(0, np.int64)]
+    for at in range(0, len(data), WINDOW):
+        part = data[at : at + WINDOW + 2].astype(np.int64) - 32
+        good = (part >= 0) & (part < 95)
+        i = np.flatnonzero(good[:-2] & good[1:-1] & good[2:])
+        of = np.searchsorted(last, at + i, "right")
+        within = at + i + 3 <= last[of]
+        i, of = i[within], of[within]
+        found.append(np.unique(((part[i] * 95 + part[i + 1]) * 95 + part[i + 2]) * n + of))
+    return np.unique(np.concatenate(found))
 
 
 def _both(parts: Iterable[Needed]) -> Needed:
@@ -107,36 +158,53 @@ def holds(tree: Needed, has) -> Column:
 
 
 class TrigramIndex:
-    """The files of each trigram, sorted by trigram in each bucket of files, so that a search reads the row groups of a few trigrams."""
+    """The places of each trigram, sorted by trigram in each bucket of blocks, so that a search reads the row groups of a few trigrams."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.tables = VersionedTables(spark, path, {"postings": Spec("trigram string, repo_root string, path string", KEYS, ("trigram",)), "texts": Spec("repo_root string, path string", KEYS)}, buckets)
+        postings, texts = Spec("trigram string, block bigint, places array<smallint>", ("block",), ("trigram",)), Spec("repo_root string, path string, block bigint, place smallint", KEYS)
+        self.tables = VersionedTables(spark, path, {"postings": postings, "texts": texts}, buckets)
 
     def put(self, files: DataFrame, gone: DataFrame | None = None) -> int:
-        """Lists files (repo_root, path, text) and leaves out those of gone, which also has to name files that are listed with another text. Files without text aren't listed."""
-        own = files.filter(F.col("text").isNotNull())
+        """Lists files (repo_root, path, text) and leaves out those of gone, which also has to name files that are listed with another text. Files without text aren't listed.
+        Places of files that went stay in the postings until compact(); they lead to no file."""
+        own = files.filter(F.col("text").isNotNull()).select(*KEYS, F.lower("text").alias("text"))
+        both = settle(own.mapInArrow(listed, LISTED), "listed")
         change = self.tables.begin()
-        change.replace("postings", own.select(F.explode(trigrams_of("text")).alias("trigram"), *KEYS))
-        change.replace("texts", own.select(*KEYS))
+        change.replace("postings", both.filter("trigram IS NOT NULL"))
+        change.replace("texts", both.filter("trigram IS NULL"))
         if gone is not None:
-            change.forget(("postings", "texts"), gone)
-        return change.commit()
+            change.forget(("texts",), gone)
+        out = change.commit()
+        drop_settled(both)
+        return out
 
     def compact(self, most: int = FOLDERS) -> dict[str, int]:
+        """Rewrites the postings of blocks with files that have gone, without these, and buckets of more than so many folders."""
+        change = self.tables.begin("compact")
+        postings = change.read("postings")
+        live = change.read("texts").groupBy("block").agg(F.collect_list("place").alias("live"))  # FILES at most
+        stale = postings.filter("trigram = ''").join(live, "block", "left").filter(F.size("places") > F.coalesce(F.size("live"), F.lit(0)))
+        stale = settle(stale.select("block", F.coalesce("live", F.array().cast("array<smallint>")).alias("live")), "stale")
+        if not stale.isEmpty():
+            kept = postings.join(stale, "block").withColumn("places", F.array_intersect("places", "live")).filter(F.size("places") > 0)
+            change.replace("postings", kept, stale)
+            change.commit()
+        drop_settled(stale)
         return self.tables.compact(most)
 
     def candidates(self, pattern: str) -> DataFrame:
         """(repo_root, path) of the files that may have a line for pattern."""
-        tree = needed(pattern)
+        tree, version = needed(pattern), self.tables.version()
         some = leaves(tree)
+        texts = self.tables.read("texts", version)
         if not some:
-            return self.tables.read("texts")
-        rows = self.tables.read("postings").filter(F.col("trigram").isin(*some))
-        if tree == some[0]:
-            return rows.select(*KEYS)
-        # A row for each file: which of the trigrams it has, as one array of as many entries at most.
-        have = rows.groupBy(*KEYS).agg(F.collect_set("trigram").alias("have"))
-        return have.filter(holds(tree, lambda t: F.array_contains("have", t))).select(*KEYS)
+            return texts.select(*KEYS)
+        rows = self.tables.read("postings", version).filter(F.col("trigram").isin(*some)).select("trigram", "block", F.explode("places").alias("place"))
+        if tree != some[0]:
+            # A row for each file: which of the trigrams it has, as one array of as many entries at most.
+            have = rows.groupBy("block", "place").agg(F.collect_set("trigram").alias("have"))
+            rows = have.filter(holds(tree, lambda t: F.array_contains("have", t)))
+        return texts.join(rows, ["block", "place"], "left_semi").select(*KEYS)
 
     def opened(self, files: DataFrame, pattern: str) -> DataFrame:
         """The rows of files that have to be searched."""

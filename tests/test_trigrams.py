@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarryloom.operators import search
+from quarryloom.operators import trigrams as T
 from quarryloom.operators.trigrams import ANYTHING, TrigramIndex, leaves, needed
 from quarryloom.queries import files as documents
 
@@ -82,3 +83,23 @@ def test_few_texts_and_row_groups_are_opened(spark, tmp_path):
     index.put(own)
     assert 0 < index.candidates("(?i)license").count() < own.count() / 3
     assert "In(trigram" in index.candidates("license")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_a_row_for_a_block(spark, tmp_path, rows, monkeypatch):
+    """Not one for each file: the rows of an index don't grow with its files' trigrams. Trigrams stay within a text, and windows don't cut them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "WINDOW", 5)
+    texts = ["abcdefgh", "", "ab", "c", "ÿabc\tdef", "x" * 40, "abc"]
+    n = len(texts)
+    got = {(k % n, "".join(chr(32 + k // n // 95**e % 95) for e in (2, 1, 0))) for k in T.trigrams_of(pa.array(texts)).tolist()}
+    assert got == {(i, t[j : j + 3]) for i, t in enumerate(texts) for j in range(len(t) - 2) if re.fullmatch("[ -~]{3}", t[j : j + 3])}
+    monkeypatch.undo()
+    index = TrigramIndex(spark, f"file://{tmp_path}/t", 4)
+    index.put(rows.coalesce(1))
+    postings = index.tables.read("postings")
+    assert postings.select("block").distinct().count() == 1 and postings.count() == postings.select("trigram").distinct().count()
+    index.put(rows.limit(0), rows.filter("path <> 'f07'").select("repo_root", "path"))
+    index.compact()
+    assert {r["trigram"] for r in index.tables.read("postings").collect()} == {"", "xxx", "xxn", "xne", "nee", "eed", "edl", "dle"}
+    assert [r["path"] for r in index.candidates("needle").collect()] == ["f07"]
