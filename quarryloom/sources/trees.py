@@ -7,9 +7,12 @@ listing to the next.
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import os
 import time
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -29,6 +32,7 @@ PARTS, DEPTH = 32, 2
 ROWS = 4096
 #: A batch of contents ends after so many bytes.
 BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _listed = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", "UTC")), ("size", pa.int64())])
 _events = pa.schema([("ts", pa.timestamp("us", "UTC")), ("path", pa.string()), ("op", pa.string())])
@@ -40,6 +44,30 @@ def _open(url: str) -> tuple[arrow_fs.FileSystem, str]:
     return system, base.rstrip("/")
 
 
+def _entries(system: arrow_fs.FileSystem, at: str) -> Iterator[tuple[str, bool, Callable[[], tuple[int, int] | None]]]:
+    """(name, whether it is a directory, what gives a file's time in microseconds and size, None if it has gone) of a directory's entries.
+
+    A local directory is read entry by entry, and no file is asked for its size until it is wanted. Other systems hand over a directory as a whole.
+    """
+    if isinstance(system, arrow_fs.LocalFileSystem):
+        with contextlib.suppress(FileNotFoundError), os.scandir(at) as found:
+            for e in found:
+                if (directory := e.is_dir()) or e.is_file():
+                    yield e.name, directory, functools.partial(_local, f"{at}/{e.name}")
+        return
+    for i in system.get_file_info(arrow_fs.FileSelector(at, allow_not_found=True)):
+        if i.type in (arrow_fs.FileType.Directory, arrow_fs.FileType.File):
+            yield i.base_name, i.type == arrow_fs.FileType.Directory, lambda i=i: (i.mtime_ns // 1000, i.size)
+
+
+def _local(path: str) -> tuple[int, int] | None:
+    try:
+        found = os.stat(path)
+    except FileNotFoundError:
+        return None
+    return found.st_mtime_ns // 1000, found.st_size
+
+
 def walk(url: str, part: int = 0, parts: int = 1, depth: int = DEPTH, skip: Iterable[str] = (), prefixes: Iterable[str] = ("",)) -> Iterator[Row]:
     """(path below url, modification time in microseconds, size) of a part's files, in the order of their paths' parts.
 
@@ -51,16 +79,22 @@ def walk(url: str, part: int = 0, parts: int = 1, depth: int = DEPTH, skip: Iter
     skip, prefixes = frozenset(skip), tuple(prefixes)
 
     def below(at: str, level: int) -> Iterator[Row]:
-        found = system.get_file_info(arrow_fs.FileSelector(f"{base}/{at}" if at else base, allow_not_found=True))
-        for e in sorted(found, key=lambda e: e.base_name):
-            path = f"{at}/{e.base_name}" if at else e.base_name
+        # Of a directory's files this part's names alone are held: tens of thousands of others may lie beside them.
+        names = []
+        for name, directory, info in _entries(system, f"{base}/{at}" if at else base):
+            path = f"{at}/{name}" if at else name
             mine = level > depth or zlib.crc32(path.encode("utf-8", "surrogateescape")) % parts == part
-            if e.type == arrow_fs.FileType.Directory:
+            if directory:
                 inside = path + "/"
-                if e.base_name not in skip and (mine or level < depth) and any(p.startswith(inside) or inside.startswith(p) for p in prefixes):
-                    yield from below(path, level + 1)
-            elif e.type == arrow_fs.FileType.File and mine and path.startswith(prefixes):
-                yield path, e.mtime_ns // 1000, e.size
+                if name not in skip and (mine or level < depth) and any(p.startswith(inside) or inside.startswith(p) for p in prefixes):
+                    names.append((name, path, None))
+            elif mine and path.startswith(prefixes):
+                names.append((name, path, info))
+        for _, path, info in sorted(names, key=lambda n: n[0]):
+            if info is None:
+                yield from below(path, level + 1)
+            elif found := info():
+                yield path, *found
 
     return below("", 1)
 
@@ -252,6 +286,12 @@ def with_text(files: DataFrame, root: str) -> DataFrame:
     return out.withColumn("text", F.make_valid_utf8(F.col("_body").cast("string"))).drop("_body")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of bodies have BYTES at most, or one body, unless the session says otherwise."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BYTES))
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Writes each row (path below root, body) as a file, by the tasks. A file that is there already is written anew, so a repeated task does no harm."""
 
@@ -268,6 +308,7 @@ def write_files(files: DataFrame, root: str) -> None:
                     out.write(body.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
+    _small_batches(files.sparkSession)
     files.select("path", "body").mapInArrow(written, "n long").agg(F.sum("n")).collect()
 
 

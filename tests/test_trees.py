@@ -93,3 +93,21 @@ def test_a_stream_gives_changes_and_goes_on_after_a_restart(spark, tree, tmp_pat
     run()
     assert sum(got, []) == []
     assert len(os.listdir(tmp_path / "state")) <= 3
+
+
+def test_a_task_holds_its_own_files_alone(tmp_path):
+    """A directory of the upper levels is read by all tasks, each of which keeps the names that are its own."""
+    import tracemalloc
+
+    from quarryloom.sources.trees import walk
+
+    (tmp_path / "d").mkdir()
+    for i in range(8_000):
+        (tmp_path / "d" / f"f{i}").touch()
+    tracemalloc.start()
+    sizes = sum(1 for _ in walk(str(tmp_path), 0, 64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 60 < sizes < 200 and peak < 400_000
+    rows = [r for part in range(64) for r in walk(str(tmp_path), part, 64)]
+    assert len(rows) == 8_000 == len({r[0] for r in rows}) and {r[2] for r in rows} == {0}
