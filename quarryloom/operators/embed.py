@@ -10,10 +10,15 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quarryloom.functions import lookups as L
 from quarryloom.functions import text as X
@@ -22,32 +27,66 @@ from quarryloom.scratch import drop_settled, settle
 #: Texts that are embedded between two commits of their vectors.
 SLICE = 1_000_000
 WORDS = r"[^\p{L}\p{N}]+"
-
-
-def words_of(content: Column) -> Column:
-    return F.filter(F.split(F.lower(content), WORDS), lambda w: w != "")
-
-
-def bucket_of(word: Column, dimensions: int) -> Column:
-    """The word's place in a hashed vector: the first 8 hex digits of its MD5, modulo dimensions."""
-    return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
+#: Bytes of text, and texts, whose words are counted at once.
+WINDOW, TEXTS = 8 << 20, 8_192
+#: ASCII letters in lower case; digits and the bytes of other letters stay as they are, all else becomes a space.
+_PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
+
+def _as_bytes(content: Column) -> Column:
+    """The text as bytes in which its words, in lower case, stand between spaces once _PLAIN has been put on them: ASCII as it is, of other texts the words that the JVM's expressions see."""
+    ascii_only = (F.octet_length(content) == F.char_length(content)) & F.is_valid_utf8(content)
+    return F.coalesce(F.when(ascii_only, content).otherwise(F.regexp_replace(F.lower(content), WORDS, " ")), F.lit("")).cast("binary")
+
+
+def _places(texts: pa.Array, dimensions: int) -> np.ndarray:
+    """For n texts as _as_bytes() gives them n rows of dimensions: how many words fall on each place, the first 8 hex digits of a word's MD5 modulo dimensions. A word is hashed once, however often it is there."""
+    n, wide = len(texts), texts.cast(pa.large_binary())
+    start = np.frombuffer(wide.buffers()[1], np.int64, n + 1, 8 * wide.offset)
+    plain = bytes(memoryview(wide.buffers()[2] or b"")[start[0] : start[-1]]).translate(_PLAIN)
+    words = pa.compute.split_pattern(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(start - start[0]), pa.py_buffer(plain)]), " ")
+    each = words.values.dictionary_encode()
+    known = each.dictionary.to_pylist()
+    place = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in known]), ">u4")[::4].astype(np.int64) % dimensions
+    place[[i for i, w in enumerate(known) if not w]] = dimensions  # between two spaces
+    of = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    return np.bincount(of * (dimensions + 1) + place[each.indices.to_numpy()], minlength=n * (dimensions + 1)).reshape(n, -1)[:, :dimensions]
+
+
+def _counted(dimensions: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of (id, text in bytes) rows of (id, counts), about WINDOW bytes at a time."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch[1]).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + WINDOW, "right"))), at + TEXTS, batch.num_rows)
+            counts = _places(batch[1].slice(at, to - at), dimensions)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, dimensions), pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([batch[0].slice(at, to - at), lists], [batch.schema.names[0], "counts"])
+            at = to
+
+
+def _all_counts(docs: DataFrame, id_column: str, content: str, dimensions: int) -> DataFrame:
+    """(id, counts): a row for each id, a number for each place. What leaves the tasks that split texts into words are these numbers, not words."""
+    shape = StructType([docs.schema[id_column]]).add("counts", ArrayType(LongType()))
+    each = docs.select(id_column, _as_bytes(F.col(content)).alias("text")).mapInArrow(partial(_counted, dimensions), shape)
+    summed = each.groupBy(id_column).agg(*[F.sum(F.col("counts")[i]).alias(f"_{i}") for i in range(dimensions)])
+    return summed.select(id_column, F.array(*[f"_{i}" for i in range(dimensions)]).alias("counts"))
 
 
 def hash_counts(docs: DataFrame, id_column: str, content: str, dimensions: int) -> DataFrame:
-    """(id, bucket, n): how many words of each text fall on each place; a text without words has no rows.
-
-    Words are counted before they are shuffled; counting them inside each row by array functions took half as long again.
-    """
-    words = docs.select(id_column, F.explode(words_of(F.col(content))).alias("word"))
-    return words.groupBy(id_column, bucket_of(F.col("word"), dimensions).alias("bucket")).agg(F.count("*").alias("n"))
+    """(id, bucket, n): how many words of each text fall on each place; a text without words has no rows."""
+    return _all_counts(docs, id_column, content, dimensions).select(id_column, F.posexplode("counts").alias("bucket", "n")).filter("n > 0")
 
 
 def hash_embed(docs: DataFrame, id_column: str, content: str, dimensions: int = 64) -> DataFrame:
     """(id, embedding): hashed bags of words of unit length, zero vectors for texts without words."""
-    counts = hash_counts(docs, id_column, content, dimensions).groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    rows = docs.select(id_column).distinct().join(counts, id_column, "left")
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.coalesce("norm", F.lit(1.0))).cast("float"))
-    return rows.select(id_column, filled.alias("embedding"))
+    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n * n))
+    rows = _all_counts(docs, id_column, content, dimensions).withColumn("norm", norm)
+    # Named twice, so that the planner keeps it once for a row instead of working it out for each place.
+    unit = F.transform("counts", lambda n: F.when(F.col("norm") > 0, n / F.col("norm")).otherwise(0.0).cast("float"))
+    return rows.select(id_column, unit.alias("embedding"))
 
 
 def hash_embed_text(text: str, dimensions: int = 64) -> list[float]:

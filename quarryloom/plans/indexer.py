@@ -83,19 +83,20 @@ class Index:
             return IndexResult(0, 0, 0, 0, 0, self._written(change))
         changes = settle(merkle.diff(None if force else old, nodes).withColumn("repo_root", F.lit(repo_root)), "changes")
         fresh = mine.join(merkle.to_reindex(changes), "path", "left_semi")
-        chunks = settle(self.chunker(fresh), "chunks")  # parsed once for the three tables made of them
         asks = self.embedder.attempt is not None
-        embedded_before = self._embed_first(chunks) if asks else 0
-        new_cache, new_locations = embed.embed_with_cache(chunks, change.read("embedding_cache"), self.embedder)
         was_there = change.read("chunk_locations").filter(F.col("repo_root") == repo_root).select(*FILE) if force else changes.filter("change <> 'added'").select(*FILE)
         same = ["path", "hash", "is_dir"]
         stale = old if force else old.join(nodes.select(*same), same, "left_anti")
         new_nodes = nodes if force else nodes.join(old.select(*same), same, "left_anti")
         try:
+            change.replace("chunks", self.chunker(fresh))  # parsed and written once; the three tables made of them read what was written
+            chunks = change.fresh("chunks")
+            embedded_before = self._embed_first(chunks) if asks else 0
+            new_cache, new_locations = embed.embed_with_cache(chunks, change.read("embedding_cache"), self.embedder)
             # Independent writes, whose jobs may run beside each other.
-            with ThreadPoolExecutor(7) as pool:
+            with ThreadPoolExecutor(6) as pool:
                 jobs = [
-                    pool.submit(lambda: 0 if asks else change.append("embedding_cache", new_cache)), pool.submit(change.replace, "chunk_locations", new_locations), pool.submit(change.replace, "chunks", chunks),
+                    pool.submit(lambda: 0 if asks else change.append("embedding_cache", new_cache)), pool.submit(change.replace, "chunk_locations", new_locations),
                     pool.submit(change.replace, "symbols", self.finder(fresh)), pool.submit(change.replace, "merkle", new_nodes, stale.select(*FILE)),
                     pool.submit(change.forget, ("chunk_locations", "chunks", "symbols", "file_stats"), was_there), pool.submit(change.replace, "file_stats", stats.file_stats(new_locations)),
                 ]
@@ -105,7 +106,7 @@ class Index:
             change.abort()
             raise
         n = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-        drop_settled(chunks, changes)
+        drop_settled(changes)
         written = self._written(change)
         written["embedding_cache"] += embedded_before
         return IndexResult(n.get("added", 0), n.get("modified", 0), n.get("deleted", 0), written["chunk_locations"], embedded, written)

@@ -119,6 +119,25 @@ def test_hashing_agrees_with_the_driver(spark):
     assert got[0]["embedding"] == pytest.approx(E.hash_embed_text(text, 32), abs=1e-6) and got[1]["embedding"] == [0.0] * 32
 
 
+def test_words_are_counted_where_they_are_split(spark):
+    """No row for a word: on odd texts the numbers are those of the plain way, and only they are shuffled."""
+    texts = ["İstanbul ıI ẞß ΑΣ. ÀÉ é", "½ ² Ⅷ ٣٤ 一二三 nul\0nb\u00a0z\u2028q", "A_b-C\tC", "  ", ".,;", None, "", "smile😀y K Å ﬁ", "x" * 5000, "b a"]
+    df = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "id int, t string").union(spark.sql("SELECT 20, cast(X'6162806364FF65' AS string)"))  # id 0 twice, bytes that are no UTF-8
+    words = df.select("id", F.explode(F.filter(F.split(F.lower("t"), E.WORDS), lambda w: w != "")).alias("w"))
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(16)).cast("int")
+    plain = words.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    counts = E.hash_counts(df, "id", "t", 16)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    got = E.hash_embed(df, "id", "t", 16)
+    assert got.count() == got.select("id").distinct().count() == 10
+    for r in got.collect():
+        own = {c["bucket"]: c["n"] for c in counts.filter(F.col("id") == r["id"]).collect()}
+        norm = sum(n * n for n in own.values()) ** 0.5 or 1.0
+        assert r["embedding"] == pytest.approx([own.get(i, 0) / norm for i in range(16)], abs=1e-6)
+    p = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in p and "Join" not in p and "MapInArrow" in p
+
+
 def test_mock_embedders(spark):
     df = spark.createDataFrame([("ab",)], "t string")
     assert df.select(E.length_embedding(F.col("t"), 4)).first()[0] == [0.5, 0.75, 1.0, 1.25]
